@@ -2,8 +2,8 @@
 
 Sets of similar size differ in at most k elements if they are similar enough. The feature domain is cut into groups of
 three parts; some group then differs in at most one part, so the sets share a signature: the content of two of the
-three parts. Each set takes the signatures of its size band and of the next. Sets that share signatures form candidate
-clusters, in which whole sets are compared exactly.
+three parts. Each set takes the signatures of its size band and of the next. Sets that share a signature, and whose sizes
+and parity sketches don't rule a link out, form candidate clusters, in which whole sets are compared exactly.
 """
 
 from __future__ import annotations
@@ -115,17 +115,28 @@ def signatures(sets: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarr
     return np.concatenate(found), np.concatenate(owner)
 
 
+#: Bits of a set's parity sketch.
+SKETCH_BITS = 512
+
+
+def sketches(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A row of bytes for each set: the parity of its elements at each bit. Two sets' rows differ in no more bits than the sets in elements."""
+    place = np.repeat(np.arange(len(at) - 1), np.diff(at)) * SKETCH_BITS + (mix(sets ^ U(0x6A09E667F3BCC909)) % U(SKETCH_BITS)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=(len(at) - 1) * SKETCH_BITS) & 1).astype(bool).reshape(-1, SKETCH_BITS), axis=1)
+
+
 def set_table(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles and node for each row."""
+    """doc_id, n_shingles, node and sketch for each row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = flat(batch.column("text"))
             for a, b in chunks(offsets):
                 sets, at = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(at)), pa.array(nodes_of(sets, at))], ["doc_id", "n_shingles", "node"])
+                sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SKETCH_BITS // 8), b - a, [None, pa.py_buffer(sketches(sets, at).tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(at)), pa.array(nodes_of(sets, at)), sketch], ["doc_id", "n_shingles", "node", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, node long, sketch binary")
 
 
 def signature_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -152,29 +163,102 @@ def signature_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "sig long, node long")
 
 
-def candidate_edges(sigs: DataFrame, partitions: int) -> DataFrame:
-    """(a, b): the smallest node of each signature with each other node of it. Streams over sorted rows."""
+def whole_runs(batches: Iterable[pa.RecordBatch], key: str, rows: int = 1 << 16) -> Iterator[pa.Table]:
+    """Tables of about so many rows, or more if a run is longer, that end where a run of equal keys ends; the input is sorted by it."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        last = np.asarray(batch.column(batch.schema.get_field_index(key)))
+        if n < rows or (last[0] == last[-1] and len(held) > 1 and held[-2].column(key)[-1].as_py() == last[0]):
+            continue
+        cut = int(np.searchsorted(last, last[-1]))  # where the last run begins in this batch
+        head = [*held[:-1], batch.slice(0, cut)]
+        if cut or len(held) > 1 and held[-2].column(key)[-1].as_py() != last[0]:
+            yield pa.Table.from_batches(head).combine_chunks()
+            held, n = [batch.slice(cut)], batch.num_rows - cut
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def repeated_buckets(sigs: DataFrame, partitions: int) -> DataFrame:
+    """(bucket, node): the sets of each signature that more than one has. Signatures of the same sets are one bucket."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_sig, lead, last_node = None, 0, 0
-        sent: set[tuple[int, int]] = set()
-        for batch in batches:
-            sig, node = np.asarray(batch.column("sig")), np.asarray(batch.column("node"))
-            if not len(sig):
-                continue
-            new = np.append(True, sig[1:] != sig[:-1])
-            new[0] = sig[0] != last_sig
-            begin = np.flatnonzero(new)
-            leads = np.concatenate(([lead], node[begin]))[np.cumsum(new)]
-            fresh = ~new & (node != leads) & (node != np.append(last_node, node[:-1]))
-            last_sig, lead, last_node = sig[-1], leads[-1], node[-1]
-            pairs = {*zip(leads[fresh].tolist(), node[fresh].tolist())} - sent
-            sent = pairs | sent if len(sent) < 500_000 else pairs
-            if pairs:
-                a, b = zip(*pairs)
-                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return sigs.repartition(partitions, "sig").sortWithinPartitions("sig", "node").mapInArrow(run, "a long, b long").distinct()
+        sent: set[int] = set()
+        for table in whole_runs(batches, "sig"):
+            sig, node = np.asarray(table["sig"]), np.asarray(table["node"])
+            own = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))
+            sig, node = sig[own], node[own]
+            begin = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+            size = np.diff(np.append(begin, len(sig)))
+            name = np.add.reduceat(mix(node.view(U)), begin).view(np.int64)
+            _, first = np.unique(name, return_index=True)
+            once = np.zeros(len(name), bool)
+            once[first] = True
+            take = np.flatnonzero(once & (size > 1))
+            if len(sent) > 1_000_000:
+                sent.clear()
+            fresh = np.array([x not in sent for x in name[take].tolist()], bool)
+            take = take[fresh]
+            sent.update(name[take].tolist())
+            if len(take):
+                stop = np.cumsum(size[take])
+                at = np.arange(stop[-1]) + np.repeat(begin[take] - (stop - size[take]), size[take])
+                yield pa.RecordBatch.from_pydict({"bucket": np.repeat(name[take], size[take]), "node": node[at]})
+
+    return sigs.repartition(partitions, "sig").sortWithinPartitions("sig", "node").mapInArrow(run, "bucket long, node long").distinct()
+
+
+def candidate_edges(buckets: DataFrame, sketched: DataFrame, percent: int, partitions: int) -> DataFrame:
+    """(a, b) edges that join, within each bucket, all sets that sizes and sketches let be linked, directly or through others.
+
+    A pair is left out only if no link is possible: its sizes are too far apart, or its sketches differ in more bits
+    than linked sets differ in elements. Members are taken in turn and compared with all at once, each class once more
+    only where it isn't the largest.
+    """
+
+    def possible(n: np.ndarray, sketch: np.ndarray, m: np.ndarray, other: np.ndarray) -> np.ndarray:
+        few = np.bitwise_count(sketch ^ other).sum(-1, dtype=np.int64) <= (100 - percent) * (n + m) // (100 + percent)
+        return few & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+
+    def classes(n: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+        root, tried, met = np.arange(len(n)), np.zeros(len(n), bool), np.zeros(len(n), bool)
+        order = iter(range(len(n)))
+        while True:
+            i = next((i for i in order if not met[i]), None)
+            if i is None:
+                names, counts = np.unique(root, return_counts=True)
+                left = np.flatnonzero((root != names[np.argmax(counts)]) & ~tried)
+                if not len(left):
+                    return root
+                i = int(left[0])
+            near = np.unique(np.append(root[possible(n, sketch, n[i], sketch[i])], root[i]))
+            root[np.isin(root, near)] = near[0]
+            tried[i] = True
+            met |= root == root[i]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches, "bucket", 1 << 14):
+            bucket, node, n = (np.asarray(table[c]) for c in ("bucket", "node", "n_shingles"))
+            sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(n), -1)
+            begin = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            size = np.diff(np.append(begin, len(bucket)))
+            pair = begin[size == 2]
+            pair = pair[possible(n[pair], sketch[pair], n[pair + 1], sketch[pair + 1])]
+            a, b = [node[pair]], [node[pair + 1]]
+            for s, m in zip(begin[size > 2].tolist(), size[size > 2].tolist()):
+                root = classes(n[s : s + m], sketch[s : s + m])
+                apart = root != np.arange(m)
+                a.append(node[s : s + m][root[apart]])
+                b.append(node[s : s + m][apart])
+            yield pa.RecordBatch.from_pydict({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    joined = buckets.join(sketched, "node").select("bucket", "node", "n_shingles", "sketch")
+    return joined.repartition(partitions, "bucket").sortWithinPartitions("bucket", "node").mapInArrow(run, "a long, b long").distinct()
 
 
 def link_sets(flat_sets: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
@@ -247,7 +331,9 @@ def similar_documents(docs: DataFrame, words: int = 4, percent: int = 85) -> Dat
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = save(set_table(docs, words))
-    edges = save(candidate_edges(signature_table(docs, words, percent), 2 * partitions))
+    buckets = save(repeated_buckets(signature_table(docs, words, percent), 2 * partitions))
+    sketched = table.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    edges = save(candidate_edges(buckets, sketched, percent, 2 * partitions))
     clusters = save(connected_components(edges).withColumnRenamed("component", "cluster"))
     # one row stands for each set
     heads = table.where("node >= 0").groupBy("node").agg(F.min("doc_id").alias("_id"), F.max("n_shingles").alias("_n"))
@@ -273,7 +359,7 @@ def similar_documents(docs: DataFrame, words: int = 4, percent: int = 85) -> Dat
     tasks = tasks.repartition(2 * partitions, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
     links = save(linked_within(tasks, percent))
     classes = connected_components(links)
-    named = table.join(classes, "node", "left").withColumn("_class", F.coalesce("component", "node"))
+    named = table.drop("sketch").join(classes, "node", "left").withColumn("_class", F.coalesce("component", "node"))
     least = named.where("node >= 0").groupBy("_class").agg(F.min("doc_id").alias("_least"))
     return named.join(least.withColumnRenamed("_class", "_c"), (F.col("_class") == F.col("_c")) & (F.col("node") >= 0), "left").select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
 
