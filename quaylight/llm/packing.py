@@ -26,7 +26,7 @@ def cut_documents(docs: DataFrame, path: str, capacity: int, end_id: int) -> Dat
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, every, at in row_ids(batch.column("text"), path, False):
+            for a, every, at in row_ids(batch.column("text"), path, True):
                 owner, piece, start, length, crc = [], [], [], [], []
                 for k, (i, j) in enumerate(zip(at.tolist(), at[1:].tolist())):
                     raw = np.append(every[i:j], end_id).astype("<u4").tobytes()

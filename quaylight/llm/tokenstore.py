@@ -169,7 +169,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = 1, shard
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, every, at in row_ids(batch.column("text"), path, False):
+            for a, every, at in row_ids(batch.column("text"), path, True):
                 doc = batch.column("doc_id").slice(a, len(at) - 1)
                 number = np.searchsorted(bounds, np.asarray(doc.fill_null(np.iinfo(np.int64).min)), "left")
                 small = every.astype("<u2")
