@@ -550,3 +550,82 @@ def scorecard(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def q_scorecard(spark, d):
     return scorecard(spark, d)
+
+
+# whole repositories
+
+
+_REPOS = [
+    ("r1", "package.json", '{"name": "x", "dependencies": {"a": "1"}, "scripts": {"start": "node s.js"}}'),
+    ("r1", "sub/package.json", '{"dependencies": {"b": "1"}}'),
+    ("r1", "sub/yarn.lock", "#"),
+    ("r1", "Dockerfile", "FROM --platform=x node AS build\nUSER app\nFROM node:latest\nCMD run\n"),
+    ("r1", "src/server.js", "import rl from 'express-rate-limit'\napp.get('/users', (req, res) => {})\nconst q = req.body\napp.use(cors())\ndb.query('SELECT a FROM t WHERE x=' + req.query.x)\nconst k = process.env.KEY\n"),
+    ("r2", "README.md", "# Two\nRequirements: python\nDeploy to production with gunicorn app\n"),
+    ("r2", "requirements.txt", "a==1.0\nb==2\n"),
+    ("r2", "docker-compose.yml", "services:\n  web:\n    command:\n      - run\n    user: app\n"),
+    ("r2", "app.py", "from x import HTTPBearer\n@app.get('/items')\ndef f(): pass\n@app.get('/health')\ndef h(): pass\n"),
+    ("r3", "go.mod", "module x\nrequire y v1\n"),
+    ("r3", "pom.xml", "<project><dependencies><dependency/></project>"),
+    ("r3", "Containerfile", "RUN x\n"),
+    ("r3", "main.go", "package main\nfunc main() {\n os.Getenv(\"A\")\n}\n"),
+    ("r3", "conf/app.yml", "allowed-origins: *\n"),
+]
+
+
+def _rows(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join("NULL" if v is None else f"CAST({v} AS BIGINT)" if isinstance(v, int) else f"'{v}'" for v in r) + ")" for r in rows)
+
+
+_DEPLOY = [
+    ("r1", "D002_ENVIRONMENT_DOCUMENTATION", "src/server.js"), ("r1", "D003_DEPENDENCY_LOCK", "package.json"), ("r1", "D004_DEPLOYMENT_DOCUMENTATION", "<repository>"),
+    ("r1", "D007_DOCKER_MUTABLE_BASE", "Dockerfile"), ("r1", "D008_DOCKER_ROOT_USER", "Dockerfile"),
+    ("r3", "D002_ENVIRONMENT_DOCUMENTATION", "main.go"), ("r3", "D003_DEPENDENCY_LOCK", "go.mod"), ("r3", "D004_DEPLOYMENT_DOCUMENTATION", "<repository>"),
+    ("r3", "D006_DOCKER_MISSING_FROM", "Containerfile"), ("r3", "D010_INVALID_DEPLOYMENT_CONFIG", "pom.xml"),
+]
+
+
+@query(f"SELECT * FROM (VALUES {_rows(_DEPLOY)}) t(repo_id, rule_id, file_path)")
+def q_d00x_repo_flags(spark, d):
+    from quaylight.operators import deploy
+
+    f = hosts.inline(spark, _REPOS)
+    return deploy.scan(f, lexer.lex(f)).select("repo_id", "rule_id", "file_path")
+
+
+_SECURITY = [
+    ("r1", "B001_API_AUTHENTICATION", "src/server.js", None), ("r1", "B002_INPUT_VALIDATION", "src/server.js", None), ("r1", "B003_RATE_LIMITING", "src/server.js", None),
+    ("r1", "B005_SQL_INJECTION", "src/server.js", 5), ("r2", "B003_RATE_LIMITING", "app.py", None), ("r3", "B004_PERMISSIVE_CORS", "conf/app.yml", 1),
+]
+
+
+@query(f"SELECT * FROM (VALUES {_rows(_SECURITY)}) t(repo_id, rule_id, file_path, line_start)")
+def q_b00x_security(spark, d):
+    from quaylight.operators import security
+
+    f = hosts.inline(spark, _REPOS)
+    return security.scan(lexer.lex(f), f).select("repo_id", "rule_id", "file_path", "line_start")
+
+
+@query(
+    f"""WITH f AS (SELECT * FROM (VALUES {_rows([r for r in _REPOS if chr(39) not in r[2] and chr(10) not in r[2]])}) t(repo_id, file_path, content)),
+    m AS (SELECT repo_id, file_path, CASE WHEN contains(file_path, '/') THEN regexp_replace(file_path, '/[^/]*$', '') ELSE '.' END AS folder FROM f WHERE file_path LIKE '%package.json'),
+    l AS (SELECT repo_id, CASE WHEN contains(file_path, '/') THEN regexp_replace(file_path, '/[^/]*$', '') ELSE '.' END AS folder FROM f WHERE file_path LIKE '%yarn.lock')
+    SELECT repo_id, file_path FROM m ANTI JOIN l USING (repo_id, folder)"""
+)
+def q_node_lock_antijoin(spark, d):
+    from quaylight.operators import deploy
+
+    f = hosts.inline(spark, [r for r in _REPOS if "package.json" in r[1] or "yarn" in r[1]])
+    nothing = f.select("repo_id").distinct().select("repo_id", *[F.lit(False).alias(c) for c in ("rust_main", "mvn_script", "mvn_config", "gradle_script", "gradle_config")])
+    return deploy.unlocked(deploy.manifests(f), nothing)
+
+
+_STAGES = "FROM --platform=x node AS build\nUSER app\nFROM node:latest\nCMD run\n"
+
+
+@query("SELECT 'r1' AS repo_id, 'Dockerfile' AS file_path, 'node:latest' AS base, true AS has_start UNION ALL SELECT 'r3', 'Containerfile', NULL, false")
+def q_docker_last_stage(spark, d):
+    from quaylight.operators import deploy
+
+    return deploy.dockerfiles(hosts.inline(spark, _REPOS)).select("repo_id", "file_path", F.nullif("base", F.lit("")).alias("base"), "has_start")
