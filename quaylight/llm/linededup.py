@@ -2,7 +2,7 @@
 
 A line's number is the first 32 bits of its MD5. The rolling number of a line joins those of the lines in a window that
 ends there; where it is 0 modulo a divisor, a chunk ends. Chunks so depend on nearby lines only and line up again
-after an insertion. A chunk of two lines or more that occurs again anywhere is removed but for its first occurrence
+after an insertion. A chunk of two lines or more, or of a line of 50 words or more, that occurs again anywhere is removed but for its first occurrence
 (smallest doc_id, then place), after its bytes were compared with that one's.
 """
 
@@ -16,7 +16,8 @@ from quaylight.llm.common import save
 WINDOW = 2
 DIVISOR = 3
 BASE = 1_000_003
-LEAST_LINES = 2
+#: A chunk counts from so many lines, or from so many words on one: a long passage may stand on a single line.
+LEAST_LINES, LEAST_WORDS = 2, 50
 #: Occurrences of a repeated chunk that are compared in one task; a chunk with more is dealt to as many as it needs.
 SALT_ROWS = 5_000
 
@@ -55,14 +56,14 @@ def line_chunks(text: Column, window: int = WINDOW, divisor: int = DIVISOR) -> C
     return F.when(text.isNotNull(), F.get(made, F.lit(0)))
 
 
-def repeated_chunks(docs: DataFrame, least_lines: int = LEAST_LINES) -> DataFrame:
+def repeated_chunks(docs: DataFrame, least_lines: int = LEAST_LINES, least_words: int = LEAST_WORDS) -> DataFrame:
     """(_id, _key, gone: array<int>): the first lines of chunks to remove, for rows that have any.
 
     _key is a hash of the text beside the id, so that rows which share an id are told apart; rows that repeat both id
     and text are one document and get one answer. A null id sorts last.
     """
     keyed = docs.where("text is not null").select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), "text")
-    every = keyed.select("_id", "_key", F.explode(F.filter(line_chunks(F.col("text")), lambda c: c["n"] >= least_lines)).alias("c"))
+    every = keyed.select("_id", "_key", F.explode(F.filter(line_chunks(F.col("text")), lambda c: (c["n"] >= least_lines) | (F.regexp_count(c["text"], F.lit("[^ \\t\\n\\r]+")) >= least_words))).alias("c"))
     places = save(every.select("_id", "_key", F.col("c.first").alias("first"), F.xxhash64("c.text", F.lit(1)).alias("_h"), F.xxhash64(F.lit(2), "c.text").alias("_g")))
     order = F.struct(F.col("_id").isNull().alias("a"), F.coalesce("_id", F.lit(0)).alias("b"), F.col("_key").alias("k"), F.col("first").alias("f"))
     twice = places.groupBy("_h", "_g").agg(F.min(order).alias("lead"), F.count("*").alias("m")).where("m > 1")

@@ -97,7 +97,8 @@ ORACLE_SQL = {
         ), chunks AS (
           SELECT doc_id, c, min(i) AS first, count(*) AS m, string_agg(line, chr(10) ORDER BY i) AS chunk FROM numbered GROUP BY doc_id, c
         ), ranked AS (
-          SELECT *, CASE WHEN m >= {linededup.LEAST_LINES} AND row_number() OVER (PARTITION BY m >= {linededup.LEAST_LINES}, chunk ORDER BY doc_id, first) > 1 THEN 1 ELSE 0 END AS gone FROM chunks
+          SELECT *, CASE WHEN big AND row_number() OVER (PARTITION BY big, chunk ORDER BY doc_id, first) > 1 THEN 1 ELSE 0 END AS gone
+          FROM (SELECT *, m >= {linededup.LEAST_LINES} OR len(regexp_extract_all(chunk, '[^ \\t\\n\\r]+')) >= {linededup.LEAST_WORDS} AS big FROM chunks)
         ), kept AS (
           SELECT doc_id, CAST(sum(m) AS BIGINT) AS n_lines, CAST(sum(m * gone) AS BIGINT) AS removed_lines, CAST(sum(gone) AS BIGINT) AS removed_chunks,
                  coalesce(string_agg(chunk, chr(10) ORDER BY first) FILTER (WHERE gone = 0), '') AS text
