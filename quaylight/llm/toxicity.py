@@ -17,7 +17,7 @@ from quaylight.llm.common import LOWER_ASCII, chunks, flat, mix, runs_of, save,
 BITS = 20
 #: Labelled rows that are learned from: those smallest by a hash of their id.
 TRAIN_ROWS = 12_000
-EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.08, 1.0, 1.2, 0.5
+EPOCHS, ALPHA, BETA, L1, L2 = 5, 1.0, 1.0, 10.0, 0.0
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
