@@ -629,3 +629,55 @@ def q_docker_last_stage(spark, d):
     from quaylight.operators import deploy
 
     return deploy.dockerfiles(hosts.inline(spark, _REPOS)).select("repo_id", "file_path", F.nullif("base", F.lit("")).alias("base"), "has_start")
+
+
+_TREE = "```\n├── src/\n│   └── a.py\n├── gone.txt\n└── dist\n```\n"
+_DOCS = [
+    ("d1", "README.md", "# One\n" + "words of prose here " * 8 + "\n## Tech Stack\n- React and FastAPI\n- Django\n## Usage\n```sh\nnpm run build\nnpm run nope\nmake all\n$ cd src\npython a.py\npython b.py\n```\n- `cargo run`\n## Project Structure\n" + _TREE),
+    ("d1", "package.json", '{"dependencies": {"react": "1"}, "scripts": {"build": "x"}}'),
+    ("d1", "requirements.txt", "-r req/base.txt\nflask==1\n"),
+    ("d1", "req/base.txt", "fastapi\n-r more.txt\n"),
+    ("d1", "req/more.txt", "x_y\n"),
+    ("d1", "Makefile", "all: x\n\techo\n"),
+    ("d1", "src/a.py", "x=1"),
+    ("d2", "readme.rst", "Two\n===\nshort\n"),
+    ("d2", "README.txt", "longer"),
+    ("d3", "x/README.md", "not the root's"),
+    ("d4", "x-main/README.md", "# Four\n" + "prose " * 40 + "\n## Run\n```\npython app.py\npython no.py\n```\n"),
+    ("d4", "x-main/app.py", "1"),
+]
+_DOC_FINDINGS = [("d1", "C002_TECH_STACK_MISMATCH", 5), ("d1", "C003_START_COMMAND_MISMATCH", 9), ("d1", "C003_START_COMMAND_MISMATCH", 13), ("d1", "C003_START_COMMAND_MISMATCH", 15), ("d1", "C004_PROJECT_STRUCTURE_MISMATCH", 20), ("d2", "C001_README_COMPLETENESS", None), ("d3", "C001_README_COMPLETENESS", None), ("d4", "C003_START_COMMAND_MISMATCH", 6)]
+
+
+@query(f"SELECT * FROM (VALUES {_rows(_DOC_FINDINGS)}) t(repo_id, rule_id, line_start)")
+def q_c00x_documentation(spark, d):
+    from quaylight.operators import docs
+
+    return docs.scan(hosts.inline(spark, _DOCS)).select("repo_id", "rule_id", "line_start")
+
+
+@query("SELECT * FROM (VALUES ('d1', 'README.md'), ('d2', 'readme.rst'), ('d4', 'x-main/README.md')) t(repo_id, file_path)")
+def q_primary_readme(spark, d):
+    from quaylight.operators import docs
+
+    return docs.primary_readmes(hosts.inline(spark, _DOCS)).select("repo_id", "file_path")
+
+
+@query(
+    """WITH RECURSIVE inc AS (SELECT * FROM (VALUES ('requirements.txt', 'req/base.txt'), ('req/base.txt', 'req/more.txt')) t(a, b)), r AS (SELECT 'requirements.txt' AS file_path UNION SELECT b FROM r JOIN inc ON a = file_path) SELECT 'd1' AS repo_id, file_path FROM r"""
+)
+def q_requirements_closure(spark, d):
+    from quaylight.operators import docs
+
+    roots = spark.createDataFrame([("d1", "requirements.txt")], "repo_id string, file_path string")
+    return docs.included(roots, spark.createDataFrame([("d1", "requirements.txt", "req/base.txt"), ("d1", "req/base.txt", "req/more.txt")], "repo_id string, _from string, _to string"))
+
+
+@query("WITH f AS (SELECT DISTINCT source AS repo_id, 'pkgs/' || source || (CASE WHEN doc_id % 2 = 0 THEN '' ELSE '/in' END) AS folder FROM documents) SELECT * FROM f WHERE regexp_matches(folder, '^pkgs/[^/]*$') AND folder <> 'pkgs/src3'")
+def q_workspace_glob_join(spark, d):
+    from quaylight.operators import docs
+
+    tail = F.when(F.col("doc_id") % 2 == 0, "").otherwise("/in")
+    folders = hosts.read(spark, d, "documents").select(F.col("source").alias("repo_id"), F.concat(F.lit("pkgs/"), F.col("source"), tail).alias("folder")).distinct()
+    globs = folders.select("repo_id").distinct().select("repo_id", F.explode(F.array(F.lit("./pkgs/*"), F.lit("!pkgs/src3"))).alias("glob"))
+    return docs.workspace_members(globs, folders)
