@@ -681,3 +681,40 @@ def q_workspace_glob_join(spark, d):
     folders = hosts.read(spark, d, "documents").select(F.col("source").alias("repo_id"), F.concat(F.lit("pkgs/"), F.col("source"), tail).alias("folder")).distinct()
     globs = folders.select("repo_id").distinct().select("repo_id", F.explode(F.array(F.lit("./pkgs/*"), F.lit("!pkgs/src3"))).alias("glob"))
     return docs.workspace_members(globs, folders)
+
+
+def _archive(names: list[str]) -> bytes:
+    import io
+    import tarfile
+
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w:gz") as t:
+        for n in names:
+            info = tarfile.TarInfo(n)
+            info.size = len(n)
+            t.addfile(info, io.BytesIO(n.encode()))
+    return out.getvalue()
+
+
+@query("SELECT * FROM (VALUES ('a', 0, 'x/y.py', NULL), ('a', 1, 'z', NULL), ('b', 0, '../up', 'name_parent'), ('c', 0, NULL, 'broken')) t(repo_id, member_no, name, breach)")
+def q_archive_members(spark, d):
+    rows = [("a", bytearray(_archive(["x/y.py", "z"]))), ("b", bytearray(_archive(["../up"]))), ("c", bytearray(b"neither"))]
+    return S.admitted(S.archive_members(spark.createDataFrame(rows, "repo_id string, content binary"))).select("repo_id", F.col("member_no").cast("int").alias("member_no"), "name", "breach")
+
+
+@query(EVENTS + " SELECT repo_id, count(*) AS findings FROM ev GROUP BY repo_id")
+def q_report(spark, d):
+    f = hosts.event_findings(spark, d).select("repo_id", "rule_id", "line_start")
+    doc = views.report({"findings": f, "rules": f.select("repo_id", "rule_id").distinct()})
+    return doc.select("repo_id", F.size(F.from_json("document", "findings array<struct<rule_id:string>>")["findings"]).cast("long").alias("findings"))
+
+
+@query("SELECT event_id AS task_id, CASE WHEN event_id % 2 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' ELSE TIMESTAMP '2025-01-01 00:00:00' END AS created_at FROM events WHERE event_id < 500")
+def q_upsert(spark, d):
+    from quaylight.operators import tasks as t
+
+    e = hosts.read(spark, d, "events").where("event_id < 500").select(F.col("event_id").alias("task_id"))
+    stamp = lambda y: F.lit(f"{y}-01-01 00:00:00").cast("timestamp_ntz")
+    old = e.where("task_id % 2 = 0").select("task_id", stamp(2024).alias("created_at"), stamp(2024).alias("updated_at"))
+    new = e.select("task_id", F.lit(None).cast("timestamp_ntz").alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("updated_at"))
+    return t.upsert(old, new, stamp(2025)).select("task_id", "created_at")
