@@ -70,15 +70,15 @@ def nodes_of(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(n > 0, h.astype(np.int64), -1)
 
 
-def signatures(sets: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of all sets and the row of each.
+def signatures(sets: np.ndarray, at: np.ndarray, percent: int, size: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of all sets and the row of each. size: the whole sets' sizes where some elements were left out of all sets.
 
     A band's groups are one more than needed for one to agree, plus a spare few: so a set may leave out signatures of
     groups with an empty choice of parts when it has no more such groups than spares, and still meets every partner.
     """
     last = bands(percent)
-    size = np.diff(at)
-    row_of = np.repeat(np.arange(len(size)), size)
+    row_of = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    size = np.diff(at) if size is None else size
     found, owner = [], []
     for ahead in (0, 1):
         band = np.searchsorted(last, size) + ahead
@@ -139,16 +139,42 @@ def set_table(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, node long, sketch binary")
 
 
-def signature_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
+#: Rows sampled for common shingles, in how many of them a shingle is common, and how many are left out at most.
+SAMPLE_ROWS, COMMON_ROWS, MOST_COMMON = 5_000, 8, 250_000
+
+
+def common_shingles(docs: DataFrame, words: int, n: int) -> np.ndarray:
+    """Hashes of shingles that many documents share, sorted: boilerplate. From a sample, at most MOST_COMMON.
+
+    They are left out of the domain that signatures partition. Whichever are left out, two sets differ in no more of
+    the other elements than in all, so linked sets still share a signature; only fewer other sets do.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = flat(batch.column("text"))
+            for a, b in chunks(offsets):
+                sets, _ = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
+                yield pa.RecordBatch.from_pydict({"h": sets.view(np.int64)})
+
+    some = docs.select("text").sample(min(1.0, SAMPLE_ROWS / max(n, 1)), 1) if n > SAMPLE_ROWS else docs.select("text")
+    often = some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON_ROWS)
+    got = often.orderBy(F.desc("count"), "h").limit(MOST_COMMON).select("h").toPandas()["h"]
+    return np.sort(got.to_numpy(np.int64).view(U))
+
+
+def signature_table(docs: DataFrame, words: int, percent: int, common: np.ndarray) -> DataFrame:
     """(sig, node) of each set; a set that a task has just met is not given again."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        known = shared.value
         for batch in batches:
             raw, offsets = flat(batch.column("text"))
             for a, b in chunks(offsets):
                 sets, at = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
-                nodes = nodes_of(sets, at)
+                nodes, sizes = nodes_of(sets, at), np.diff(at)
                 fresh = np.zeros(len(nodes), bool)
                 for i, x in enumerate(nodes.tolist()):
                     if x not in seen:
@@ -156,8 +182,11 @@ def signature_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
                         seen.add(x)
                 if len(seen) > 1_000_000:
                     seen.clear()
-                sizes = np.where(fresh, np.diff(at), 0)
-                sig, row = signatures(sets[np.repeat(fresh, np.diff(at))], np.concatenate(([0], np.cumsum(sizes))), percent)
+                use = np.repeat(fresh, sizes)
+                if len(known):
+                    use &= known[np.minimum(np.searchsorted(known, sets), len(known) - 1)] != sets
+                left = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[use], minlength=len(sizes))
+                sig, row = signatures(sets[use], np.concatenate(([0], np.cumsum(left))), percent, np.where(fresh, sizes, 0))
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(nodes[row])], ["sig", "node"])
 
     return docs.select("text").mapInArrow(run, "sig long, node long")
@@ -331,7 +360,7 @@ def similar_documents(docs: DataFrame, words: int = 4, percent: int = 85) -> Dat
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = save(set_table(docs, words))
-    buckets = save(repeated_buckets(signature_table(docs, words, percent), 2 * partitions))
+    buckets = save(repeated_buckets(signature_table(docs, words, percent, common_shingles(docs, words, table.count())), 2 * partitions))
     sketched = table.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     edges = save(candidate_edges(buckets, sketched, percent, 2 * partitions))
     clusters = save(connected_components(edges).withColumnRenamed("component", "cluster"))

@@ -86,6 +86,9 @@ def test_linked_sets_share_a_signature():
                     continue
                 sig, row = P.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), percent)
                 assert set(sig[row == 0].tolist()) & set(sig[row == 1].tolist())
+                left = [np.setdiff1d(x, a[::3]) for x in (a, b)]  # whichever elements are left out of both
+                sig, row = P.signatures(np.concatenate(left), np.array([0, len(left[0]), len(left[0]) + len(left[1])]), percent, np.array([len(a), len(b)]))
+                assert set(sig[row == 0].tolist()) & set(sig[row == 1].tolist())
                 x, y = P.sketches(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
                 assert np.bitwise_count(x ^ y).sum() <= len(a) + len(b) - 2 * both
 
