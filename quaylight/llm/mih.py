@@ -15,7 +15,7 @@ BITS, SUBSTRING = 64, 8
 #: Vectors that the rotation is learned from (those smallest by a hash of their id), and rounds of it.
 TRAIN_VECTORS, ROUNDS = 10_000, 15
 #: The radius holds this share of a sample's true neighbours.
-CALIBRATE = 0.985
+CALIBRATE = 0.93
 
 
 @dataclass
