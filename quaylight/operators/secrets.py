@@ -152,10 +152,8 @@ def private_key_rule(lines: DataFrame) -> DataFrame:
     return finding(each, "R005", None, line_end=F.col("line_b"), description=says, message=F.lit("Private key block detected"))
 
 
-def scan(files: DataFrame, lines: DataFrame) -> DataFrame:
-    """All sensitive-data findings, at most 100 of a rule in a file, with masked snippets. Example files get R001 to R005 only."""
-    from quaylight.operators.resolve import top_per_rule_and_file
-
+def rule_by_rule(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """The findings of all rules, each rule reading the lines for itself; one_pass() gives the same."""
     plain = lines.where(~base_name().isin(ENV_EXAMPLES))
     every = sensitive_assignments(lines)
     other = every.where(~base_name().isin(ENV_EXAMPLES))
@@ -166,7 +164,68 @@ def scan(files: DataFrame, lines: DataFrame) -> DataFrame:
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return with_snippets(top_per_rule_and_file(out))
+    return out
+
+
+def one_pass(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """The findings of all rules from one reading of the lines, and one more of those that bound key blocks.
+
+    Tokens, connections and assignments of a line are one array; its elements become rows, and each row the rules that
+    it breaks. Files named as examples get R001 to R005 only.
+    """
+    line = F.col("line")
+    hit = lambda rule, start, end, value, key, quoted: F.named_struct(F.lit("rule"), F.lit(rule), F.lit("start"), start, F.lit("end"), end, F.lit("value"), value, F.lit("key"), key, F.lit("quoted"), quoted)
+    token = lambda rule, pattern: F.when(line.rlike(pattern), F.transform(T.matches(line, pattern), lambda m: hit(rule, m["start"], m["end"], m["text"], F.lit(""), F.lit(False))))
+    strings = F.when(line.contains("://"), F.transform(T.matches_of_connection(line), lambda m: hit("R008", m["start"], m["end"], m["password"], F.lit(""), F.lit(False))))
+    given = F.when(T.may_assign(line), F.transform(T.assignments(line), lambda a: hit("", a["start"], a["end"], a["value"], a["key"], a["quoted"])))
+    parts = [token("R001", T.GITHUB), token("R002", T.AWS_KEY), token("R004", T.GOOGLE), strings, given]
+    some = lines.where(T.may_assign(line) | line.contains("://") | line.rlike(f"{T.GITHUB}|{T.AWS_KEY}|{T.GOOGLE}"))
+    hits = some.select("repo_id", "file_path", "line_no", "line", F.explode(F.flatten(F.array_compact(F.array(*parts)))).alias("x")).select("repo_id", "file_path", "line_no", "line", "x.*").where("value <> ''")
+    hits = hits.withColumn("class", F.when(F.col("rule") == "", T.key_class("key"))).where("rule <> '' or class is not null")
+    example = base_name().isin(ENV_EXAMPLES)
+    assigned, quoted = F.col("rule") == "", F.col("quoted")
+    strict = (F.col("class") == "aws_secret") & F.col("value").rlike("^[A-Za-z0-9/+]{40}\\z")
+    like, exact, masked, env = T.is_placeholder_like("value"), T.is_placeholder("value"), T.is_masked("value"), T.is_env_reference("value", quoted)
+    literal = ~T.is_nullish("value") & (like | ~T.is_dynamic("value", quoted, "file_path")) & ~T.is_documentation("value") & ~env & ~masked
+    broken = {
+        "R001": F.col("rule") == "R001", "R002": F.col("rule") == "R002", "R004": F.col("rule") == "R004",
+        "R003": assigned & strict & ~exact,
+        "R006": assigned & ~example & (F.col("class") == "password") & literal,
+        "R007": assigned & ~example & ((F.col("class") == "secret") | (F.col("class") == "aws_secret") & ~strict) & literal,
+        "R008": (F.col("rule") == "R008") & ~example & ~T.is_env_reference("value", F.lit(False)) & ~masked,
+        "R011": assigned & base_name().isin(PRODUCTION_FILES) & ~line.rlike("(?U)^\\s*#") & ~env & ~exact & ~masked & ~T.is_no_secret("value"),
+    }
+    low = {
+        **{r: T.is_low_entropy("value", 4) for r in ("R001", "R002", "R004")}, "R003": T.is_low_entropy("value", 0),
+        "R006": like | in_tests(), "R007": like | in_tests(), "R008": exact | T.is_documentation("value"), "R011": F.lit(False),
+    }
+    rows = hits.select("*", F.explode(F.array_compact(F.array(*[F.when(c, F.named_struct(F.lit("r"), F.lit(r), F.lit("low"), F.coalesce(low[r], F.lit(False)))) for r, c in broken.items()]))).alias("b"))
+    r, is_low = F.col("b.r"), F.col("b.low")
+
+    def of(value) -> Column:
+        out = None
+        for k in broken:
+            out = F.when(r == k, F.lit(value(k))) if out is None else out.when(r == k, F.lit(value(k)))
+        return out
+
+    odd = (r == "R007") & (F.col("class") == "aws_secret")
+    says = F.when(odd, "AWS secret key with non-standard value detected").otherwise(of(lambda k: SAYS[k][0]))
+    made = {
+        "repo_id": F.col("repo_id"), "rule_id": of(lambda k: _RULES[k][0]), "rule_name": of(lambda k: _RULES[k][1]),
+        "severity": F.when(is_low, "low").otherwise(of(lambda k: _RULES[k][2])), "confidence": F.when(is_low, "low").otherwise(of(lambda k: _RULES[k][3])),
+        "file_path": F.col("file_path"), "line_start": F.col("line_no"), "line_end": F.col("line_no"), "column_start": F.col("start"), "column_end": F.col("end"),
+        "snippet_masked": line, "is_blocking": of(lambda k: _RULES[k][4]) & ~is_low, "finding_type": F.lit("content"), "description": says,
+        "category": of(lambda k: SAYS[k][1]), "secret_type": F.when(odd, "aws_secret_key_generic").otherwise(of(lambda k: SAYS[k][2])), "message": says,
+        "repair_template_key": F.when(odd, "rotate_aws_credentials").otherwise(of(lambda k: _RULES[k][7])), "dimension": F.lit(V.SENSITIVE),
+    }
+    return rows.select(*[made[c].alias(c) for c in V.FINDING_COLUMNS]).unionByName(private_key_rule(lines)).unionByName(env_file_rule(files))
+
+
+def scan(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """All sensitive-data findings, at most 100 of a rule in a file, with masked snippets."""
+    from quaylight.operators.resolve import top_per_rule_and_file
+
+    return with_snippets(top_per_rule_and_file(one_pass(files, lines)))
 
 
 def with_snippets(findings: DataFrame) -> DataFrame:

@@ -138,3 +138,13 @@ def test_tasks(spark):
     assert sorted(map(tuple, e.collect())) == [("a", "failed", "restart"), ("b", "completed", None)]
     answer = spark.createDataFrame([('```json\n{"explanation": "a", "instruction": "b"}\n```',), ('{"explanation": " "}',), ("no",)], "t string")
     assert [r[0] and tuple(r[0]) for r in answer.select(repair.parsed_answer(F.col("t"))).collect()] == [("a", "b"), None, None]
+
+
+def test_one_pass_equals_rule_by_rule(spark):
+    h = "a1B2" * 9
+    texts = [f"ghp" + f"_{h} AKIA" + "Q1" * 8, "AIza" + "x" * 35, 'password = "hunter2x" token=abcdef.ghi', f'aws_secret_access_key="{h}abcd"', "aws_secret: x", '"aws_secret": "short"', "db://u:changeme@h pg://u:realpw@h", "API_KEY=true", "# SECRET=value9", "SECRET=value9", "token = os.getenv('X')", "PWD=***", "client_secret = your-thing", "pw: x", "é🙂 token=zzz999"]
+    rows = [(f"r{i % 2}", p, "\n".join(texts)) for i, p in enumerate(["src/a.py", ".env.production", "tests/x.py", ".env.example", "conf.yaml", ".env"])]
+    f = hosts.inline(spark, rows)
+    lines = S.explode_lines(f)
+    a, b = (sorted(map(repr, g(f, lines).collect())) for g in (secrets.one_pass, secrets.rule_by_rule))
+    assert a == b and len(a) > 60
