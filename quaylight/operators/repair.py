@@ -23,20 +23,27 @@ def needs_review(findings: DataFrame) -> DataFrame:
     return findings.join(allowed, (F.col("rule_id") == F.col("rule")) & (F.col("repair_template_key") == F.col("template")), "left").withColumn("mismatch", F.col("_fits").isNull()).drop("rule", "template", "_fits")
 
 
-#: What makes a plan partial, and the actions that then must be in it.
-CONDITIONS = {"FINDINGS_TRUNCATED": "REVIEW_SCAN_COVERAGE", "NO_FILES_SCANNED": "REVIEW_SCAN_COVERAGE", "SCAN_ERRORS": "RESOLVE_SCAN_ERROR", "RULE_TEMPLATE_MISMATCH": "MANUAL_REVIEW_REQUIRED"}
+#: Conditions and the actions that a plan then must have, each with a repeated scan. All but blocking make it partial.
+CONDITIONS = {
+    "BLOCKING_FINDINGS": ["VERIFY_NO_SECRET_REMAINS"],
+    "FINDINGS_TRUNCATED": ["REVIEW_SCAN_COVERAGE"],
+    "SCAN_ERRORS": ["RESOLVE_SCAN_ERROR", "REVIEW_SCAN_COVERAGE"],
+    "NO_FILES_SCANNED": ["REVIEW_SCAN_COVERAGE"],
+    "BLOCKING_MISSING": ["REVIEW_SCAN_COVERAGE"],
+    "RULE_TEMPLATE_MISMATCH": ["MANUAL_REVIEW_REQUIRED"],
+}
 
 
 def partial_conditions(findings: DataFrame, summary: DataFrame) -> DataFrame:
-    """(repo_id, condition, action_code) for each condition that holds; scan errors ask for a coverage review as well."""
-    bad = needs_review(findings).groupBy("repo_id").agg(F.bool_or("mismatch").alias("_bad"))
-    s = summary.join(bad, "repo_id", "left")
+    """(repo_id, condition, action_code) for each condition that holds; findings are those that a result kept."""
+    seen = needs_review(findings).groupBy("repo_id").agg(F.bool_or("mismatch").alias("_bad"), F.count_if("is_blocking").alias("_blocking"))
+    s = summary.join(seen, "repo_id", "left").fillna(0, ["_blocking"]).fillna(False, ["_bad"])
     holds = {
-        "FINDINGS_TRUNCATED": F.col("findings_truncated"), "NO_FILES_SCANNED": F.col("total_files_scanned") == 0,
-        "SCAN_ERRORS": F.col("total_scan_errors") > 0, "RULE_TEMPLATE_MISMATCH": F.coalesce("_bad", F.lit(False)),
+        "BLOCKING_FINDINGS": F.col("_blocking") > 0, "FINDINGS_TRUNCATED": F.col("findings_truncated"), "SCAN_ERRORS": F.col("total_scan_errors") > 0,
+        "NO_FILES_SCANNED": F.col("total_files_scanned") == 0, "BLOCKING_MISSING": F.col("blocking_findings") > F.col("_blocking"), "RULE_TEMPLATE_MISMATCH": F.col("_bad"),
     }
-    pairs = [(c, a, holds[c]) for c, a in CONDITIONS.items()] + [("SCAN_ERRORS", "REVIEW_SCAN_COVERAGE", holds["SCAN_ERRORS"])]
-    return s.select("repo_id", F.explode(F.array_compact(F.array(*[F.when(h, F.struct(F.lit(c).alias("condition"), F.lit(a).alias("action_code"))) for c, a, h in pairs]))).alias("x")).select("repo_id", "x.*")
+    pairs = [F.when(holds[c], F.struct(F.lit(c).alias("condition"), F.lit(a).alias("action_code"))) for c, acts in CONDITIONS.items() for a in [*acts, "RERUN_SECURITY_SCAN"]]
+    return s.select("repo_id", F.explode(F.array_compact(F.array(*pairs))).alias("x")).select("repo_id", "x.*")
 
 
 def groups(findings: DataFrame) -> DataFrame:

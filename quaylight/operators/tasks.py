@@ -60,15 +60,3 @@ def history(entries: DataFrame, size: int = V.HISTORY_SIZE) -> DataFrame:
     """The last entry of each task, newest first, at most `size`."""
     n = F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc("created_at"), F.desc("seq")))
     return entries.withColumn("_n", n).where("_n = 1").drop("_n").orderBy(F.desc("created_at"), "task_id").limit(size)
-
-
-# Words of an error that tell its code.
-DOWNLOAD_ERRORS = [("not found", "REPO_NOT_FOUND"), ("too large", "REPO_TOO_LARGE"), ("exceeds", "REPO_TOO_LARGE"), ("timeout", "DOWNLOAD_TIMEOUT"), ("timed out", "DOWNLOAD_TIMEOUT"), ("rate limit", "RATE_LIMITED")]
-
-
-def error_code(message: Column, table: list[tuple[str, str]] = DOWNLOAD_ERRORS, other: str = "INTERNAL_ERROR") -> Column:
-    low = F.lower(message)
-    out = F.when(low.contains(table[0][0]), table[0][1])
-    for words, code in table[1:]:
-        out = out.when(low.contains(words), code)
-    return out.otherwise(other)

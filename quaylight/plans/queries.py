@@ -407,10 +407,15 @@ _ALLOWED = "(VALUES " + ", ".join(f"('{r[0]}', '{r[7]}')" for r in V.RULES if r[
 _BAD = f", bad AS (SELECT repo_id, bool_or(rule IS NULL) AS bad FROM ev LEFT JOIN {_ALLOWED} ON rule = rule_id AND template = repair_template_key GROUP BY repo_id)"
 
 
-@query(
-    EVENTS + _SUMMARY + _BAD + """ SELECT repo_id, 'FINDINGS_TRUNCATED' AS condition, 'REVIEW_SCAN_COVERAGE' AS action_code FROM su WHERE findings_truncated UNION ALL SELECT repo_id, 'NO_FILES_SCANNED', 'REVIEW_SCAN_COVERAGE' FROM su WHERE total_files_scanned = 0
-    UNION ALL SELECT repo_id, 'SCAN_ERRORS', unnest(['RESOLVE_SCAN_ERROR', 'REVIEW_SCAN_COVERAGE']) FROM su WHERE total_scan_errors > 0 UNION ALL SELECT repo_id, 'RULE_TEMPLATE_MISMATCH', 'MANUAL_REVIEW_REQUIRED' FROM bad WHERE bad"""
-)
+_CONDITIONS = _BAD + """, co AS (
+   SELECT repo_id, 'BLOCKING_FINDINGS' AS condition, unnest(['VERIFY_NO_SECRET_REMAINS', 'RERUN_SECURITY_SCAN']) AS action_code FROM su WHERE blocking_findings > 0
+   UNION ALL SELECT repo_id, 'FINDINGS_TRUNCATED', unnest(['REVIEW_SCAN_COVERAGE', 'RERUN_SECURITY_SCAN']) FROM su WHERE findings_truncated
+   UNION ALL SELECT repo_id, 'NO_FILES_SCANNED', unnest(['REVIEW_SCAN_COVERAGE', 'RERUN_SECURITY_SCAN']) FROM su WHERE total_files_scanned = 0
+   UNION ALL SELECT repo_id, 'SCAN_ERRORS', unnest(['RESOLVE_SCAN_ERROR', 'REVIEW_SCAN_COVERAGE', 'RERUN_SECURITY_SCAN']) FROM su WHERE total_scan_errors > 0
+   UNION ALL SELECT repo_id, 'RULE_TEMPLATE_MISMATCH', unnest(['MANUAL_REVIEW_REQUIRED', 'RERUN_SECURITY_SCAN']) FROM bad WHERE bad)"""
+
+
+@query(EVENTS + _SUMMARY + _CONDITIONS + " SELECT * FROM co")
 def q_partial_conditions(spark, d):
     return repair.partial_conditions(hosts.event_findings(spark, d), _summary(spark, d))
 
@@ -718,3 +723,83 @@ def q_upsert(spark, d):
     old = e.where("task_id % 2 = 0").select("task_id", stamp(2024).alias("created_at"), stamp(2024).alias("updated_at"))
     new = e.select("task_id", F.lit(None).cast("timestamp_ntz").alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("updated_at"))
     return t.upsert(old, new, stamp(2025)).select("task_id", "created_at")
+
+
+@query(
+    EVENTS + _SUMMARY + _GROUPS + _CONDITIONS + """, lk AS (SELECT DISTINCT repo_id, action_code FROM co EXCEPT SELECT repo_id, action_code FROM gr),
+    al2 AS (SELECT repo_id, action_code, finding_count, blocking FROM gr UNION ALL SELECT repo_id, action_code, 0, false FROM lk)
+    SELECT repo_id, count(*) AS total_groups, CAST(sum(CASE WHEN blocking THEN 1 ELSE 0 END) AS BIGINT) AS blocking_groups,
+    CASE WHEN bool_or(action_code IN ('MANUAL_REVIEW_REQUIRED', 'REVIEW_SCAN_COVERAGE', 'RESOLVE_SCAN_ERROR')) THEN 'partial' ELSE 'complete' END AS plan_status FROM al2 GROUP BY repo_id"""
+)
+def q_plan_summary(spark, d):
+    from quaylight.operators import publish
+
+    return publish.plan_summary(publish.plan(hosts.event_findings(spark, d), _summary(spark, d))).drop("verification")
+
+
+@query(
+    EVENTS + _GROUPS + """, nu2 AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY blocking DESC, priority, s, c, action_code, coalesce(kt, ''), coalesce(kr, ''), coalesce(ks, ''), coalesce(first_file, '')) AS n,
+      15 + length(action_code) FROM gr) SELECT repo_id, 'RG' || lpad(CAST(n AS VARCHAR), 3, '0') AS group_id, '- [' || action_code || '] (' || CAST(finding_count AS VARCHAR) || ' findings)' AS line FROM nu2 WHERE n <= 3"""
+)
+def q_prompt_lines(spark, d):
+    from quaylight.operators import publish
+
+    g = repair.ordered_groups(repair.groups(hosts.event_findings(spark, d))).withColumn("related_rule_ids", F.array().cast("array<string>"))
+    return publish.prompt_lines(g).where("group_id <= 'RG003'")
+
+
+@query()
+def q_plan_violations(spark, d):
+    from quaylight.operators import publish
+
+    g = publish.plan(hosts.event_findings(spark, d), _summary(spark, d))
+    s = publish.plan_summary(g).select("repo_id", "plan_status", (F.col("plan_status") == "partial").alias("coverage_warning"), F.lit(False).alias("groups_truncated"))
+    return publish.plan_violations(s, g)
+
+
+_PATHS = ["a/b", "./a//b", "a\\b", "../x", "/etc/x", "~/x", "./~/x", "C:/x", "a`b", "a/./b/"]
+
+
+@query("SELECT doc_id, (['a/b','a/b','a/b','<redacted-path>','<redacted-path>','<redacted-path>','<redacted-path>','<redacted-path>','<redacted-path>','a/b'])[(doc_id % 10) + 1] AS shown FROM documents")
+def q_shown_path(spark, d):
+    from quaylight.operators import publish
+
+    return hosts.read(spark, d, "documents").select("doc_id", publish.shown_path(F.get(F.array(*map(F.lit, _PATHS)), (F.col("doc_id") % 10).cast("int"))).alias("shown"))
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'REPOSITORY_NOT_FOUND' WHEN 1 THEN 'PRIVATE_REPOSITORY' WHEN 2 THEN 'GITHUB_RATE_LIMITED' WHEN 3 THEN 'DOWNLOAD_TOO_LARGE' ELSE 'DOWNLOAD_FAILED' END AS code, 'see ' || (CASE WHEN event_id % 2 = 0 THEN '<redacted-path> now' ELSE 'https://h/tmp now' END) AS said FROM events")
+def q_error_codes(spark, d):
+    from quaylight.operators import publish
+
+    e = hosts.read(spark, d, "events")
+    m = F.get(F.array(*map(F.lit, ["Repo Not Found", "is private", "HTTP 429", "content-length over", "reset"])), (F.col("event_id") % 5).cast("int"))
+    said = F.when(F.col("event_id") % 2 == 0, "see /var/tmp/t1/x now").otherwise("see https://h/tmp now")
+    return e.select("event_id", publish.error_code(m).alias("code"), publish.without_paths(said).alias("said"))
+
+
+@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN '422' WHEN 1 THEN '404' WHEN 2 THEN '409' WHEN 3 THEN 'empty' WHEN 4 THEN 'result' ELSE 'missing' END AS answer FROM events")
+def q_state_guards(spark, d):
+    from quaylight.operators import publish
+
+    k = F.col("event_id") % 6
+    task = F.when(k == 0, "no-uuid").otherwise("00000000-0000-4000-8000-00000000000A")
+    status = F.get(F.array(*map(F.lit, ["completed", None, "running", "failed", "completed", "completed"])), k.cast("int"))
+    return hosts.read(spark, d, "events").select("event_id", publish.answer_of(task, status, k == 4).alias("answer"))
+
+
+@query(EVENTS + " SELECT repo_id, count(*) AS rows, false AS too_large FROM ev GROUP BY repo_id")
+def q_result_document(spark, d):
+    from quaylight.operators import publish
+
+    doc = publish.document(resolve.truncate_findings(resolve.number_findings(hosts.event_findings(spark, d))).drop("out_position"), "scan")
+    return doc.select("repo_id", F.size(F.from_json("body", "array<struct<rule_id:string>>")).cast("long").alias("rows"), "too_large")
+
+
+@query("SELECT event_id AS task_id FROM events WHERE event_id % 3 <> 0")
+def q_stale_plans(spark, d):
+    from quaylight.operators import publish
+
+    e = hosts.read(spark, d, "events")
+    plans = e.select(F.col("event_id").alias("task_id"), F.lit("t1").alias("source_scan_updated_at"))
+    scans = e.where("event_id % 3 <> 1").select(F.col("event_id").alias("task_id"), F.when(F.col("event_id") % 3 == 0, "t1").otherwise("t2").alias("updated_at"))
+    return publish.stale_plans(plans, scans).select("task_id")
