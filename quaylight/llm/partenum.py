@@ -21,6 +21,8 @@ U = np.uint64
 PARTS = 3  # of a group; signatures leave out one
 #: Elements of the sets compared in one task; a larger candidate cluster is dealt out as pairs of blocks of half that.
 TASK_ELEMENTS = 6_000_000
+#: Bits of the map of candidate sets.
+MARKS = 1 << 20
 _LARGEST = 1 << 40
 
 
@@ -369,18 +371,24 @@ def similar_documents(docs: DataFrame, words: int = 4, percent: int = 85) -> Dat
     heads = save(heads.join(clusters, "node"))
     weight = heads.groupBy("cluster").agg(F.sum("_n").alias("whole")).withColumn("blocks", F.when(F.col("whole") <= TASK_ELEMENTS, 1).otherwise(F.ceil(F.col("whole") / (TASK_ELEMENTS // 2))).cast("int"))
     heads = heads.join(weight, "cluster").select("node", "_id", "cluster", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    chosen = docs.select(F.col("doc_id").cast("long").alias("_d"), "text").join(heads, F.col("_d").eqNullSafe(F.col("_id"))).select("node", "cluster", "blocks", "block", "text")
+    # a bitmap of MARKS bits, whatever the number of candidates, spares most other texts: only sets that may be needed move
+    marks = np.zeros(MARKS, bool)
+    marks[[r["m"] for r in heads.select(F.col("node").bitwiseAND(MARKS - 1).alias("m")).distinct().collect()]] = True
+    shared = spark.sparkContext.broadcast(np.packbits(marks))
 
     def elements(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             raw, offsets = flat(batch.column("text"))
             for a, b in chunks(offsets):
                 sets, at = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
-                same = np.flatnonzero(nodes_of(sets, at) == np.asarray(batch.column("node").slice(a, b - a)))  # not another row of that id
+                node = nodes_of(sets, at)
+                some = np.flatnonzero((node >= 0) & marked[node & (MARKS - 1)])
                 whole = sets.tobytes()
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a).take(pa.array(same)) for c in ("cluster", "blocks", "block", "node")), pa.array([whole[8 * at[i] : 8 * at[i + 1]] for i in same], pa.binary())], ["cluster", "blocks", "block", "node", "elements"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).take(pa.array(some)), pa.array(node[some]), pa.array([whole[8 * at[i] : 8 * at[i + 1]] for i in some], pa.binary())], ["_d", "_node", "elements"])
 
-    sets = chosen.mapInArrow(elements, "cluster long, blocks int, block int, node long, elements binary")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(elements, "_d long, _node long, elements binary")
+    sets = found.join(heads, (F.col("_node") == F.col("node")) & F.col("_d").eqNullSafe(F.col("_id"))).select("cluster", "blocks", "block", "node", "elements")
     # each pair of blocks of a cluster is a comparison
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     tasks = sets.select("cluster", F.col("block"), other, "node", "elements")
