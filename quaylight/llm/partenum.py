@@ -87,7 +87,7 @@ def signatures(sets: np.ndarray, at: np.ndarray, percent: int, size: np.ndarray
         k = most_different(last[np.minimum(band, len(last) - 1)], percent)
         k[size == 0] = 0
         need = -(-(k + 1) // 2)
-        spare = 1 + need // 32
+        spare = 2 + need // 8  # a choice of two parts holds about five elements: some hundredths of all groups have an empty one
         groups = np.where(k > 0, need + spare, 0)  # with k = 0 only equal sets are linked
         parts = groups * PARTS
         base = np.concatenate(([0], np.cumsum(parts)))
