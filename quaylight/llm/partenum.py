@@ -21,6 +21,8 @@ U = np.uint64
 PARTS = 3  # of a group; signatures leave out one
 #: Elements of the sets compared in one task; a larger candidate cluster is dealt out as pairs of blocks of half that.
 TASK_ELEMENTS = 6_000_000
+#: Candidate sets (some 40 bytes each) up to which their clusters are broadcast to the sets; beyond, both are shuffled.
+BROADCAST_ROWS = 500_000
 #: Bits of the map of candidate sets.
 MARKS = 1 << 20
 _LARGEST = 1 << 40
@@ -388,7 +390,8 @@ def similar_documents(docs: DataFrame, words: int = 4, percent: int = 85) -> Dat
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).take(pa.array(some)), pa.array(node[some]), pa.array([whole[8 * at[i] : 8 * at[i + 1]] for i in some], pa.binary())], ["_d", "_node", "elements"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(elements, "_d long, _node long, elements binary")
-    sets = found.join(heads, (F.col("_node") == F.col("node")) & F.col("_d").eqNullSafe(F.col("_id"))).select("cluster", "blocks", "block", "node", "elements")
+    few = heads.count() <= BROADCAST_ROWS
+    sets = found.join(F.broadcast(heads) if few else heads, (F.col("_node") == F.col("node")) & F.col("_d").eqNullSafe(F.col("_id"))).select("cluster", "blocks", "block", "node", "elements")
     # each pair of blocks of a cluster is a comparison
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     tasks = sets.select("cluster", F.col("block"), other, "node", "elements")

@@ -64,6 +64,7 @@ def test_against_all_pairs(spark):
 
 def test_large_clusters_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(P, "TASK_ELEMENTS", 900)
+    monkeypatch.setattr(P, "BROADCAST_ROWS", 10)
     rng = random.Random(3)
     base = cases.text(rng, 60)
     rows = [(i, near(rng, base, rng.randint(0, 4))) for i in range(90)]
