@@ -23,8 +23,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated chunks of lines, n_chars anew; a document of which nothing is left goes."""
-    out = linededup.dedup_lines(docs).where("removed_lines = 0 or text <> ''").select(*docs.columns)
+    """Texts without their repeated passages and chunks of lines, n_chars anew; a document of which nothing is left goes."""
+    out = linededup.dedup_passages(docs).where("removed_lines = 0 or text <> ''").select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else out
 
 

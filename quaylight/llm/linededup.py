@@ -4,6 +4,9 @@ A line's number is the first 32 bits of its MD5. The rolling number of a line jo
 ends there; where it is 0 modulo a divisor, a chunk ends. Chunks so depend on nearby lines only and line up again
 after an insertion. A chunk of two lines or more, or of a line of 50 words or more, that occurs again anywhere is removed but for its first occurrence
 (smallest doc_id, then place), after its bytes were compared with that one's.
+
+Boundaries fall by luck, so that chunks alone miss most short passages. dedup_passages() also removes every run of lines
+of 50 words or more that occurs again, wherever the boundaries are.
 """
 
 from __future__ import annotations
@@ -101,3 +104,77 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     }
     text = F.when(F.col("gone").isNull(), F.col("_t")).otherwise(F.array_join(F.transform(kept, lambda c: c["text"]), "\n"))
     return cut.select(*[text.alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns if c not in added], *[v.alias(k) for k, v in added.items()])
+
+
+def _windows(text: Column, least_words: int) -> Column:
+    """array<struct<first, n, same>>: the shortest runs of lines of so many words from each line on and up to each line.
+
+    Together they cover every line of a repeated run of so many words, and depend on nothing outside of it. A run begins
+    and ends with a line that has words. same is the SHA-256 of the run's text.
+    """
+
+    def reach(ws: Column) -> Column:
+        """For each line, words * 1000 + lines of the shortest run from it on; under least_words * 1000 if there is none."""
+        full = F.lit(least_words * 1000)
+        return F.transform(ws, lambda _, k: F.aggregate(F.slice(ws, k + 1, least_words), F.lit(0), lambda s, w: F.when(s >= full, s).otherwise(s + w * 1000 + 1)))
+
+    def span(r: Column, at: Column, k: Column, ahead: bool) -> Column:
+        far = F.pmod(r, F.lit(1000)) - 1
+        a, b = (F.get(at, k), F.get(at, k + far)) if ahead else (F.get(at, k - far), F.get(at, k))
+        return F.when(r >= least_words * 1000, a.cast("long") * 2**31 + (b - a + 1))
+
+    counted = F.transform(F.array(F.split(text, "\n", -1)), lambda ls: F.named_struct(F.lit("ls"), ls, F.lit("w"), F.transform(ls, lambda x: F.least(F.regexp_count(x, F.lit("[^ \\t\\n\\r]+")), F.lit(least_words)))))
+    worded = F.transform(counted, lambda s: F.named_struct(F.lit("ls"), s["ls"], F.lit("w"), F.filter(s["w"], lambda w: w > 0), F.lit("at"), F.filter(F.transform(s["w"], lambda w, i: F.when(w > 0, i)), lambda i: i.isNotNull())))
+    reached = F.transform(worded, lambda s: F.named_struct(F.lit("ls"), s["ls"], F.lit("at"), s["at"], F.lit("on"), reach(s["w"]), F.lit("up"), F.reverse(reach(F.reverse(s["w"])))))
+    spans = F.transform(
+        reached,
+        lambda s: F.named_struct(
+            *(F.lit("ls"), s["ls"]),
+            *(F.lit("x"), F.filter(F.array_distinct(F.concat(F.transform(s["on"], lambda r, k: span(r, s["at"], k, True)), F.transform(s["up"], lambda r, k: span(r, s["at"], k, False)))), lambda x: x.isNotNull())),
+        ),
+    )
+
+    def run(s: Column, x: Column) -> Column:
+        first, n = F.shiftright(x, 31).cast("int"), F.pmod(x, F.lit(2**31)).cast("int")
+        return F.named_struct(F.lit("first"), first, F.lit("n"), n, F.lit("same"), F.unhex(F.sha2(F.array_join(F.slice(s["ls"], first + 1, n), "\n").cast("binary"), 256)))
+
+    return F.get(F.transform(spans, lambda s: F.transform(s["x"], lambda x: run(s, x))), F.lit(0))
+
+
+def repeated_runs(docs: DataFrame, least_lines: int = LEAST_LINES, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(_id, _key, runs: array<struct<first, n>>): the runs of lines to remove, for rows that have any.
+
+    Runs of least_words words or more are compared wherever they stand, shorter ones of least_lines lines or more as the
+    chunks of line_chunks(). Texts with one SHA-256 count as equal, so no text is moved. A run that overlaps its first
+    occurrence stays. _key and ids as in repeated_chunks().
+    """
+    keyed = docs.where("text is not null").select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), "text")
+    short = F.filter(line_chunks(F.col("text")), lambda c: (c["n"] >= least_lines) & (F.regexp_count(c["text"], F.lit("[^ \\t\\n\\r]+")) < least_words))
+    short = F.transform(short, lambda c: F.named_struct(F.lit("first"), c["first"], F.lit("n"), c["n"], F.lit("same"), F.unhex(F.sha2(c["text"].cast("binary"), 256))))
+    places = save(keyed.select("_id", "_key", F.explode(F.concat(_windows(F.col("text"), least_words), short)).alias("c")).select("_id", "_key", "c.*"))
+    order = F.struct(F.col("_id").isNull().alias("a"), F.coalesce("_id", F.lit(0)).alias("b"), F.col("_key").alias("k"), F.col("first").alias("f"))
+    twice = save(places.groupBy("same").agg(F.min(order).alias("lead"), F.count("*").alias("m")).where("m > 1").drop("m"))
+    lead = F.col("lead")
+    apart = (order["a"] != lead["a"]) | (order["b"] != lead["b"]) | (order["k"] != lead["k"]) | (F.col("first") >= lead["f"] + F.col("n"))
+    return places.join(twice, "same").where(apart).groupBy("_id", "_key").agg(F.collect_set(F.struct("first", "n")).alias("runs"))
+
+
+def dedup_passages(docs: DataFrame) -> DataFrame:
+    """The rows and columns of docs with repeated_runs() cut out of text, and n_lines, removed_lines, removed_passages.
+
+    A passage is a longest run of removed lines. Else as dedup_lines().
+    """
+    gone = repeated_runs(docs.select("doc_id", "text"))
+    held = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_i"), F.col("text").alias("_t"), F.xxhash64("text").alias("_k"))
+    joined = held.join(gone, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left")
+    lost = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["first"] + r["n"] - 1))))
+    cut = joined.withColumn("_x", F.when(F.col("runs").isNotNull(), lost)).withColumn("_n", F.coalesce(F.length("_t") - F.length(F.replace("_t", F.lit("\n"), F.lit(""))) + 1, F.lit(0)))
+    # set operations on ints are hashed, so that long texts cost no more a line
+    kept = F.transform(F.array(F.split("_t", "\n", -1)), lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.col("_n") - 1), F.col("_x")), lambda i: F.get(ls, i)), "\n"))
+    added = {
+        "n_lines": F.col("_n").cast("long"),
+        "removed_lines": F.coalesce(F.size("_x"), F.lit(0)).cast("long"),
+        "removed_passages": F.coalesce(F.size(F.array_except("_x", F.transform("_x", lambda i: i + 1))), F.lit(0)).cast("long"),
+    }
+    text = F.when(F.col("_x").isNull(), F.col("_t")).otherwise(F.get(kept, F.lit(0)))
+    return cut.select(*[text.alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns if c not in added], *[v.alias(k) for k, v in added.items()])

@@ -44,6 +44,11 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "removed_lines", "removed_chunks", F.length("text").cast("long").alias("kept_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_passages(spark: SparkSession, folder: str) -> DataFrame:
+    out = linededup.dedup_passages(table(spark, folder, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "removed_lines", "removed_passages", F.length("text").cast("long").alias("kept_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     weights = toxicity.train(docs, table(spark, folder, "labels"))
@@ -71,7 +76,7 @@ def op10_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return tokenstore.store_round_trip(spark, table(spark, folder, "documents").select("doc_id", "text"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_bpe, op3_packing, op4_line_dedup, op5_toxicity, op6_mih, op7_pivot, op8_quality, op9_partenum, op10_tokens)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_bpe, op3_packing, op4_line_dedup, op4_passages, op5_toxicity, op6_mih, op7_pivot, op8_quality, op9_partenum, op10_tokens)}
 
 ORACLE_SQL = {
     "op1_warc": """
