@@ -725,6 +725,17 @@ def q_upsert(spark, d):
     return t.upsert(old, new, stamp(2025)).select("task_id", "created_at")
 
 
+@query("SELECT event_id AS task_id, CASE WHEN event_id % 2 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' ELSE TIMESTAMP '2025-01-01 00:00:00' END AS created_at FROM events")
+def q_upsert_all(spark, d):
+    from quaylight.operators import tasks as t
+
+    e = hosts.read(spark, d, "events").select(F.col("event_id").alias("task_id"))
+    stamp = lambda y: F.lit(f"{y}-01-01 00:00:00").cast("timestamp_ntz")
+    old = e.where("task_id % 2 = 0").select("task_id", stamp(2024).alias("created_at"), stamp(2024).alias("updated_at"))
+    new = e.select("task_id", F.lit(None).cast("timestamp_ntz").alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("updated_at"))
+    return t.upsert(old, new, stamp(2025)).select("task_id", "created_at")
+
+
 @query(
     EVENTS + _SUMMARY + _GROUPS + _CONDITIONS + """, lk AS (SELECT DISTINCT repo_id, action_code FROM co EXCEPT SELECT repo_id, action_code FROM gr),
     al2 AS (SELECT repo_id, action_code, finding_count, blocking FROM gr UNION ALL SELECT repo_id, action_code, 0, false FROM lk)
