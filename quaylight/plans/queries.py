@@ -759,6 +759,18 @@ def q_prompt_lines(spark, d):
     return publish.prompt_lines(g).where("group_id <= 'RG003'")
 
 
+@query(
+    EVENTS + _GROUPS + """, nu2 AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY blocking DESC, priority, s, c, action_code, coalesce(kt, ''), coalesce(kr, ''), coalesce(ks, ''), coalesce(first_file, '')) AS n FROM gr),
+      li AS (SELECT repo_id, n, '- [' || action_code || '] (' || CAST(finding_count AS VARCHAR) || ' findings)' AS line FROM nu2),
+      su AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY repo_id ORDER BY n) AS chars FROM li) SELECT repo_id, 'RG' || lpad(CAST(n AS VARCHAR), 3, '0') AS group_id, line FROM su WHERE chars <= 65536"""
+)
+def q_prompt_lines_all(spark, d):
+    from quaylight.operators import publish
+
+    g = repair.ordered_groups(repair.groups(hosts.event_findings(spark, d))).withColumn("related_rule_ids", F.array().cast("array<string>"))
+    return publish.prompt_lines(g)
+
+
 @query()
 def q_plan_violations(spark, d):
     from quaylight.operators import publish

@@ -15,3 +15,20 @@ def test_upsert_covers_every_event(spark):
     assert events.where("event_id >= 500").count() > 0
     got = sorted(r["task_id"] for r in entry.queries()["q_upsert_all"](spark, FOLDER).collect())
     assert got == sorted(r["event_id"] for r in events.select("event_id").collect())
+
+
+def test_prompt_lines_go_on_to_the_character_limit(spark):
+    from quaylight.operators import publish
+
+    groups = [("r", f"RG{i:03d}", f"ACTION_{i}" + "x" * (i * 7 % 400), i % 5, ["a", "b"]) for i in range(1, 700)] + [("s", "RG001", "ONE", 0, [])]
+    got = publish.prompt_lines(spark.createDataFrame(groups, "repo_id string, group_id string, action_code string, finding_count long, related_rule_ids array<string>")).collect()
+    room, want = publish.MAX_PROMPT_CHARS, []
+    for _, number, action, n, _ in groups[:-1]:
+        line = f"- [{action}]" + (f" ({n} findings)" if n else "") + " rules: a, b"
+        room -= len(line) + 1
+        if room < 0:
+            break
+        want.append((number, line))
+    assert 3 < len(want) < 699
+    assert sorted((r["group_id"], r["line"]) for r in got if r["repo_id"] == "r") == want
+    assert any(r["group_id"] > "RG003" for r in entry.queries()["q_prompt_lines_all"](spark, FOLDER).collect())
