@@ -32,3 +32,9 @@ def test_prompt_lines_go_on_to_the_character_limit(spark):
     assert 3 < len(want) < 699
     assert sorted((r["group_id"], r["line"]) for r in got if r["repo_id"] == "r") == want
     assert any(r["group_id"] > "RG003" for r in entry.queries()["q_prompt_lines_all"](spark, FOLDER).collect())
+
+
+def test_masked_lines_cover_every_kind(spark):
+    got = [r["masked"] for r in entry.queries()["q_mask_lines_all"](spark, FOLDER).collect()]
+    assert len(got) == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
+    assert all(any(x.startswith(p) for x in got) for p in ("auth", "id ", "g ", "db:", "password", "token ="))
