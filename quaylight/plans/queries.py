@@ -548,6 +548,11 @@ def q_corpus_lexed(spark, d):
     return lexer.lex(hosts.corpus_files(spark, d)).groupBy("file_path").agg(F.count("*").alias("lines"), F.sum(F.size("strings")).alias("strings"))
 
 
+@query()
+def q_corpus_incomplete(spark, d):
+    return incomplete.scan(lexer.lex(hosts.corpus_files(spark, d)))
+
+
 def scorecard(spark: SparkSession, folder: str) -> DataFrame:
     """The flagship: every document as a file of its source, scanned, summed up and scored."""
     files = hosts.corpus_files(spark, folder)

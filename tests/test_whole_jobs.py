@@ -38,3 +38,10 @@ def test_masked_lines_cover_every_kind(spark):
     got = [r["masked"] for r in entry.queries()["q_mask_lines_all"](spark, FOLDER).collect()]
     assert len(got) == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
     assert all(any(x.startswith(p) for x in got) for p in ("auth", "id ", "g ", "db:", "password", "token ="))
+
+
+def test_incomplete_rules_read_the_tables(spark, tmp_path):
+    rows = [(0, "# TODO: later\nx = 1\nbreakpoint()\n", "en", "a", 40), (9, "// not implemented\nreturn nil\n", "en", "b", 30), (10, "x = 1\n", "en", "a", 6)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["q_corpus_incomplete"](spark, str(tmp_path)).collect()
+    assert {(r["repo_id"], r["file_path"], r["rule_id"], r["line_start"]) for r in got} == {("a", "d0/src/f0.py", "I001_TODO_COMMENT", 1), ("a", "d0/src/f0.py", "I004_DEBUG_BREAKPOINT", 3), ("b", "d0/src/f9.go", "I003_PLACEHOLDER_RETURN", 2)}
