@@ -4,7 +4,8 @@ A word's symbol is its shape (lower, capital, all capitals, other), its ending (
 sign), whether it is long, and whether it equals one of the two words before it. The model so learns how trusted text
 is written, in any vocabulary. All counts are of the whole trusted text: each batch's counts go to shards by n-gram and
 are summed there, and the orders meet by joins on contexts. There are 64 symbols, so the finished table has at most
-64^3 entries whatever the corpus; that is the bound of its broadcast.
+64^3 entries whatever the corpus; that is the bound of its broadcast. It says nothing of the words themselves: those are
+judged by byte_model, whose counts grow with the text and stay in shards. A document has to pass both.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quaylight.llm import byte_model
 from quaylight.llm.common import LOWER_ASCII, SPACE, chunks, flat, runs_of, save, span_hashes
 
 SYMBOLS = 64
@@ -25,6 +27,8 @@ START = 1 | 2 << 2
 #: Perplexities of a text are drawn towards the trusted text's by so many words of it.
 PRIOR_WORDS = 8
 QUANTILE, SLACK = 0.99, 2.75
+#: Distance of the byte model's limit above the median of its trusted perplexities, in that of the QUANTILE.
+BYTE_MARGIN = 3
 
 _KIND = np.zeros(256, np.uint8)  # 1 small, 2 capital, 4 digit, 8 comma-like, 16 sentence end, 32 other sign
 _KIND[97:123] = _KIND[128:] = 1
@@ -190,33 +194,36 @@ def judged(rated: DataFrame, by_lang: DataFrame, every: float | None) -> DataFra
     return joined.withColumn("keep", F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold"))))
 
 
+def both_rated(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs with _forms, _bytes (perplexities), _form_limit, _byte_limit and _keep."""
+    model, by_lang, every = fit(save(encode(docs)), labels)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
+    rows = save(byte_model.rated(docs, trusted, lambda raw, at: perplexities(*symbols(raw, at), shared.value.logs, shared.value.mean)))
+    known = save(rows.where("_bytes is not null").select("doc_id", "lang", F.log("_bytes").alias("x")).join(trusted, F.col("doc_id") == F.col("_id"), "left_semi"))
+    middle, high = (F.percentile_approx("x", q, 10_000) for q in (0.5, QUANTILE))
+    limit = F.exp(middle + BYTE_MARGIN * (high - middle))
+    own = save(known.where("lang is not null").groupBy(F.col("lang").alias("_lang")).agg(limit.alias("_own_bytes")))
+    whole = known.agg(limit.alias("t")).first()["t"]
+    own = by_lang.withColumnRenamed("_lang", "_l").join(own, F.col("_l") == F.col("_lang"), "full").select(F.coalesce("_l", "_lang").alias("_lang"), "_own", "_own_bytes")
+    joined = rows.join(F.broadcast(own), rows["lang"] == own["_lang"], "left")
+    joined = joined.withColumn("_form_limit", F.coalesce("_own", F.lit(every).cast("double"))).withColumn("_byte_limit", F.coalesce("_own_bytes", F.lit(whole).cast("double")))
+    within = lambda v, t: F.col(t).isNull() | (F.col(v) <= F.col(t))
+    return joined.drop("_lang", "_own", "_own_bytes").withColumn("_keep", F.col("_forms").isNotNull() & within("_forms", "_form_limit") & within("_bytes", "_byte_limit"))
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang, perplexity, threshold, keep for each row of docs.
+    """doc_id, lang, perplexity, threshold, byte_perplexity, byte_threshold, keep for each row of docs.
 
-    Trusted text: all documents with a label of quality 1. A document is kept up to its language's threshold: the
-    QUANTILE of its trusted perplexities times SLACK; a language without trusted text takes the threshold of all. A
-    text without words has no perplexity and goes. Without any trusted text every document with words is kept.
+    Trusted text: all documents with a label of quality 1. A document is kept up to its language's thresholds: of word
+    classes, the QUANTILE of its trusted perplexities times SLACK; of bytes, BYTE_MARGIN times as far above the median
+    as the QUANTILE is, in logarithms. A language without trusted text takes the thresholds of all. A text without
+    words has no perplexity and goes. Without any trusted text every document with words is kept.
     """
-    codes = save(encode(docs))
-    model, by_lang, every = fit(codes, labels)
-    return judged(scored(codes, model), by_lang, every).select("doc_id", "lang", "perplexity", "threshold", "keep")
+    out = both_rated(docs.select("doc_id", "text", "lang"), labels)
+    return out.select("doc_id", "lang", F.col("_forms").alias("perplexity"), F.col("_form_limit").alias("threshold"), F.when(F.col("_forms").isNotNull(), F.col("_bytes")).alias("byte_perplexity"), F.col("_byte_limit").alias("byte_threshold"), F.col("_keep").alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that classify() keeps, with their columns. Texts are scored where they are read, and not moved."""
-    model, by_lang, every = fit(save(encode(docs)), labels)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    held = docs.select("text", "lang", F.struct("*").alias("_row"))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, offsets = flat(batch.column("text"))
-            value = np.zeros(len(offsets) - 1)
-            for a, b in chunks(offsets):
-                code, at = symbols(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                value[a:b] = perplexities(code, at, shared.value.logs, shared.value.mean)
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("_row"), pa.array(value, pa.float64(), mask=np.isnan(value))], ["lang", "_row", "perplexity"])
-
-    rated = held.mapInArrow(run, T.StructType([held.schema["lang"], held.schema["_row"], T.StructField("perplexity", T.DoubleType())]))
-    return judged(rated, by_lang, every).where("keep").select(*[F.col("_row").getField(c).alias(c) for c in names])
+    """The rows of docs that classify() keeps, with their columns."""
+    return both_rated(docs, labels).where("_keep").select(*docs.columns)

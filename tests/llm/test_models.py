@@ -144,3 +144,63 @@ def test_classifier(spark):
     assert sorted(map(repr, (r["doc_id"] for r in kept.collect()))) == sorted(repr(i) for i, r in got.items() if r["keep"])
     assert K.classify(docs.limit(0), labels).count() == 0
     assert all(r["keep"] for r in K.classify(docs.where("doc_id < 2000"), label_frame(spark, [])).collect())
+
+
+def byte_formula(texts):
+    """P(byte | four before) from the formulas of interpolated modified Kneser-Ney, by dictionaries."""
+    counts = {5: Counter()}
+    for t in texts:
+        s = b"\0" * 4 + t.encode()
+        counts[5].update(s[i : i + 5] for i in range(len(s) - 4))
+    for k in range(4, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+
+    def cuts(n):
+        k = Counter(n.values())
+        y = k[1] / (k[1] + 2 * k[2]) if k[1] and k[2] else 0
+        d = [i - (i + 1) * y * k[i + 1] / k[i] if y and k[i] and k[i + 1] else i / 2 for i in (1, 2, 3)]
+        return [min(max(x, 0.05), i - 0.05) for i, x in zip((1, 2, 3), d)]
+
+    d = {k: cuts(n) for k, n in counts.items()}
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        same = [n for x, n in counts[len(g)].items() if x[:-1] == g[:-1]]
+        if not same:
+            return p(g[1:])
+        cut, n = (lambda n: d[len(g)][min(n, 3) - 1]), counts[len(g)].get(g, 0)
+        return ((n - cut(n) if n else 0) + sum(map(cut, same)) * p(g[1:])) / sum(same)
+
+    return p
+
+
+def test_byte_model_equals_formulas(spark):
+    from quaylight.llm import byte_model as B
+
+    rng = random.Random(8)
+    texts = [cases.text(rng, rng.randint(1, 30), 60) for _ in range(25)] + ["é ß"]
+    docs = cases.documents(spark, [*enumerate(texts), (99, "w1 zzz Q"), (100, ""), (101, None)]).select("doc_id", "text", "lang")
+    trusted = spark.createDataFrame([(i,) for i in range(len(texts))], "_id long")
+    got, mean = B.probabilities(B.asked(B.blocks(docs), trusted))
+    p, rows = byte_formula(texts), got.collect()
+    for r in rng.sample(rows, 200) + rows[:20]:
+        assert r["p"] == pytest.approx(p(r["g"].to_bytes(5, "big")), rel=1e-9)
+    one = {r["doc_id"]: r["_bytes"] for r in B.rated(docs, trusted, lambda raw, at: np.zeros(len(at) - 1)).collect()}
+    s = b"\0" * 4 + b"w1 zzz Q"
+    want = math.exp(-(sum(math.log(p(s[i : i + 5])) for i in range(8)) + B.PRIOR_BYTES * mean) / (8 + B.PRIOR_BYTES))
+    assert one[99] == pytest.approx(want, rel=1e-9) and one[100] is None and one[101] is None
+
+
+def test_words_of_other_letters_go(spark):
+    """Junk in the shape of good text, which classes of words can't tell from it."""
+    rng = random.Random(16)
+    parts = ["ther", "ing", "an", "ou", "ble", "st", "re", "ion", "ed", "wh"]
+    word = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(1, 3)))
+    sentence = lambda: " ".join(word() for _ in range(rng.randint(4, 15))).capitalize() + "."
+    good = [(i, " ".join(sentence() for _ in range(rng.randint(4, 12)))) for i in range(300)]
+    mixed = [(1000 + i, " ".join("".join(rng.sample(w, len(w))) for w in t.lower().replace(".", "").split()).capitalize() + ".") for i, t in good[:20]]
+    other = [(2000 + i, "".join(rng.choice("bcdfgjkmqvxz") if c.islower() else c for c in t)) for i, t in good[20:40]]
+    got = {r["doc_id"]: r["keep"] for r in K.classify(cases.documents(spark, good + mixed + other), label_frame(spark, [(i, 1, 0) for i, _ in good[:200]])).collect()}
+    assert sum(not got[i] for i, _ in good) <= 2
+    assert not any(got[i] for i, _ in mixed + other)
