@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import secrets
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
@@ -178,47 +179,53 @@ _LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
 class PieceTable:
-    """Ids of the pieces seen last, by 64-bit hash in an open-addressing table of bounded size.
+    """Ids of the pieces seen last, in an open-addressing table of bounded size.
 
-    A collision of two of the pieces held at once would give wrong ids; with 700,000 held its odds are 1 in 10^7.
+    A hit has both of the entry's 64-bit hashes. They are seeded at random in each worker, so no text can be made to
+    collide, and two of the pieces held at once do so with odds of 2^-87.
     """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = CACHE_PIECES):
         self.encode, self.most = encode, most
         self.slots = 1 << int(np.ceil(np.log2(3 * most)))
+        self.seed = secrets.randbits(64)
         self.clear()
 
     def clear(self) -> None:
         self.keys = np.zeros(self.slots, np.uint64)
         self.values = np.zeros(self.slots, np.int32)
+        self.held = np.zeros(self.slots, np.uint64)  # second hash
         self.start = np.zeros(1, np.int64)  # of each entry, and the end
         self.flat = np.zeros(0, np.int32)
 
-    def find(self, h: np.ndarray) -> np.ndarray:
+    def find(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
         """Entry numbers, -1 where unknown."""
         out = np.full(len(h), -1, np.int32)
         slot, left = (h & np.uint64(self.slots - 1)).astype(np.int64), np.arange(len(h))
         while len(left):
             there = self.keys[slot]
-            same = there == h[left]
+            same = (there == h[left]) & (self.held[slot] == g[left])
             out[left[same]] = self.values[slot[same]]
             on = ~same & (there != 0)
             left, slot = left[on], (slot[on] + 1) & (self.slots - 1)
         return out
 
-    def add(self, h: np.ndarray, ids: list[bytes]) -> None:
-        """h: different unknown hashes."""
+    def add(self, h: np.ndarray, g: np.ndarray, ids: list[bytes]) -> None:
+        """h: different hashes of unknown pieces."""
         number = np.arange(len(self.start) - 1, len(self.start) - 1 + len(h), dtype=np.int32)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(sizes)))
         self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
         slot, left = (h & np.uint64(self.slots - 1)).astype(np.int64), np.arange(len(h))
         while len(left):
-            free = self.keys[slot] == 0
-            self.keys[slot[free]] = h[left[free]]
-            won = self.keys[slot] == h[left]
-            self.values[slot[won]] = number[left[won]]
-            left, slot = left[~won], (slot[~won] + 1) & (self.slots - 1)
+            free = np.flatnonzero(self.keys[slot] == 0)
+            _, first = np.unique(slot[free], return_index=True)  # one piece a place
+            won = free[first]
+            self.keys[slot[won]], self.held[slot[won]], self.values[slot[won]] = h[left[won]], g[left[won]], number[left[won]]
+            on = np.ones(len(left), bool)
+            on[won] = False
+            left, slot = left[on], slot[on]
+            slot = np.where(self.keys[slot] != 0, (slot + 1) & (self.slots - 1), slot)
 
     def ids(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of rows of UTF-8 text, one after another, and where each row's begin and end."""
@@ -231,21 +238,23 @@ class PieceTable:
             cut[1:-1] |= _LETTER[raw[:-1]] & _BREAK[raw[1:]]
         starts, ends, first = runs_of(~SPACE[raw], np.flatnonzero(cut))
         rows = np.searchsorted(starts, offsets)
-        h = span_hashes(low, starts, ends) | np.uint64(1) << np.uint64(63)
-        entry = self.find(h)
+        h, g = span_hashes(low, starts, ends, self.seed)
+        h |= np.uint64(1) << np.uint64(63)
+        whole = low.tobytes()
+        entry = self.find(h, g)
         lost = np.flatnonzero(entry < 0)
-        if len(lost):
+        while len(lost):  # once more only for different pieces with one first hash
             new, at = np.unique(h[lost], return_index=True)
-            if len(self.start) - 1 + len(new) > self.most:
+            if len(self.start) - 1 + len(new) > self.most and len(self.start) > 1:
                 self.clear()
-                new, at = np.unique(h, return_index=True)
                 lost = np.arange(len(h))
+                continue
             at = lost[at]
-            whole = low.tobytes()
             text = [whole[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist())]
             for i in range(0, len(text), 50_000):
-                self.add(new[i : i + 50_000], self.encode(text[i : i + 50_000]))
-            entry[lost] = self.find(h[lost])
+                self.add(new[i : i + 50_000], g[at[i : i + 50_000]], self.encode(text[i : i + 50_000]))
+            entry[lost] = self.find(h[lost], g[lost])
+            lost = lost[entry[lost] < 0]
         size = self.start[entry + 1] - self.start[entry]
         stop = np.cumsum(size)
         total = int(stop[-1]) if len(stop) else 0

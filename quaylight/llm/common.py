@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -17,30 +18,48 @@ CHUNK_BYTES = 1 << 20
 #: Records in an Arrow batch, so that a batch of ordinary texts stays at a few MB.
 ARROW_RECORDS = 1000
 U64 = np.uint64
-_R = 0x9E3779B97F4A7C55
-_R_INV = pow(_R, -1, 1 << 64)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir, which all executors share; a temporary one only where that is unset."""
+    """A fresh folder below spark.checkpoint.dir, which all executors share. Where that is unset, a temporary one if all tasks run in this process's machine, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quaylight-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/quaylight-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    where, fs = _hadoop(spark, path)
     fs.mkdirs(where)
     fs.deleteOnExit(where)
     return path if "://" in path else "file://" + path if path.startswith("/") else path
 
 
-def save(df: DataFrame) -> DataFrame:
-    """Write once to shared storage and read again: cuts lineage, and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/table"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def save(df: DataFrame, *done: DataFrame) -> DataFrame:
+    """Write once to shared storage and read again: cuts lineage, and survives lost executors.
+
+    done: tables saved before that nothing but this write still needed; their files go.
+    """
+    folder = shared_dir(df.sparkSession)
+    df.write.parquet(f"{folder}/table")
+    discard(*done)
+    out = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/table")
+    out._saved_in = folder
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that save() gave and that nothing needs any more."""
+    for table in tables:
+        if folder := getattr(table, "_saved_in", None):
+            where, fs = _hadoop(table.sparkSession, folder)
+            fs.delete(where, True)
+            table._saved_in = None
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -80,16 +99,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_POWERS: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        _POWERS[:] = [np.cumprod(np.append(U64(1), np.full(size - 1, r, U64)), dtype=U64) for r in (_R, _R_INV)]
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
 def runs_of(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of true bytes that stay inside a row: starts, ends, and each row's first run."""
     n = len(member)
@@ -103,12 +112,31 @@ def runs_of(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, equal for equal bytes at any place: differences of one running polynomial, finalised."""
-    up, down = powers(len(values) + 1)
-    total = np.zeros(len(values) + 1, U64)
-    np.cumsum((values.astype(U64) + U64(1)) * up[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+#: Spans of more bytes are hashed one by one.
+LONG_SPAN = 2048
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each byte span, equal for equal bytes at any place. Eight bytes at a time are mixed in, so neither is a polynomial."""
+    padded = np.concatenate((values, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(values) + 1,), "<u8", buffer=padded, strides=(1,))
+    left = ends - starts
+    h = mix(left.astype(U64) * U64(0xD6E8FEB86659FD93) + U64(seed))
+    g = h ^ U64(0xA0761D6478BD642F)
+    long = np.flatnonzero(left > LONG_SPAN)
+    live = np.flatnonzero(left <= LONG_SPAN) if len(long) else np.arange(len(left))
+    at, left = starts[live], left[live]
+    while len(live):
+        word = eight[at] & _FIRST_BYTES[np.minimum(left, 8)]
+        h[live] = mix(h[live] + word * U64(0x9E3779B97F4A7C55))
+        g[live] = mix(g[live] ^ word) * U64(0x9FB21C651E98DF25)
+        more = np.flatnonzero(left > 8)
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in long.tolist():
+        digest = hashlib.blake2b(values[starts[i] : ends[i]].tobytes(), digest_size=16, key=seed.to_bytes(8, "little")).digest()
+        h[i], g[i] = np.frombuffer(digest, "<u8")
+    return h, g
 
 
 LOWER_ASCII = np.arange(256, dtype=np.uint8)
@@ -155,7 +183,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("m"))
         sunk = labels.join(near, labels.node == near.a).select("node", "label", F.least("label", "m").alias("next"))
         up = labels.select(F.col("node").alias("at"), F.col("label").alias("over"))
+        before = labels
         after = save(sunk.join(up, F.col("next") == F.col("at")).select("node", F.least("next", "over").alias("label"), (F.least("next", "over") != F.col("label")).alias("moved")))
-        labels = after.select("node", "label")
-        if not after.where("moved").limit(1).count():
+        labels, moved = after.select("node", "label"), after.where("moved").limit(1).count()
+        discard(before)
+        labels._saved_in = after._saved_in
+        if not moved:
+            discard(both)
             return labels.select("node", F.col("label").alias("component"))

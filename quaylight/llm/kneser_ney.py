@@ -51,7 +51,7 @@ def symbols(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     first, last = kind[starts], kind[ends - 1]
     shape = np.select([(caps >= 2) & (lows == 0), (first == 2) & (caps == 1), (lows > 0) & (caps == 0)], [2, 1, 0], 3)
     end = np.select([(signs > 0) | (n > 1) & (last == 16) & (kind[np.maximum(ends - 2, 0)] == 16), last == 16, last == 8], [3, 2, 1], 0)
-    h = span_hashes(LOWER_ASCII[raw], starts, ends)
+    h, _ = span_hashes(LOWER_ASCII[raw], starts, ends)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(rows))
     again = np.zeros(len(h), bool)
     for gap in (1, 2):

@@ -45,7 +45,7 @@ def most_different(sizes: np.ndarray, percent: int) -> np.ndarray:
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each row's different shingles, sorted, and each row's limits. With fewer words the whole is one shingle; without words, none."""
     starts, ends, rows = runs_of(~SPACE[raw], offsets)
-    h = span_hashes(LOWER_ASCII[raw], starts, ends)
+    h, _ = span_hashes(LOWER_ASCII[raw], starts, ends)
     n = np.diff(rows)
     s = np.zeros(len(h), U)
     for k in range(words):

@@ -172,6 +172,8 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = 1, shard
             for a, every, at in row_ids(batch.column("text"), path, True):
                 doc = batch.column("doc_id").slice(a, len(at) - 1)
                 number = np.searchsorted(bounds, np.asarray(doc.fill_null(np.iinfo(np.int64).min)), "left")
+                if len(every) and every.max() >= FIRST_NONTERMINAL:
+                    raise ValueError("an id is too large for this format")
                 small = every.astype("<u2")
                 raw = [small[i:j].tobytes() for i, j in zip(at.tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), doc, pa.array(raw, pa.binary())], ["range_no", "doc_id", "ids"])

@@ -29,7 +29,7 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     Words are runs of ASCII letters, digits and bytes above 127, with A-Z lowered.
     """
     starts, ends, rows = runs_of(_WORD[raw], offsets)
-    h = span_hashes(LOWER_ASCII[raw], starts, ends)
+    h, _ = span_hashes(LOWER_ASCII[raw], starts, ends)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(rows))
     found, owner = [h], [row]
     for gap, seed in ((1, 0xA0761D6478BD642F), (2, 0xE7037ED1A0B428DB)):

@@ -13,7 +13,20 @@ def documents(spark, rows):
     return spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, _key string")
 
 
+def thue_morse(n: int) -> str:
+    """Its first n letters and those of its complement collide under any polynomial hash with wrap-around, from n = 1,024."""
+    return "".join("ab"[i.bit_count() & 1] for i in range(n))
+
+
+def twins():
+    out = []
+    for n in (1024, 2048, 4096):
+        one = thue_morse(n)
+        out += [one, one.translate(str.maketrans("ab", "ba"))]
+    return out
+
+
 def odd_rows():
     rng = random.Random(3)
     long = text(rng, 30_000, 5000)
-    return [(1, None), (2, ""), (3, "   \n\t "), (4, long), (5, "same text here now"), (6, "same text here now"), (6, "same text here now"), (None, "no id at all"), (7, "ÀÉ ünï ﬁ 漢字 <|endoftext|> 's"), (8, "a\r\nb\x0bc")]
+    return [(1, None), (2, ""), (3, "   \n\t "), (4, long), (5, "same text here now"), (6, "same text here now"), (6, "same text here now"), (None, "no id at all"), (7, "ÀÉ ünï ﬁ 漢字 <|endoftext|> 's"), (8, "a\r\nb\x0bc"), *((10 + i, t) for i, t in enumerate(twins()))]

@@ -24,7 +24,7 @@ def ids_of(texts):
 def odd_texts():
     rng = random.Random(1)
     letters = list("aAbBÉéΣςßİǅﬁ'stré.,!?0123 \t\n　  \x85\x1c\x1f​́̈漢字🙂<|>٣²½-:;$#") + ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "'s", "'re"]
-    return ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(1500)] + ["", "aaaaaaaa" * 50, "́abc", "x" * 20000, "A.B a.'s A'S,", "b" * 4095]
+    return ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(1500)] + ["", "aaaaaaaa" * 50, "́abc", "x" * 20000, "A.B a.'s A'S,", "b" * 4095, *cases.twins(), " ".join(cases.twins())]
 
 
 @pytest.mark.parametrize("library", [False, True])
