@@ -8,6 +8,7 @@ and parity sketches don't rule a link out, form candidate clusters, in which who
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,16 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaylight.llm.common import LOWER_ASCII, SPACE, chunks, connected_components, flat, grouped, mix, runs_of, save, span_hashes
+from quaylight.llm.common import LOWER_ASCII, SPACE, chunks, connected_components, discard, flat, grouped, mix, runs_of, save, span_hashes
 
 U = np.uint64
 PARTS = 3  # of a group; signatures leave out one
-#: Elements of the sets compared in one task; a larger candidate cluster is dealt out as pairs of blocks of half that.
-TASK_ELEMENTS = 6_000_000
-#: Candidate sets (some 40 bytes each) up to which their clusters are broadcast to the sets; beyond, both are shuffled.
-BROADCAST_ROWS = 500_000
-#: Bits of the map of candidate sets.
-MARKS = 1 << 20
+#: Elements and sets compared in one task; a larger candidate cluster is dealt out as pairs of blocks of half that.
+TASK_ELEMENTS, TASK_SETS = 6_000_000, 20_000
+#: Sets of a signature whose sketches are compared in one task; more are dealt out as pairs of blocks of half that.
+BUCKET_ROWS = 1_000
+#: Bits of the map that spares texts a shuffle: 16 for each candidate set, and at most so many (2 MB), the bound of its broadcast.
+MOST_MARKS = 1 << 24
 _LARGEST = 1 << 40
 
 
@@ -42,10 +43,10 @@ def most_different(sizes: np.ndarray, percent: int) -> np.ndarray:
     return 2 * (100 - percent) * sizes // (100 + percent)
 
 
-def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each row's different shingles, sorted, and each row's limits. With fewer words the whole is one shingle; without words, none."""
     starts, ends, rows = runs_of(~SPACE[raw], offsets)
-    h, _ = span_hashes(LOWER_ASCII[raw], starts, ends)
+    h, _ = span_hashes(LOWER_ASCII[raw], starts, ends, seed)
     n = np.diff(rows)
     s = np.zeros(len(h), U)
     for k in range(words):
@@ -129,25 +130,25 @@ def sketches(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(place, minlength=(len(at) - 1) * SKETCH_BITS) & 1).astype(bool).reshape(-1, SKETCH_BITS), axis=1)
 
 
-def set_table(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, node and sketch for each row."""
+def set_table(docs: DataFrame, words: int, seed: int) -> DataFrame:
+    """doc_id, key (a hash of the text), n_shingles, node and sketch for each row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = flat(batch.column("text"))
             for a, b in chunks(offsets):
-                sets, at = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
+                sets, at = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words, seed)
                 sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SKETCH_BITS // 8), b - a, [None, pa.py_buffer(sketches(sets, at).tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(at)), pa.array(nodes_of(sets, at)), sketch], ["doc_id", "n_shingles", "node", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("key").slice(a, b - a), pa.array(np.diff(at)), pa.array(nodes_of(sets, at)), sketch], ["doc_id", "key", "n_shingles", "node", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, node long, sketch binary")
+    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, n_shingles long, node long, sketch binary")
 
 
 #: Rows sampled for common shingles, in how many of them a shingle is common, and how many are left out at most.
 SAMPLE_ROWS, COMMON_ROWS, MOST_COMMON = 5_000, 8, 250_000
 
 
-def common_shingles(docs: DataFrame, words: int, n: int) -> np.ndarray:
+def common_shingles(docs: DataFrame, words: int, n: int, seed: int) -> np.ndarray:
     """Hashes of shingles that many documents share, sorted: boilerplate. From a sample, at most MOST_COMMON.
 
     They are left out of the domain that signatures partition. Whichever are left out, two sets differ in no more of
@@ -158,7 +159,7 @@ def common_shingles(docs: DataFrame, words: int, n: int) -> np.ndarray:
         for batch in batches:
             raw, offsets = flat(batch.column("text"))
             for a, b in chunks(offsets):
-                sets, _ = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
+                sets, _ = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words, seed)
                 yield pa.RecordBatch.from_pydict({"h": sets.view(np.int64)})
 
     some = docs.select("text").sample(min(1.0, SAMPLE_ROWS / max(n, 1)), 1) if n > SAMPLE_ROWS else docs.select("text")
@@ -167,7 +168,7 @@ def common_shingles(docs: DataFrame, words: int, n: int) -> np.ndarray:
     return np.sort(got.to_numpy(np.int64).view(U))
 
 
-def signature_table(docs: DataFrame, words: int, percent: int, common: np.ndarray) -> DataFrame:
+def signature_table(docs: DataFrame, words: int, percent: int, common: np.ndarray, seed: int) -> DataFrame:
     """(sig, node) of each set; a set that a task has just met is not given again."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
@@ -177,7 +178,7 @@ def signature_table(docs: DataFrame, words: int, percent: int, common: np.ndarra
         for batch in batches:
             raw, offsets = flat(batch.column("text"))
             for a, b in chunks(offsets):
-                sets, at = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
+                sets, at = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words, seed)
                 nodes, sizes = nodes_of(sets, at), np.diff(at)
                 fresh = np.zeros(len(nodes), bool)
                 for i, x in enumerate(nodes.tolist()):
@@ -251,7 +252,7 @@ def candidate_edges(buckets: DataFrame, sketched: DataFrame, percent: int, parti
 
     A pair is left out only if no link is possible: its sizes are too far apart, or its sketches differ in more bits
     than linked sets differ in elements. Members are taken in turn and compared with all at once, each class once more
-    only where it isn't the largest.
+    only where it isn't the largest. A bucket of more than BUCKET_ROWS sets is dealt out: each pair of its blocks is a task.
     """
 
     def possible(n: np.ndarray, sketch: np.ndarray, m: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -275,8 +276,8 @@ def candidate_edges(buckets: DataFrame, sketched: DataFrame, percent: int, parti
             met |= root == root[i]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_runs(batches, "bucket", 1 << 14):
-            bucket, node, n = (np.asarray(table[c]) for c in ("bucket", "node", "n_shingles"))
+        for table in whole_runs(batches, "task", 1 << 14):
+            bucket, node, n = (np.asarray(table[c]) for c in ("task", "node", "n_shingles"))
             sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(n), -1)
             begin = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
             size = np.diff(np.append(begin, len(bucket)))
@@ -290,8 +291,12 @@ def candidate_edges(buckets: DataFrame, sketched: DataFrame, percent: int, parti
                 b.append(node[s : s + m][apart])
             yield pa.RecordBatch.from_pydict({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    joined = buckets.join(sketched, "node").select("bucket", "node", "n_shingles", "sketch")
-    return joined.repartition(partitions, "bucket").sortWithinPartitions("bucket", "node").mapInArrow(run, "a long, b long").distinct()
+    wide = buckets.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > BUCKET_ROWS).select("bucket", F.ceil(F.col("m") / (BUCKET_ROWS // 2)).cast("int").alias("blocks"))
+    dealt = buckets.join(wide, "bucket", "left").withColumn("block", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    dealt = dealt.select("bucket", "node", "block", "blocks", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("other"))
+    task = F.when(F.col("blocks").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")))
+    joined = dealt.select(task.alias("task"), "node").join(sketched, "node").select("task", "node", "n_shingles", "sketch")
+    return joined.repartition(partitions, "task").sortWithinPartitions("task", "node").mapInArrow(run, "a long, b long").distinct()
 
 
 def link_sets(flat_sets: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
@@ -330,17 +335,25 @@ def link_sets(flat_sets: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.n
         compare(int(left[0]))
 
 
-def linked_within(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b) links that join each class, from rows (cluster, i, j, node, elements), a comparison for each (cluster, i, j)."""
+def linked_within(rows: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
+    """(a, b) links that join each class, from rows (cluster, i, j, node, text), a comparison for each (cluster, i, j)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for group in grouped(batches, ["cluster", "i", "j"]):
             group = group.combine_chunks()
-            node = np.asarray(group["node"])
-            raw, offsets = flat(group["elements"].chunk(0))
-            raw = np.ascontiguousarray(raw)
-            root, _ = link_sets(raw.view(U), offsets // 8, percent)
+            node, (raw, offsets) = np.asarray(group["node"]), flat(group["text"].chunk(0))
+            sets, sizes = [], []
+            for x, y in chunks(offsets):
+                some, at = shingle_sets(raw[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], words, seed)
+                sets.append(some)
+                sizes.append(np.diff(at))
+            every, at = np.concatenate(sets), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+            own = nodes_of(every, at) == node  # two texts with one id and one key: the other's set was meant
+            every, at, node = every[np.repeat(own, np.diff(at))], np.concatenate(([0], np.cumsum(np.diff(at)[own]))), node[own]
+            if not len(node):
+                continue
+            root, _ = link_sets(every, at, percent)
             apart = root != np.arange(len(node))
             a.append(node[root[apart]])
             b.append(node[apart])
@@ -353,53 +366,60 @@ def linked_within(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def marked_only(rows: DataFrame, keys: DataFrame, count: int) -> DataFrame:
+    """The rows whose key may be among `keys` (count of them): all that are, and few others while the map has bits to spare.
+
+    The map is built in parts of 64 bits by an aggregation. It only spares rows a shuffle: what it lets through by
+    chance, or because so many keys fill it, the join that follows drops.
+    """
+    bits = min(MOST_MARKS, 1 << max(16, (16 * count).bit_length()))
+    part = keys.select(F.col("key").bitwiseAND(F.lit(bits - 1)).alias("at")).select(F.expr("shiftright(at, 6)").alias("w"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("m"))
+    got = part.groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()  # at most bits / 64 rows
+    table = np.zeros(bits // 64, U)
+    table[got["w"].to_numpy(np.int64)] = got["m"].to_numpy(np.int64).view(U)
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.asarray(batch.column("key")).view(U) & U(bits - 1)
+            yield batch.filter(pa.array((shared.value[at >> U(6)] >> (at & U(63)) & U(1)).astype(bool)))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def similar_documents(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs.
 
     Words are runs without white space, A-Z lowered. Documents link when 100 * intersection >= percent * union of their
     shingle sets. component_id is the smallest doc_id reachable. Null and empty texts have 0 shingles and are alone;
     rows that share a doc_id each have their own set; a null doc_id never names a component that has others. Texts are
-    taken whole. An empty table gives no rows.
+    taken whole. An empty table gives no rows. Words are hashed with a seed drawn anew for each call.
     """
-    spark = docs.sparkSession
+    spark, seed = docs.sparkSession, secrets.randbits(63)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = save(set_table(docs, words))
-    buckets = save(repeated_buckets(signature_table(docs, words, percent, common_shingles(docs, words, table.count())), 2 * partitions))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+    table = save(set_table(docs, words, seed))
+    buckets = save(repeated_buckets(signature_table(docs, words, percent, common_shingles(docs, words, table.count(), seed), seed), 2 * partitions))
     sketched = table.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    edges = save(candidate_edges(buckets, sketched, percent, 2 * partitions))
-    clusters = save(connected_components(edges).withColumnRenamed("component", "cluster"))
+    edges = save(candidate_edges(buckets, sketched, percent, 2 * partitions), buckets)
+    clusters = connected_components(edges)
+    discard(edges)
     # one row stands for each set
-    heads = table.where("node >= 0").groupBy("node").agg(F.min("doc_id").alias("_id"), F.max("n_shingles").alias("_n"))
-    heads = save(heads.join(clusters, "node"))
-    weight = heads.groupBy("cluster").agg(F.sum("_n").alias("whole")).withColumn("blocks", F.when(F.col("whole") <= TASK_ELEMENTS, 1).otherwise(F.ceil(F.col("whole") / (TASK_ELEMENTS // 2))).cast("int"))
-    heads = heads.join(weight, "cluster").select("node", "_id", "cluster", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    # a bitmap of MARKS bits, whatever the number of candidates, spares most other texts: only sets that may be needed move
-    marks = np.zeros(MARKS, bool)
-    marks[[r["m"] for r in heads.select(F.col("node").bitwiseAND(MARKS - 1).alias("m")).distinct().collect()]] = True
-    shared = spark.sparkContext.broadcast(np.packbits(marks))
-
-    def elements(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = np.unpackbits(shared.value).astype(bool)
-        for batch in batches:
-            raw, offsets = flat(batch.column("text"))
-            for a, b in chunks(offsets):
-                sets, at = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
-                node = nodes_of(sets, at)
-                some = np.flatnonzero((node >= 0) & marked[node & (MARKS - 1)])
-                whole = sets.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).take(pa.array(some)), pa.array(node[some]), pa.array([whole[8 * at[i] : 8 * at[i + 1]] for i in some], pa.binary())], ["_d", "_node", "elements"])
-
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(elements, "_d long, _node long, elements binary")
-    few = heads.count() <= BROADCAST_ROWS
-    sets = found.join(F.broadcast(heads) if few else heads, (F.col("_node") == F.col("node")) & F.col("_d").eqNullSafe(F.col("_id"))).select("cluster", "blocks", "block", "node", "elements")
+    heads = table.where("node >= 0").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("at"), F.max("n_shingles").alias("n"))
+    heads = save(heads.join(clusters.withColumnRenamed("component", "cluster"), "node").select("node", "n", "cluster", F.col("at.doc_id").alias("head_id"), F.col("at.key").alias("key")), clusters)
+    dealt = lambda whole, most: F.when(F.col(whole) <= most, 1).otherwise(F.ceil(F.col(whole) / (most // 2))).cast("int")
+    weight = heads.groupBy("cluster").agg(F.sum("n").alias("elements"), F.count("*").alias("sets")).select("cluster", F.greatest(dealt("elements", TASK_ELEMENTS), dealt("sets", TASK_SETS)).alias("blocks"))
+    placed = heads.join(weight, "cluster").select("node", "head_id", F.col("key").alias("head_key"), "cluster", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    some = marked_only(docs, heads.select("key"), heads.count())
+    sets = some.join(placed, (F.col("key") == F.col("head_key")) & F.col("doc_id").eqNullSafe(F.col("head_id"))).select("cluster", "blocks", "block", "node", "text")
     # each pair of blocks of a cluster is a comparison
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tasks = sets.select("cluster", F.col("block"), other, "node", "elements")
-    tasks = tasks.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "elements")
+    tasks = sets.select("cluster", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "node", "text")
+    tasks = tasks.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "text")
     tasks = tasks.repartition(2 * partitions, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
-    links = save(linked_within(tasks, percent))
+    links = save(linked_within(tasks, words, percent, seed), heads)
     classes = connected_components(links)
-    named = table.drop("sketch").join(classes, "node", "left").withColumn("_class", F.coalesce("component", "node"))
+    discard(links)
+    named = table.drop("sketch", "key").join(classes, "node", "left").withColumn("_class", F.coalesce("component", "node"))
     least = named.where("node >= 0").groupBy("_class").agg(F.min("doc_id").alias("_least"))
     return named.join(least.withColumnRenamed("_class", "_c"), (F.col("_class") == F.col("_c")) & (F.col("node") >= 0), "left").select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
 

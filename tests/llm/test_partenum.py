@@ -64,12 +64,16 @@ def test_against_all_pairs(spark):
 
 def test_large_clusters_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(P, "TASK_ELEMENTS", 900)
-    monkeypatch.setattr(P, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(P, "BUCKET_ROWS", 12)
+    monkeypatch.setattr(P, "MOST_MARKS", 64)  # a full map
     rng = random.Random(3)
     base = cases.text(rng, 60)
     rows = [(i, near(rng, base, rng.randint(0, 4))) for i in range(90)]
     got = sorted(map(tuple, P.similar_documents(cases.documents(spark, rows)).collect()))
     assert got == sorted(brute(rows, 4, 85))
+    monkeypatch.setattr(P, "TASK_ELEMENTS", 10**9)
+    monkeypatch.setattr(P, "TASK_SETS", 20)
+    assert sorted(map(tuple, P.similar_documents(cases.documents(spark, rows)).collect())) == got
 
 
 def test_linked_sets_share_a_signature():
