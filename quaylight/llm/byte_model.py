@@ -15,17 +15,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaylight.llm.common import chunks, flat, save
+from quaylight.llm.common import chunks, discard, flat, save, save_bucketed
 
 ORDER = 5
 #: Text of a block, at least while a partition has more.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 64 << 20
 #: Perplexities of a text are drawn towards the trusted text's by so many bytes of it.
 PRIOR_BYTES = 40
 
 
 def grams(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The last five bytes at each byte of concatenated rows, as a number; zeros stand before each row."""
+    """The last ORDER bytes at each byte of concatenated rows, as a number; zeros stand before each row."""
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     depth = np.arange(len(raw)) - offsets[:-1][row]
     out = raw.astype(np.int64)
@@ -41,7 +41,7 @@ def packed(table: pa.Table) -> bytes:
     return out.getvalue().to_pybytes()
 
 
-def unpacked(block: bytes) -> pa.Table:
+def unpacked(block: bytes | pa.Buffer) -> pa.Table:
     return pa.ipc.open_stream(block).read_all()
 
 
@@ -102,6 +102,7 @@ def probabilities(wanted: DataFrame) -> tuple[DataFrame, float]:
     """
     from quaylight.llm.kneser_ney import discounts
 
+    old = []
     counts, grams_of = {ORDER: save(wanted.where("n > 0").groupBy("g").agg(F.sum("n").alias("n")))}, {ORDER: save(wanted.select("g").distinct())}
     for k in range(ORDER - 1, 0, -1):
         shorter = F.col("g").bitwiseAND(F.lit(256**k - 1)).alias("g")
@@ -116,36 +117,42 @@ def probabilities(wanted: DataFrame) -> tuple[DataFrame, float]:
         rows = grams_of[k].join(counts[k], "g", "left").select("g", "n", h, tail).join(context, "h", "left")
         rows = rows.withColumn("q", F.lit(1 / 256)) if below is None else rows.join(below.select(F.col("g").alias("t"), F.col("p").alias("q")), "t")
         own = F.when(F.col("n").isNull(), F.lit(0.0)).otherwise(F.col("n") - cut)
+        old.append(below)
         below = save(rows.select("g", F.when(F.col("whole").isNull(), F.col("q")).otherwise((own + F.col("lost") * F.col("q")) / F.col("whole")).alias("p")))
     mean = counts[ORDER].join(below, "g").agg((F.sum(F.col("n") * F.log("p")) / F.sum("n")).alias("m")).first()["m"]
+    discard(*counts.values(), *grams_of.values(), *(x for x in old if x is not None))
     return below, mean if mean is not None else float(np.log(1 / 256))
 
 
-def rated(docs: DataFrame, trusted: DataFrame, other, name: str = "_bytes", other_name: str = "_forms") -> DataFrame:
-    """The rows of docs with two perplexities: other(raw, offsets) of their texts, and the one a byte (null without bytes)."""
-    made = save(blocks(docs))
+def rated(docs: DataFrame, trusted: DataFrame, other, keep: list[str] | None = None, name: str = "_bytes", other_name: str = "_forms") -> DataFrame:
+    """The columns `keep` (all, if not given) of docs with two perplexities: other(raw, offsets) of their texts, and the one a byte (null without bytes).
+
+    Texts are written once, packed and bucketed by block, so that only the answers are shuffled to them; the result is written.
+    """
+    keep = keep or docs.columns
+    made = save_bucketed(blocks(docs), "block", int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     wanted = save(asked(made, trusted))
     p, mean = probabilities(wanted)
-    answers = wanted.select("block", "g").join(p, "g").select("block", "g", F.log("p").alias("p"))
-    kind = T.StructType([*docs.schema.fields, T.StructField(other_name, T.DoubleType()), T.StructField(name, T.DoubleType())])
+    answers = save(wanted.select("block", "g").join(p, "g").select("block", "g", F.log("p").alias("p")), wanted, p)
+    kind = T.StructType([*(docs.schema[c] for c in keep), T.StructField(other_name, T.DoubleType()), T.StructField(name, T.DoubleType())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         g, logs = right["g"].to_numpy(), right["p"].to_numpy()
         order = np.argsort(g)
         g, logs, out = g[order], logs[order], []
-        for block in left["rows"].to_pylist():
-            for part in unpacked(block).to_batches():
-                raw, offsets = flat(part.column("text"))
-                forms, value = np.zeros(len(part)), np.full(len(part), np.nan)
-                for a, b in chunks(offsets):
-                    text, at = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                    forms[a:b] = other(text, at)
-                    if len(text):
-                        key, back = np.unique(grams(text, at), return_inverse=True)
-                        total = np.concatenate(([0.0], np.cumsum(logs[np.searchsorted(g, key)][back])))
-                        n = np.diff(at)
-                        value[a:b] = np.where(n > 0, np.exp(-(total[at[1:]] - total[at[:-1]] + PRIOR_BYTES * mean) / (n + PRIOR_BYTES)), np.nan)
-                out.append(pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, pa.float64(), mask=np.isnan(x)) for x in (forms, value))], [*part.schema.names, other_name, name]))
+        for chunk in left["rows"].chunks:
+            for k in range(len(chunk)):
+                for part in unpacked(chunk[k].as_buffer()).to_batches():
+                    raw, offsets = flat(part.column("text"))
+                    forms, value = np.zeros(len(part)), np.full(len(part), np.nan)
+                    for a, b in chunks(offsets):
+                        text, at = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                        forms[a:b] = other(text, at)
+                        if len(text):
+                            total = np.concatenate(([0.0], np.cumsum(logs[np.searchsorted(g, grams(text, at))])))
+                            n = np.diff(at)
+                            value[a:b] = np.where(n > 0, np.exp(-(total[at[1:]] - total[at[:-1]] + PRIOR_BYTES * mean) / (n + PRIOR_BYTES)), np.nan)
+                    out.append(pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(x, pa.float64(), mask=np.isnan(x)) for x in (forms, value))], [*keep, other_name, name]))
         return pa.Table.from_batches(out)
 
-    return made.select("block", "rows").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, kind)
+    return save(made.select("block", "rows").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, kind), made, answers)

@@ -53,6 +53,15 @@ def save(df: DataFrame, *done: DataFrame) -> DataFrame:
     return out
 
 
+def save_bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """As save(), but in buckets of a column: what is grouped or joined by it then needs no shuffle of this table."""
+    folder, name = shared_dir(df.sparkSession), f"quaylight_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, column).option("path", f"{folder}/table").saveAsTable(name)
+    out = df.sparkSession.table(name)
+    out._saved_in, out._saved_as = folder, name
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes the files of tables that save() gave and that nothing needs any more."""
     for table in tables:
@@ -60,6 +69,8 @@ def discard(*tables: DataFrame) -> None:
             where, fs = _hadoop(table.sparkSession, folder)
             fs.delete(where, True)
             table._saved_in = None
+            if name := getattr(table, "_saved_as", None):
+                table.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def small_batches(spark: SparkSession) -> None:

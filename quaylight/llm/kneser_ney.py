@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quaylight.llm import byte_model
-from quaylight.llm.common import LOWER_ASCII, SPACE, chunks, flat, runs_of, save, span_hashes
+from quaylight.llm.common import LOWER_ASCII, SPACE, chunks, discard, flat, runs_of, save, span_hashes
 
 SYMBOLS = 64
 #: The symbol before a text: a capital word with a sentence end, which no space precedes.
@@ -194,12 +194,14 @@ def judged(rated: DataFrame, by_lang: DataFrame, every: float | None) -> DataFra
     return joined.withColumn("keep", F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold"))))
 
 
-def both_rated(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs with _forms, _bytes (perplexities), _form_limit, _byte_limit and _keep."""
-    model, by_lang, every = fit(save(encode(docs)), labels)
+def both_rated(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns `keep` of docs (doc_id and lang among them) with _forms, _bytes (perplexities), _form_limit, _byte_limit and _keep."""
+    codes = save(encode(docs))
+    model, by_lang, every = fit(codes, labels)
+    discard(codes)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    rows = save(byte_model.rated(docs, trusted, lambda raw, at: perplexities(*symbols(raw, at), shared.value.logs, shared.value.mean)))
+    rows = byte_model.rated(docs, trusted, lambda raw, at: perplexities(*symbols(raw, at), shared.value.logs, shared.value.mean), keep)
     known = save(rows.where("_bytes is not null").select("doc_id", "lang", F.log("_bytes").alias("x")).join(trusted, F.col("doc_id") == F.col("_id"), "left_semi"))
     middle, high = (F.percentile_approx("x", q, 10_000) for q in (0.5, QUANTILE))
     limit = F.exp(middle + BYTE_MARGIN * (high - middle))
@@ -220,10 +222,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     as the QUANTILE is, in logarithms. A language without trusted text takes the thresholds of all. A text without
     words has no perplexity and goes. Without any trusted text every document with words is kept.
     """
-    out = both_rated(docs.select("doc_id", "text", "lang"), labels)
+    out = both_rated(docs.select("doc_id", "text", "lang"), labels, ["doc_id", "lang"])
     return out.select("doc_id", "lang", F.col("_forms").alias("perplexity"), F.col("_form_limit").alias("threshold"), F.when(F.col("_forms").isNotNull(), F.col("_bytes")).alias("byte_perplexity"), F.col("_byte_limit").alias("byte_threshold"), F.col("_keep").alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that classify() keeps, with their columns."""
-    return both_rated(docs, labels).where("_keep").select(*docs.columns)
+    return both_rated(docs, labels, docs.columns).where("_keep").select(*docs.columns)
