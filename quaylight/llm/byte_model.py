@@ -34,65 +34,76 @@ def grams(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def packed(table: pa.Table) -> bytes:
+def packed(rows: pa.RecordBatch) -> bytes:
     out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-        w.write_table(table)
+    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(rows)
     return out.getvalue().to_pybytes()
 
 
-def unpacked(block: bytes | pa.Buffer) -> pa.Table:
-    return pa.ipc.open_stream(block).read_all()
+def unpacked(part: pa.Buffer) -> pa.RecordBatch:
+    return pa.ipc.open_stream(part).read_all().combine_chunks().to_batches()[0]
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """(block, ids, rows): rows of docs packed together, with their ids."""
+    """(block, ids, rows): rows of docs packed together in parts of about CHUNK_BYTES, with their ids."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        held, size, number = [], 0, TaskContext.get().partitionId() << 32
-
-        def give() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held)
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([table["doc_id"].to_pylist()], pa.list_(table.schema.field("doc_id").type)), pa.array([packed(table)], pa.binary())], ["block", "ids", "rows"])
-
+        block, size = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            held.append(batch)
-            size += len(flat(batch.column("text"))[0])
-            if size >= BLOCK_BYTES:
-                yield give()
-                held, size, number = [], 0, number + 1
-        if held:
-            yield give()
+            _, offsets = flat(batch.column("text"))
+            numbers, ids, rows = [], [], []
+            for a, b in chunks(offsets):
+                if size >= BLOCK_BYTES:
+                    block, size = block + 1, 0
+                some = batch.slice(a, b - a)
+                numbers.append(block)
+                ids.append(some["doc_id"].to_pylist())
+                rows.append(packed(some))
+                size += int(offsets[b] - offsets[a])
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(ids, pa.list_(batch.schema.field("doc_id").type)), pa.array(rows, pa.binary())], ["block", "ids", "rows"])
 
     return docs.mapInArrow(run, T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(docs.schema["doc_id"].dataType)), T.StructField("rows", T.BinaryType())]))
 
 
 def asked(made: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(block, g, n): the different n-grams of each block and how often they stand in its trusted documents."""
+    """(block, g, n): the different n-grams of each block and how often they stand in its trusted documents. Parts of a block that don't come together give an n-gram more than once, which changes no sum."""
     good = made.select("block", F.explode("ids").alias("_id")).join(trusted, "_id", "left_semi").groupBy("block").agg(F.collect_set("_id").alias("good"))
 
+    def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        g, n = (np.concatenate(x) for x in zip(*held))
+        g, at = np.unique(g, return_inverse=True)
+        return g, np.bincount(at, n, len(g)).astype(np.int64)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, known = None, [], set()
+
+        def give() -> pa.RecordBatch:
+            g, n = merged(held)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(g), now)), pa.array(g), pa.array(n)], ["block", "g", "n"])
+
         for batch in batches:
-            for number, block, good in zip(*(batch.column(c).to_pylist() for c in ("block", "rows", "good"))):
-                known, parts = set(good or ()), []
-                for part in unpacked(block).to_batches():
-                    raw, offsets = flat(part.column("text"))
-                    own = np.array([x in known for x in part.column("doc_id").to_pylist()], bool)
-                    for a, b in chunks(offsets):
-                        g = grams(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                        # a bit for trusted beside the n-gram, so that one sort counts both
-                        key, n = np.unique(g << 1 | np.repeat(own[a:b], np.diff(offsets[a : b + 1])), return_counts=True)
-                        parts.append((key, n))
-                if not parts:
-                    continue
-                key, n = (np.concatenate(x) for x in zip(*parts))
-                g, at = np.unique(key >> 1, return_inverse=True)
-                n = np.bincount(at, np.where(key & 1, n, 0), len(g)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), number)), pa.array(g), pa.array(n)], ["block", "g", "n"])
-
-    return made.select("block", "rows").join(good, "block", "left").mapInArrow(run, "block long, g long, n long")
+            for k in range(batch.num_rows):
+                number = batch.column("block")[k].as_py()
+                if held and number != now:
+                    yield give()
+                    held = []
+                if number != now:
+                    now, known = number, set(batch.column("good")[k].as_py() or ())
+                rows = unpacked(batch.column("rows")[k].as_buffer())
+                raw, offsets = flat(rows.column("text"))
+                own = np.array([x in known for x in rows.column("doc_id").to_pylist()], bool)
+                # a bit for trusted beside the n-gram, so that one sort counts both
+                key, n = np.unique(grams(raw, offsets) << 1 | np.repeat(own, np.diff(offsets)), return_counts=True)
+                held.append((key >> 1, np.where(key & 1, n, 0)))
+                if len(held) > 8:
+                    held = [merged(held)]
+        if held:
+            yield give()
+
+    return made.select("block", "rows").join(good, "block", "left").select("block", "rows", "good").sortWithinPartitions("block").mapInArrow(run, "block long, g long, n long")
 
 
 def probabilities(wanted: DataFrame) -> tuple[DataFrame, float]:
@@ -142,17 +153,15 @@ def rated(docs: DataFrame, trusted: DataFrame, other, keep: list[str] | None = N
         g, logs, out = g[order], logs[order], []
         for chunk in left["rows"].chunks:
             for k in range(len(chunk)):
-                for part in unpacked(chunk[k].as_buffer()).to_batches():
-                    raw, offsets = flat(part.column("text"))
-                    forms, value = np.zeros(len(part)), np.full(len(part), np.nan)
-                    for a, b in chunks(offsets):
-                        text, at = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                        forms[a:b] = other(text, at)
-                        if len(text):
-                            total = np.concatenate(([0.0], np.cumsum(logs[np.searchsorted(g, grams(text, at))])))
-                            n = np.diff(at)
-                            value[a:b] = np.where(n > 0, np.exp(-(total[at[1:]] - total[at[:-1]] + PRIOR_BYTES * mean) / (n + PRIOR_BYTES)), np.nan)
-                    out.append(pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(x, pa.float64(), mask=np.isnan(x)) for x in (forms, value))], [*keep, other_name, name]))
+                rows = unpacked(chunk[k].as_buffer())
+                raw, offsets = flat(rows.column("text"))
+                value = np.full(len(rows), np.nan)
+                if len(raw):
+                    total = np.concatenate(([0.0], np.cumsum(logs[np.searchsorted(g, grams(raw, offsets))])))
+                    n = np.diff(offsets)
+                    value = np.where(n > 0, np.exp(-(total[offsets[1:]] - total[offsets[:-1]] + PRIOR_BYTES * mean) / (n + PRIOR_BYTES)), np.nan)
+                forms = other(raw, offsets)
+                out.append(pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), *(pa.array(x, pa.float64(), mask=np.isnan(x)) for x in (forms, value))], [*keep, other_name, name]))
         return pa.Table.from_batches(out)
 
     return save(made.select("block", "rows").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, kind), made, answers)

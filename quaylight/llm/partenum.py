@@ -420,7 +420,7 @@ def similar_documents(docs: DataFrame, words: int = 4, percent: int = 85) -> Dat
     classes = connected_components(links)
     discard(links)
     named = table.drop("sketch", "key").join(classes, "node", "left").withColumn("_class", F.coalesce("component", "node"))
-    least = named.where("node >= 0").groupBy("_class").agg(F.min("doc_id").alias("_least"))
+    least = save(named.where("node >= 0").groupBy("_class").agg(F.min("doc_id").alias("_least")))  # apart, so that a large class can be split in the join
     return named.join(least.withColumnRenamed("_class", "_c"), (F.col("_class") == F.col("_c")) & (F.col("node") >= 0), "left").select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
 
 
