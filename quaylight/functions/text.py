@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,27 +83,38 @@ _SKIP = r"""(["'])(?:\\.|(?!\10).)*+\10|[A-Za-z_][A-Za-z0-9_.\-]*+"""
 _TOKEN = rf"(?sU).*?(?:{_ASSIGN}|{_SKIP})"
 
 
+#: Stands between the groups of a token; a private-use character, and lines that have it take the longer way.
+_GROUP_MARK = "\ue000"
+
+
 def assignments(line: Column | str) -> Column:
-    """array<struct<key, value, quoted, start, end>>: key = value pairs from left to right; values are never read again.
+    """array<struct<key, value, quoted, start, end, op>>: key = value pairs from left to right; values are never read again.
 
     A name takes =, a quoted name also a colon; ==, => and := are no assignments. A quoted value ends at its quote or at
     the end of the line, another one at white space. start and end are the value's, without quotes, in code points.
     """
-    found = _all(_col(line), _TOKEN, 0)
-    group = lambda t, k: F.regexp_extract(t, _TOKEN, k)
-    ends = lambda i: F.aggregate(F.slice(found, 1, i + 1), F.lit(0).cast("long"), lambda n, s: n + F.length(s))
+    line = _col(line)
+    found = _all(line, _TOKEN, 0)
+    # every token's groups by one replacement, not by an extraction each
+    marked = lambda t: F.split(F.regexp_replace(t, _TOKEN, _GROUP_MARK.join(f"${k}" for k in range(1, 10))), _GROUP_MARK, -1)
+    extracted = lambda t: F.array(*[F.regexp_extract(t, _TOKEN, k) for k in range(1, 10)])
     plain = lambda s: F.regexp_replace(s, r"(?s)\\(.)", "$1")
 
-    def one(t: Column, i: Column) -> Column:
-        quoted = group(t, 6) != ""
-        raw = F.when(quoted, group(t, 7)).otherwise(group(t, 9))
-        end = ends(i) - F.length(group(t, 8))
-        key = F.when(group(t, 1) != "", plain(group(t, 2))).otherwise(group(t, 4))
-        op = F.concat(group(t, 3), group(t, 5))
-        parts = {"key": key, "value": plain(raw), "quoted": quoted, "start": end - F.length(raw), "end": end, "op": op}
-        return F.named_struct(*(x for k, v in parts.items() for x in (F.lit(k), v)))
+    def pairs(groups: Callable[[Column], Column]) -> Column:
+        tokens = F.transform(found, lambda t: F.named_struct(F.lit("n"), F.length(t), F.lit("g"), groups(t)))
 
-    return F.filter(F.transform(found, one), lambda a: a["op"] != "")
+        def one(ts: Column, t: Column, i: Column) -> Column:
+            g = lambda k: F.get(t["g"], F.lit(k - 1))
+            raw = F.when(g(6) != "", g(7)).otherwise(g(9))
+            end = F.aggregate(F.slice(ts, 1, i + 1), F.lit(0).cast("long"), lambda n, x: n + x["n"]) - F.length(g(8))
+            key = F.when(g(1) != "", plain(g(2))).otherwise(g(4))
+            parts = {"key": key, "value": plain(raw), "quoted": g(6) != "", "start": end - F.length(raw), "end": end, "op": F.concat(g(3), g(5))}
+            return F.when((g(3) != "") | (g(5) != ""), F.named_struct(*(x for k, v in parts.items() for x in (F.lit(k), v))))
+
+        # inside an array of one, so that tokens are made once
+        return F.get(F.transform(F.array(tokens), lambda ts: F.array_compact(F.transform(ts, lambda t, i: one(ts, t, i)))), F.lit(0))
+
+    return F.when(line.contains(_GROUP_MARK), pairs(extracted)).otherwise(pairs(marked))
 
 
 def key_parts(key: Column | str) -> Column:
@@ -202,8 +215,10 @@ def splice(text: Column, spans: Column, by: str) -> Column:
 
 
 def may_assign(line: Column | str) -> Column:
-    """False only for lines without any sensitive key: a cheap test before assignments()."""
-    return F.replace(_col(line), F.lit("\\"), F.lit("")).rlike("(?i)passw|pwd|secret|token|key")
+    """False only for lines without any sensitive key or without a sign that assigns (a colon does after a quote): a cheap test before assignments()."""
+    line = _col(line)
+    signs = line.contains("=") | line.contains(":") & line.rlike("[\"']")
+    return signs & F.replace(line, F.lit("\\"), F.lit("")).rlike("(?i)passw|pwd|secret|token|key")
 
 
 def mask_line(line: Column | str) -> Column:

@@ -74,11 +74,11 @@ def planted_lines(spark: SparkSession, folder: str) -> DataFrame:
 def event_findings(spark: SparkSession, folder: str) -> DataFrame:
     """Events as findings: six to a repository, rule by type, severity and confidence by value and id."""
     e = read(spark, folder, "events")
-    t = F.length("event_type") % 4
-    rule = F.get(F.array(*[F.lit(r[0]) for r in V.RULES[:9]]), (t * 2).cast("int"))
+    t = ((F.length("event_type") + F.floor(F.col("event_id") / 3)) % 9).cast("int")
+    rule = F.get(F.array(*[F.lit(r[0]) for r in V.RULES[:9]]), t)
     severity = F.get(F.array(*map(F.lit, V.SEVERITIES)), (F.col("event_id") % 5).cast("int"))
     confidence = F.get(F.array(*map(F.lit, V.CONFIDENCES)), (F.col("event_id") % 3).cast("int"))
-    template = F.get(F.array(*[F.lit(r[7]) for r in V.RULES[:9]]), (t * 2).cast("int"))
+    template = F.get(F.array(*[F.lit(r[7]) for r in V.RULES[:9]]), t)
     none = F.lit("")
     made = {
         "repo_id": F.floor(F.col("event_id") / 6).cast("string"), "rule_id": rule, "rule_name": rule, "severity": severity, "confidence": confidence,
@@ -94,12 +94,12 @@ _RULES9 = ", ".join(f"'{r[0]}'" for r in V.RULES[:9])
 _TEMPLATES9 = ", ".join(f"'{r[7]}'" for r in V.RULES[:9])
 EVENTS_SQL = f"""
   SELECT CAST(event_id // 6 AS VARCHAR) AS repo_id, event_id,
-         ([{_RULES9}])[(length(event_type) % 4) * 2 + 1] AS rule_id,
+         ([{_RULES9}])[(length(event_type) + event_id // 3) % 9 + 1] AS rule_id,
          (['critical','high','medium','low','info'])[(event_id % 5) + 1] AS severity, event_id % 5 AS s,
          (['high','medium','low'])[(event_id % 3) + 1] AS confidence, event_id % 3 AS c,
          'src/f' || CAST(event_id % 50 AS VARCHAR) || '.py' AS file_path, event_id AS line_start, event_id % 11 = 0 AS is_blocking,
          'd' || event_type AS description, event_type AS secret_type,
-         CASE WHEN event_id % 13 = 0 THEN 'unknown' ELSE ([{_TEMPLATES9}])[(length(event_type) % 4) * 2 + 1] END AS repair_template_key,
+         CASE WHEN event_id % 13 = 0 THEN 'unknown' ELSE ([{_TEMPLATES9}])[(length(event_type) + event_id // 3) % 9 + 1] END AS repair_template_key,
          CASE WHEN event_id % 7 = 0 THEN 'incomplete_content' ELSE 'sensitive_data_security' END AS dimension
   FROM events"""
 

@@ -553,19 +553,33 @@ def q_corpus_incomplete(spark, d):
     return incomplete.scan(lexer.lex(hosts.corpus_files(spark, d)))
 
 
-def scorecard(spark: SparkSession, folder: str) -> DataFrame:
-    """The flagship: every document as a file of its source, scanned, summed up and scored."""
-    files = hosts.corpus_files(spark, folder)
+def all_findings(files: DataFrame) -> DataFrame:
+    """Findings of all five dimensions over eligible files (repo_id, file_path, content, length)."""
+    from quaylight.operators import deploy, docs, security
+
     good = files.where(S.reason_skipped().isNull())
-    lines = S.explode_lines(good)
-    found = resolve.drop_overlaps(secrets.scan(good, lines))
+    lexed = lexer.lex(good)
+    out = secrets.scan(good, S.explode_lines(good))
+    for found in (incomplete.scan(lexed), deploy.scan(good, lexed), security.scan(lexed, good), docs.scan(good)):
+        out = out.unionByName(found)
+    return resolve.drop_overlaps(out)
+
+
+def card_of(files: DataFrame) -> DataFrame:
+    """Scanned in all dimensions, summed up and scored by the sensitive one, as the score is defined; a row for each repository."""
     zero = F.lit(0).cast("long")
     skipped = F.count_if(S.reason_skipped().isNotNull())
     counts = files.groupBy("repo_id").agg(skipped.alias("total_skipped_files"), F.count_if(S.reason_skipped().isNull()).alias("total_files_scanned"))
     other = counts.select("repo_id", zero.alias("total_notices"), "total_skipped_files", zero.alias("total_scan_errors"), "total_files_scanned", zero.alias("total_lines_scanned"))
+    found = all_findings(files)
     return scoring.assess(found, resolve.sensitive_summary(resolve.summarize(found, other)))
 
 
+def scorecard(spark: SparkSession, folder: str) -> DataFrame:
+    """The flagship: every document as a file of its source."""
+    return card_of(hosts.corpus_files(spark, folder))
+
+
 @query()
 def q_scorecard(spark, d):
     return scorecard(spark, d)
