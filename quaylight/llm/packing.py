@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 from quaylight.llm.bpe import row_ids
 from quaylight.llm.common import save
 
-#: Rows of a length are ranked within so many parts, so that a common length is no single task's.
-RANK_PARTS = 64
+#: Rows of a length that are ranked in one task; a commoner length is ranked in as many parts as it needs.
+RANK_ROWS = 500_000
 
 
 def cut_documents(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
@@ -89,22 +89,25 @@ def plan_slots(histogram: dict[int, int], capacity: int) -> list[tuple[int, int,
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     """Adds sequence_id and offset (its place there, without gaps) to pieces of length 1 to capacity.
 
-    The histogram has at most `capacity` rows, and so is the only thing brought to the driver. A piece's rank within
+    The histogram has at most `capacity` rows, and so is the only thing brought to the driver. The plan has a row for each
+    step of best fit over lengths, some tens of thousands at a capacity of 4096 whatever the number of pieces. A piece's rank within
     its length is its rank within a part of that length plus the sizes of the parts before.
     """
     spark = pieces.sparkSession
-    parted = save(pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(RANK_PARTS)).cast("int")))
-    sizes = save(parted.groupBy("length", "_part").agg(F.count("*").alias("n")))
-    histogram = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    pieces = save(pieces)
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = plan_slots(histogram, capacity)
+    parts = spark.createDataFrame([(n, 1 + m // RANK_ROWS) for n, m in histogram.items()], "length long, _parts long")  # at most capacity rows
+    parted = pieces.join(F.broadcast(parts), "length").withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_parts")))
+    sizes = parted.groupBy("length", "_part").agg(F.count("*").alias("n"))
     before = sizes.withColumn("_before", F.sum("n").over(Window.partitionBy("length").orderBy("_part")) - F.col("n")).drop("n")
     ranked = parted.withColumn("_in", F.row_number().over(Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "ids_crc32")) - 1)
     slots = spark.createDataFrame(plan, "_len long, _lo long, _hi long, _first long, offset long")
     return (
-        ranked.join(F.broadcast(before), ["length", "_part"])  # at most capacity x RANK_PARTS rows
+        ranked.join(before, ["length", "_part"])  # already dealt by both
         .withColumn("_rank", F.col("_in") + F.col("_before"))
         .join(F.broadcast(slots), (F.col("length") == F.col("_len")) & F.col("_rank").between(F.col("_lo"), F.col("_hi") - 1))
-        .select(*[parted[c] for c in pieces.columns], (F.col("_first") + F.col("_rank") - F.col("_lo")).alias("sequence_id"), "offset")
+        .select(*pieces.columns, (F.col("_first") + F.col("_rank") - F.col("_lo")).alias("sequence_id"), "offset")
     )
 
 

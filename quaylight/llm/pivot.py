@@ -17,11 +17,12 @@ ANNULUS_ROWS = 256
 class PivotIndex:
     """Rows keyed by (nearest pivot, distance to it), sorted, and cut into annuli.
 
-    With |q - x| >= |d(q, p) - d(x, p)|, an annulus holds no inner product above (|q|^2 + largest |x|^2 - gap^2) / 2.
+    With |q - x| >= |d(q, p) - d(x, p)| for every pivot p, an annulus holds no inner product above
+    (|q|^2 + largest |x|^2 - gap^2) / 2, where gap is the widest over all pivots. `seen` counts the rows scored.
     """
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, k: int):
-        self.pivots, self.k = pivots, k
+        self.pivots, self.k, self.seen = pivots, k, 0
         norm = (x * x).sum(1)
         square = np.maximum(norm[:, None] + (pivots * pivots).sum(1) - 2 * (x @ pivots.T), 0)
         key = square.argmin(1)
@@ -32,21 +33,23 @@ class PivotIndex:
         within = np.arange(len(x)) - np.flatnonzero(new)[np.cumsum(new) - 1]
         self.first = np.flatnonzero(within % ANNULUS_ROWS == 0)
         self.end = np.append(self.first[1:], len(x))
-        self.key, self.near, self.far = key[self.first], far[self.first], far[self.end - 1]
+        every = np.sqrt(square[order])
+        self.near, self.far = np.minimum.reduceat(every, self.first), np.maximum.reduceat(every, self.first)
         self.norm = np.maximum.reduceat(norm, self.first)
 
     def __call__(self, query_id: int, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own = np.sqrt(((self.pivots - query) ** 2).sum(1))[self.key]
-        gap = np.maximum(np.maximum(self.near - own, own - self.far), 0)
+        own = np.sqrt(((self.pivots - query) ** 2).sum(1))
+        gap = np.maximum(np.maximum(self.near - own, own - self.far), 0).max(1)
         size = query @ query
         bound = (size + self.norm - gap * gap) / 2
-        bound += 1e-9 * (size + self.norm + gap * gap) + 1e-6  # distances are rounded
+        bound += 1e-9 * (size + self.norm + gap * gap) + 1e-6 * (1 + gap)  # distances are rounded
         ids, scores = np.zeros(0, np.int64), np.zeros(0)
         order = np.argsort(-bound, kind="stable")
         for i in range(0, len(order), 4):
             if len(ids) == self.k and bound[order[i]] < scores[-1]:
                 break
             rows = np.concatenate([np.arange(self.first[a], self.end[a]) for a in order[i : i + 4]])
+            self.seen += len(rows)
             rows = rows[self.ids[rows] != query_id]
             ids, scores = best(np.concatenate((ids, self.ids[rows])), np.concatenate((scores, self.x[rows] @ query)), self.k)
         return ids, scores

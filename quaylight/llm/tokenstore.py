@@ -27,6 +27,8 @@ MAGIC = b"QLRP0001"
 SHARD_TOKENS = 2_000_000
 ROUNDS, PAIRS_A_ROUND, LEAST_COUNT = 6, 512, 24
 FIRST_NONTERMINAL = 1 << 16
+#: Ranges of ids that are told apart, a task each; with more text a range fills more files.
+MOST_RANGES = 100_000
 
 
 def compress(ids: np.ndarray, owner: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,8 +165,8 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = 1, shard
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sizes = slim.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n")).first()
     wanted = max(1, int((sizes["bytes"] or 0) / 4 / shard_tokens) + 1)
-    parts = min(wanted, 10_000)
-    cuts = slim.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts).alias("q")).first()["q"] if parts > 1 else []
+    parts = min(wanted, MOST_RANGES)
+    cuts = slim.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], max(10_000, 10 * parts)).alias("q")).first()["q"] if parts > 1 else []
     bounds = np.array(sorted(set(cuts or [])), np.int64)
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,13 +206,13 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = 1, shard
             yield flush()
 
     encoded = slim.mapInArrow(encode, "range_no int, doc_id long, ids binary")
-    ordered = encoded.repartition(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), "range_no").sortWithinPartitions("range_no", F.asc_nulls_first("doc_id"), "ids")
+    ordered = encoded.repartitionById(len(bounds) + 1, "range_no").sortWithinPartitions("range_no", F.asc_nulls_first("doc_id"), "ids")
     return save(ordered.mapInArrow(write, "range_no int, file_no int, path string, n_tokens long"))
 
 
 def read_shards(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
-    total = files.groupBy("range_no").agg(F.sum("n_tokens").alias("_n"))  # a row for each range: at most 10,000
+    total = files.groupBy("range_no").agg(F.sum("n_tokens").alias("_n"))  # a row for each range: at most MOST_RANGES
     before = total.withColumn("_before", F.sum("_n").over(Window.orderBy("range_no")) - F.col("_n")).drop("_n")
     own = F.sum("n_tokens").over(Window.partitionBy("range_no").orderBy("file_no")) - F.col("n_tokens")
     placed = files.withColumn("_own", own).join(before, "range_no").select("path", (F.col("_own") + F.col("_before")).alias("start"))

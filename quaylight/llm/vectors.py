@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from quaylight.llm.common import save
 
-#: Rows of a shard; a task holds one, and queries pass by in blocks.
-SHARD_ROWS = 16_384
+#: Rows of a shard and queries of a block: a task holds a shard while a block passes by.
+SHARD_ROWS, BLOCK_QUERIES = 16_384, 1_000
 
 
 def valid(vectors: DataFrame, zero: bool) -> DataFrame:
@@ -40,14 +40,20 @@ def search(rows: DataFrame, queries: DataFrame, k: int, index: Callable[[np.ndar
     """query_id, rank, vec_id, score: the k best of all rows but those with the query's own id.
 
     index(ids, vectors) makes a shard's index: a function of (query id, query vector) that gives ids and scores, best
-    first, k at most. Every query visits every shard; a shard is held whole, queries come in batches behind it.
+    first, k at most. Every query visits every shard; a task holds a shard whole, a block of queries comes behind it.
     """
     rows = save(rows)
     n = rows.count()
     shards = max(1, -(-n // SHARD_ROWS))
-    held = rows.select(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "vec_id", "embedding")
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "vec_id", "embedding")
-    both = held.union(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    queries = save(queries)
+    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
+    every = lambda most: F.explode(F.sequence(F.lit(0), F.lit(most - 1)))
+    shard, block = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shards)), F.pmod(F.xxhash64("embedding", "vec_id"), F.lit(blocks))
+    held = rows.select(every(blocks).alias("b"), shard.alias("s"), "vec_id", "embedding").select((F.col("s") * blocks + F.col("b")).cast("int").alias("shard"), F.lit(0).alias("kind"), "vec_id", "embedding")
+    asked = queries.select(every(shards).alias("s"), block.alias("b"), "vec_id", "embedding").select((F.col("s") * blocks + F.col("b")).cast("int").alias("shard"), F.lit(1).alias("kind"), "vec_id", "embedding")
+    # a task for each pair of a shard and a block, up to as many tasks as are at hand a few times over
+    tasks = min(shards * blocks, max(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards))
+    both = held.union(asked).repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", "kind")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, vectors, probe = None, [], [], None
