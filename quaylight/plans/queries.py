@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -554,15 +555,22 @@ def q_corpus_incomplete(spark, d):
 
 
 def all_findings(files: DataFrame) -> DataFrame:
-    """Findings of all five dimensions over eligible files (repo_id, file_path, content, length)."""
+    """Findings of all five dimensions over eligible files (repo_id, file_path, content, length), cached.
+
+    Lexed lines are kept, in memory or on disk, only until the findings are there, so that files are lexed once for all
+    rules. Lost blocks of either are computed anew.
+    """
     from quaylight.operators import deploy, docs, security
 
     good = files.where(S.reason_skipped().isNull())
-    lexed = lexer.lex(good)
+    lexed = lexer.lex(good).persist(StorageLevel.MEMORY_AND_DISK)
     out = secrets.scan(good, S.explode_lines(good))
     for found in (incomplete.scan(lexed), deploy.scan(good, lexed), security.scan(lexed, good), docs.scan(good)):
         out = out.unionByName(found)
-    return resolve.drop_overlaps(out)
+    out = resolve.drop_overlaps(out).persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    lexed.unpersist()
+    return out
 
 
 def card_of(files: DataFrame) -> DataFrame:
@@ -603,6 +611,8 @@ _REPOS = [
     ("r3", "Containerfile", "RUN x\n"),
     ("r3", "main.go", "package main\nfunc main() {\n os.Getenv(\"A\")\n}\n"),
     ("r3", "conf/app.yml", "allowed-origins: *\n"),
+    ("r4", "Dockerfile", "FROM node:20.1\nUSER app\n"),
+    ("r5", "a.py", "x = 1\n"),
 ]
 
 
@@ -615,6 +625,8 @@ _DEPLOY = [
     ("r1", "D007_DOCKER_MUTABLE_BASE", "Dockerfile"), ("r1", "D008_DOCKER_ROOT_USER", "Dockerfile"),
     ("r3", "D002_ENVIRONMENT_DOCUMENTATION", "main.go"), ("r3", "D003_DEPENDENCY_LOCK", "go.mod"), ("r3", "D004_DEPLOYMENT_DOCUMENTATION", "<repository>"),
     ("r3", "D006_DOCKER_MISSING_FROM", "Containerfile"), ("r3", "D010_INVALID_DEPLOYMENT_CONFIG", "pom.xml"),
+    ("r4", "D001_PRODUCTION_START", "<repository>"), ("r4", "D004_DEPLOYMENT_DOCUMENTATION", "<repository>"), ("r4", "D009_DOCKER_MISSING_START", "Dockerfile"),
+    ("r5", "D001_PRODUCTION_START", "<repository>"), ("r5", "D004_DEPLOYMENT_DOCUMENTATION", "<repository>"), ("r5", "D005_DOCKER_MISSING", "<repository>"),
 ]
 
 
@@ -657,7 +669,7 @@ def q_node_lock_antijoin(spark, d):
 _STAGES = "FROM --platform=x node AS build\nUSER app\nFROM node:latest\nCMD run\n"
 
 
-@query("SELECT 'r1' AS repo_id, 'Dockerfile' AS file_path, 'node:latest' AS base, true AS has_start UNION ALL SELECT 'r3', 'Containerfile', NULL, false")
+@query("SELECT 'r1' AS repo_id, 'Dockerfile' AS file_path, 'node:latest' AS base, true AS has_start UNION ALL SELECT 'r3', 'Containerfile', NULL, false UNION ALL SELECT 'r4', 'Dockerfile', 'node:20.1', false")
 def q_docker_last_stage(spark, d):
     from quaylight.operators import deploy
 
