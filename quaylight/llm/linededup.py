@@ -72,17 +72,17 @@ def repeated_chunks(docs: DataFrame, least_lines: int = LEAST_LINES, least_words
     twice = places.groupBy("_h", "_g").agg(F.min(order).alias("lead"), F.count("*").alias("m")).where("m > 1")
     twice = save(twice.withColumn("salts", (F.col("m") / SALT_ROWS).cast("int") + 1))
     copies = places.join(twice, ["_h", "_g"]).withColumn("leads", order == F.col("lead"))
-    found = save(copies.select("_id", "_key", "first", "_h", "_g", "leads", F.when(F.col("leads"), F.lit(0)).otherwise(F.pmod(F.xxhash64("_id", "_key", "first"), F.col("salts"))).cast("int").alias("salt"), "salts"))
+    found = save(copies.select("_id", "_key", "first", "_h", "_g", "leads", F.when(F.col("leads"), F.lit(0)).otherwise(F.pmod(F.xxhash64("_id", "_key", "first"), F.col("salts"))).cast("int").alias("salt"), "salts"), places, twice)
     # the texts of repeated chunks only: one visit to each document that has some
     wanted = found.groupBy("_id", "_key").agg(F.collect_set(F.struct("first", "_h", "_g", "leads", "salt", "salts")).alias("want"))
-    some = keyed.dropDuplicates(["_id", "_key"]).join(wanted, keyed["_id"].eqNullSafe(wanted["_id"]) & (keyed["_key"] == wanted["_key"])).select(keyed["_id"], keyed["_key"], "text", "want")
+    some = keyed.join(wanted, keyed["_id"].eqNullSafe(wanted["_id"]) & (keyed["_key"] == wanted["_key"])).select(keyed["_id"], keyed["_key"], "text", "want").dropDuplicates(["_id", "_key"])
     by = F.map_from_entries(F.transform(line_chunks(F.col("text")), lambda c: F.struct(c["first"], c["text"])))
     # within one expression, so that a text is cut once for all its repeated chunks
     with_text = F.get(F.transform(F.array(by), lambda m: F.transform("want", lambda w: F.named_struct(F.lit("w"), w, F.lit("chunk"), F.element_at(m, w["first"])))), F.lit(0))
-    exact = save(some.select("_id", "_key", F.explode(with_text).alias("x")).select("_id", "_key", "x.w.*", F.col("x.chunk").alias("chunk")))
+    exact = save(some.select("_id", "_key", F.explode(with_text).alias("x")).select("_id", "_key", "x.w.*", F.col("x.chunk").alias("chunk")), found)
     leads = exact.where("leads").dropDuplicates(["_h", "_g"]).select("_h", "_g", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("chunk").alias("_same"))
     gone = exact.where("not leads").join(leads, ["_h", "_g", "salt"]).where(F.col("chunk").cast("binary") == F.col("_same").cast("binary"))
-    return gone.groupBy("_id", "_key").agg(F.collect_set("first").alias("gone"))
+    return save(gone.groupBy("_id", "_key").agg(F.collect_set("first").alias("gone")), exact)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -92,17 +92,17 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     texts are handled whole. Columns of docs with the three names are replaced.
     """
     gone = repeated_chunks(docs.select("doc_id", "text"))
-    held = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_i"), F.col("text").alias("_t"), F.xxhash64("text").alias("_k"))
+    held = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_i"), F.xxhash64("text").alias("_k"))
     joined = held.join(gone, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left")
-    cut = joined.withColumn("_c", F.when(F.col("gone").isNotNull(), line_chunks(F.col("_t"))))
+    cut = joined.withColumn("_c", F.when(F.col("gone").isNotNull(), line_chunks(F.col("_row.text"))))
     kept = F.filter("_c", lambda c: ~F.array_contains("gone", c["first"]))
     lost = F.filter("_c", lambda c: F.array_contains("gone", c["first"]))
     added = {
-        "n_lines": F.coalesce(F.length("_t") - F.length(F.replace("_t", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long"),
+        "n_lines": F.coalesce(F.length("_row.text") - F.length(F.replace("_row.text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long"),
         "removed_lines": F.coalesce(F.aggregate(lost, F.lit(0).cast("long"), lambda s, c: s + c["n"]), F.lit(0).cast("long")),
         "removed_chunks": F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
     }
-    text = F.when(F.col("gone").isNull(), F.col("_t")).otherwise(F.array_join(F.transform(kept, lambda c: c["text"]), "\n"))
+    text = F.when(F.col("gone").isNull(), F.col("_row.text")).otherwise(F.array_join(F.transform(kept, lambda c: c["text"]), "\n"))
     return cut.select(*[text.alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns if c not in added], *[v.alias(k) for k, v in added.items()])
 
 
@@ -156,7 +156,7 @@ def repeated_runs(docs: DataFrame, least_lines: int = LEAST_LINES, least_words:
     twice = save(places.groupBy("same").agg(F.min(order).alias("lead"), F.count("*").alias("m")).where("m > 1").drop("m"))
     lead = F.col("lead")
     apart = (order["a"] != lead["a"]) | (order["b"] != lead["b"]) | (order["k"] != lead["k"]) | (F.col("first") >= lead["f"] + F.col("n"))
-    return places.join(twice, "same").where(apart).groupBy("_id", "_key").agg(F.collect_set(F.struct("first", "n")).alias("runs"))
+    return save(places.join(twice, "same").where(apart).groupBy("_id", "_key").agg(F.collect_set(F.struct("first", "n")).alias("runs")), places, twice)
 
 
 def dedup_passages(docs: DataFrame) -> DataFrame:
@@ -165,16 +165,16 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
     A passage is a longest run of removed lines. Else as dedup_lines().
     """
     gone = repeated_runs(docs.select("doc_id", "text"))
-    held = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_i"), F.col("text").alias("_t"), F.xxhash64("text").alias("_k"))
+    held = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_i"), F.xxhash64("text").alias("_k"))
     joined = held.join(gone, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left")
     lost = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["first"] + r["n"] - 1))))
-    cut = joined.withColumn("_x", F.when(F.col("runs").isNotNull(), lost)).withColumn("_n", F.coalesce(F.length("_t") - F.length(F.replace("_t", F.lit("\n"), F.lit(""))) + 1, F.lit(0)))
+    cut = joined.withColumn("_x", F.when(F.col("runs").isNotNull(), lost)).withColumn("_n", F.coalesce(F.length("_row.text") - F.length(F.replace("_row.text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)))
     # set operations on ints are hashed, so that long texts cost no more a line
-    kept = F.transform(F.array(F.split("_t", "\n", -1)), lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.col("_n") - 1), F.col("_x")), lambda i: F.get(ls, i)), "\n"))
+    kept = F.transform(F.array(F.split("_row.text", "\n", -1)), lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.col("_n") - 1), F.col("_x")), lambda i: F.get(ls, i)), "\n"))
     added = {
         "n_lines": F.col("_n").cast("long"),
         "removed_lines": F.coalesce(F.size("_x"), F.lit(0)).cast("long"),
         "removed_passages": F.coalesce(F.size(F.array_except("_x", F.transform("_x", lambda i: i + 1))), F.lit(0)).cast("long"),
     }
-    text = F.when(F.col("_x").isNull(), F.col("_t")).otherwise(F.get(kept, F.lit(0)))
+    text = F.when(F.col("_x").isNull(), F.col("_row.text")).otherwise(F.get(kept, F.lit(0)))
     return cut.select(*[text.alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns if c not in added], *[v.alias(k) for k, v in added.items()])

@@ -76,7 +76,7 @@ def op10_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return tokenstore.store_round_trip(spark, table(spark, folder, "documents").select("doc_id", "text"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_bpe, op3_packing, op4_line_dedup, op4_passages, op5_toxicity, op6_mih, op7_pivot, op8_quality, op9_partenum, op10_tokens)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_bpe, op3_packing, op4_passages, op4_line_dedup, op5_toxicity, op6_mih, op7_pivot, op8_quality, op9_partenum, op10_tokens)}
 
 ORACLE_SQL = {
     "op1_warc": """

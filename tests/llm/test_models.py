@@ -204,3 +204,33 @@ def test_words_of_other_letters_go(spark):
     got = {r["doc_id"]: r["keep"] for r in K.classify(cases.documents(spark, good + mixed + other), label_frame(spark, [(i, 1, 0) for i, _ in good[:200]])).collect()}
     assert sum(not got[i] for i, _ in good) <= 2
     assert not any(got[i] for i, _ in mixed + other)
+
+
+def plain_ftrl(rows, labels, l1, epochs):
+    """One coordinate at a time, as the paper states it."""
+    z, n = {}, {}
+    weight = lambda i: 0.0 if abs(z.get(i, 0.0)) <= (0 if i == "bias" else l1) else -(z[i] - math.copysign(0 if i == "bias" else l1, z[i])) / ((X.BETA + math.sqrt(n[i])) / X.ALPHA)
+    for _ in range(epochs):
+        for row, y in zip(rows, labels):
+            at = [*row.tolist(), "bias"]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            if abs(g) < 1e-4:
+                continue
+            for i in at:
+                s = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / X.ALPHA
+                z[i] = z.get(i, 0.0) + g - s * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z if weight(i)}
+
+
+def test_ftrl_equals_a_plain_version():
+    rng = np.random.default_rng(21)
+    rows = [np.unique(rng.integers(0, 40, rng.integers(1, 12))) for _ in range(150)]
+    labels = np.array([float(3 in r or rng.random() < 0.1) for r in rows])
+    for l1 in (0.5, 2.0):
+        got, want = X.ftrl(rows, labels, l1, 3), plain_ftrl(rows, labels, l1, 3)
+        assert dict(zip(got.places.tolist(), got.values)) == pytest.approx({i: w for i, w in want.items() if i != "bias"}, rel=1e-9)
+        assert got.bias == pytest.approx(want["bias"], rel=1e-9)
+    scores = [1 / (1 + math.exp(-(got.bias + sum(dict(zip(got.places.tolist(), got.values)).get(i, 0.0) for i in r.tolist())))) for r in rows]
+    assert X.loss(got, rows, labels) == pytest.approx(-sum(math.log(s if y else 1 - s) for s, y in zip(scores, labels)) / len(rows), rel=1e-9)
