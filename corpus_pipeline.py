@@ -10,22 +10,45 @@ from quaylight.llm.common import save, small_batches
 from quaylight.llm.queries import table, tokenizer_path
 
 
+def _slim(docs: DataFrame, *own: str) -> DataFrame:
+    """The columns that a stage reads, and all others in one, so that no name of theirs can clash with an operator's."""
+    return docs.select(*own, F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c not in own]).alias("_rest"))
+
+
+def _wide(out: DataFrame, docs: DataFrame, *own: str) -> DataFrame:
+    """The columns of docs again, in their order."""
+    return out.select(*[F.col(c) if c in own else F.col("_rest").getField(c).alias(c) for c in docs.columns])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity is within their language's threshold. Documents without words go."""
+    """Documents whose perplexities are within their language's thresholds.
+
+    Null and empty texts, and those without words, go. Repeated rows share a fate; any further columns stay.
+    """
     small_batches(spark)
-    return kneser_ney.keep_good(docs, table(spark, sf_dir, "labels"))
+    own = ("doc_id", "text", "lang")
+    return _wide(kneser_ney.keep_good(_slim(docs, *own), table(spark, sf_dir, "labels")), docs, *own)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.5; learned from the labelled ones among docs that aren't held out."""
+    """Documents that score below 0.5; learned from the labelled ones among docs that aren't held out.
+
+    A null or empty text has the score of the bias alone. Repeated rows share a fate; any further columns stay.
+    """
     small_batches(spark)
-    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), "_toxicity").where("_toxicity < 0.5").drop("_toxicity")
+    own = ("doc_id", "text")
+    slim = _slim(docs, *own)
+    return _wide(toxicity.score(slim, toxicity.train(slim.select(*own), table(spark, sf_dir, "labels")), "_toxicity").where("_toxicity < 0.5"), docs, *own)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated passages and chunks of lines, n_chars anew; a document of which nothing is left goes."""
-    out = linededup.dedup_passages(docs).where("removed_lines = 0 or text <> ''").select(*docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else out
+    """Texts without their repeated passages and chunks of lines, n_chars anew; a document of which nothing is left goes.
+
+    Null and empty texts stay as they are; rows that repeat id and text count as one document; any further columns stay.
+    """
+    own = ("doc_id", "text")
+    out = _wide(linededup.dedup_passages(_slim(docs, *own)).where("removed_lines = 0 or text <> ''"), docs, *own)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +61,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences of 4096 tokens."""
+    """Pieces of all documents with their places in sequences of 4096 tokens. Null and empty texts have the end id alone; each row is a document; further columns go."""
     small_batches(spark)
     return packing.pack_documents(docs.select("doc_id", "text"), tokenizer_path())
 
