@@ -187,7 +187,7 @@ class PieceTable:
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = CACHE_PIECES):
         self.encode, self.most = encode, most
-        self.slots = 1 << int(np.ceil(np.log2(3 * most)))
+        self.slots = 1 << int(np.ceil(np.log2(2 * most)))
         self.seed = secrets.randbits(64)
         self.clear()
 

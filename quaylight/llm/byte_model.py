@@ -20,6 +20,8 @@ from quaylight.llm.common import chunks, discard, flat, save, save_bucketed
 ORDER = 5
 #: Text of a block, at least while a partition has more.
 BLOCK_BYTES = 64 << 20
+#: Text of a part of a block; a longer single text is a part alone.
+PART_BYTES = 256 << 10
 #: Perplexities of a text are drawn towards the trusted text's by so many bytes of it.
 PRIOR_BYTES = 40
 
@@ -46,7 +48,7 @@ def unpacked(part: pa.Buffer) -> pa.RecordBatch:
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """(block, ids, rows): rows of docs packed together in parts of about CHUNK_BYTES, with their ids."""
+    """(block, ids, rows): rows of docs packed together in parts of about PART_BYTES, with their ids."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -55,7 +57,7 @@ def blocks(docs: DataFrame) -> DataFrame:
         for batch in batches:
             _, offsets = flat(batch.column("text"))
             numbers, ids, rows = [], [], []
-            for a, b in chunks(offsets):
+            for a, b in chunks(offsets, PART_BYTES):
                 if size >= BLOCK_BYTES:
                     block, size = block + 1, 0
                 some = batch.slice(a, b - a)
@@ -98,10 +100,11 @@ def asked(made: DataFrame, trusted: DataFrame) -> DataFrame:
                 # a bit for trusted beside the n-gram, so that one sort counts both
                 key, n = np.unique(grams(raw, offsets) << 1 | np.repeat(own, np.diff(offsets)), return_counts=True)
                 held.append((key >> 1, np.where(key & 1, n, 0)))
-                if len(held) > 8:
+                if len(held) > 16:
                     held = [merged(held)]
         if held:
             yield give()
+        pa.default_memory_pool().release_unused()
 
     return made.select("block", "rows").join(good, "block", "left").select("block", "rows", "good").sortWithinPartitions("block").mapInArrow(run, "block long, g long, n long")
 
@@ -162,6 +165,7 @@ def rated(docs: DataFrame, trusted: DataFrame, other, keep: list[str] | None = N
                     value = np.where(n > 0, np.exp(-(total[offsets[1:]] - total[offsets[:-1]] + PRIOR_BYTES * mean) / (n + PRIOR_BYTES)), np.nan)
                 forms = other(raw, offsets)
                 out.append(pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), *(pa.array(x, pa.float64(), mask=np.isnan(x)) for x in (forms, value))], [*keep, other_name, name]))
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_batches(out)
 
     return save(made.select("block", "rows").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, kind), made, answers)
