@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quaylight.llm.common import LOWER_ASCII, SPACE, chunks, flat, runs_of, span_hashes
+from quaylight.llm.common import LOWER_ASCII, SPACE, WORKER_TABLES, chunks, flat, runs_of, span_hashes
 
 #: Pieces held by a worker; then it starts anew.
 CACHE_PIECES = 700_000
@@ -265,6 +265,9 @@ class PieceTable:
 _TABLES: dict[tuple[str, bool], PieceTable] = {}
 
 
+WORKER_TABLES += [_TABLES.clear, library_encoder.cache_clear, word_bpe.cache_clear]
+
+
 def table_of(path: str, library: bool) -> PieceTable:
     """This worker's table for a tokenizer file, filled by the tokenizers library or by the merge rounds here."""
     if (path, library) not in _TABLES:

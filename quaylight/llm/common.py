@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +77,16 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_RECORDS))
 
 
+#: What clears the tables that operators keep in a Python worker from task to task.
+WORKER_TABLES: list[Callable[[], object]] = []
+
+
+def free_tables() -> None:
+    """Called by tasks of operators without such tables: Spark reuses workers, which else hold those of the stage before."""
+    for clear in WORKER_TABLES:
+        clear()
+
+
 def numbers(column: pa.Array, dtype=np.int64) -> np.ndarray:
     return np.asarray(pc.fill_null(column, 0)).astype(dtype, copy=False)
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quaylight.llm import byte_model
-from quaylight.llm.common import LOWER_ASCII, SPACE, chunks, discard, flat, runs_of, save, span_hashes
+from quaylight.llm.common import LOWER_ASCII, SPACE, chunks, discard, flat, free_tables, runs_of, save, span_hashes
 
 SYMBOLS = 64
 #: The symbol before a text: a capital word with a sentence end, which no space precedes.
@@ -75,6 +75,7 @@ def encode(docs: DataFrame) -> DataFrame:
     """doc_id, lang, codes (binary: a byte for each word). A null text is empty."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_tables()
         for batch in batches:
             raw, offsets = flat(batch.column("text"))
             for a, b in chunks(offsets):

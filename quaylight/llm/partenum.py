@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaylight.llm.common import LOWER_ASCII, SPACE, chunks, connected_components, discard, flat, grouped, mix, runs_of, save, span_hashes
+from quaylight.llm.common import LOWER_ASCII, SPACE, chunks, connected_components, discard, flat, free_tables, grouped, mix, runs_of, save, span_hashes
 
 U = np.uint64
 PARTS = 3  # of a group; signatures leave out one
@@ -134,6 +134,7 @@ def set_table(docs: DataFrame, words: int, seed: int) -> DataFrame:
     """doc_id, key (a hash of the text), n_shingles, node and sketch for each row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_tables()
         for batch in batches:
             raw, offsets = flat(batch.column("text"))
             for a, b in chunks(offsets):

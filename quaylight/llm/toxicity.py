@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaylight.llm.common import LOWER_ASCII, chunks, flat, mix, runs_of, save, span_hashes
+from quaylight.llm.common import LOWER_ASCII, chunks, flat, free_tables, mix, runs_of, save, span_hashes
 
 #: Features fall into 2^BITS places, which bounds the weights that are broadcast (at most 12 bytes each).
 BITS = 20
@@ -153,6 +153,7 @@ def score(docs: DataFrame, weights: Weights, name: str = "score") -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_tables()
         for batch in batches:
             raw, offsets = flat(batch.column(names.index("text")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.scores(raw, offsets))], [*names, name])
