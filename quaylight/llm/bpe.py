@@ -187,7 +187,7 @@ class PieceTable:
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = CACHE_PIECES):
         self.encode, self.most = encode, most
-        self.slots = 1 << int(np.ceil(np.log2(2 * most)))
+        self.slots = 1 << int(np.ceil(np.log2(1.4 * most)))
         self.seed = secrets.randbits(64)
         self.clear()
 
@@ -251,8 +251,8 @@ class PieceTable:
                 continue
             at = lost[at]
             text = [whole[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist())]
-            for i in range(0, len(text), 50_000):
-                self.add(new[i : i + 50_000], g[at[i : i + 50_000]], self.encode(text[i : i + 50_000]))
+            for i in range(0, len(text), 10_000):
+                self.add(new[i : i + 10_000], g[at[i : i + 10_000]], self.encode(text[i : i + 10_000]))
             entry[lost] = self.find(h[lost], g[lost])
             lost = lost[entry[lost] < 0]
         size = self.start[entry + 1] - self.start[entry]
