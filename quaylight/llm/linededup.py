@@ -23,6 +23,8 @@ BASE = 1_000_003
 LEAST_LINES, LEAST_WORDS = 2, 50
 #: Occurrences of a repeated chunk that are compared in one task; a chunk with more is dealt to as many as it needs.
 SALT_ROWS = 5_000
+#: Bits of the map that spares texts a shuffle: 16 for each repeated chunk, and at most so many.
+MOST_MARKS = 1 << 24
 
 
 def line_chunks(text: Column, window: int = WINDOW, divisor: int = DIVISOR) -> Column:
@@ -59,6 +61,19 @@ def line_chunks(text: Column, window: int = WINDOW, divisor: int = DIVISOR) -> C
     return F.when(text.isNotNull(), F.get(made, F.lit(0)))
 
 
+def _may_have(rows: DataFrame, keys: DataFrame, count: int) -> DataFrame:
+    """The rows whose _key may be among those of `keys` (count rows): all that are, and few others while the map has bits to spare.
+
+    The map is a table of 64-bit words, at most MOST_MARKS / 64 rows, which bounds its broadcast. The join that follows
+    drops what it lets through by chance.
+    """
+    bits = min(MOST_MARKS, 1 << max(16, (16 * count).bit_length()))
+    word = F.shiftright(F.col("_key").bitwiseAND(F.lit(bits - 1)), 6)
+    bit = F.expr("shiftleft(1L, cast(_key & 63 as int))")
+    words = keys.select(word.alias("_w"), bit.alias("_m")).groupBy("_w").agg(F.bit_or("_m").alias("_m"))
+    return rows.withColumn("_v", word).join(F.broadcast(words), F.col("_v") == F.col("_w")).where(F.col("_m").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
 def repeated_chunks(docs: DataFrame, least_lines: int = LEAST_LINES, least_words: int = LEAST_WORDS) -> DataFrame:
     """(_id, _key, gone: array<int>): the first lines of chunks to remove, for rows that have any.
 
@@ -75,7 +90,8 @@ def repeated_chunks(docs: DataFrame, least_lines: int = LEAST_LINES, least_words
     found = save(copies.select("_id", "_key", "first", "_h", "_g", "leads", F.when(F.col("leads"), F.lit(0)).otherwise(F.pmod(F.xxhash64("_id", "_key", "first"), F.col("salts"))).cast("int").alias("salt"), "salts"), places, twice)
     # the texts of repeated chunks only: one visit to each document that has some
     wanted = found.groupBy("_id", "_key").agg(F.collect_set(F.struct("first", "_h", "_g", "leads", "salt", "salts")).alias("want"))
-    some = keyed.join(wanted, keyed["_id"].eqNullSafe(wanted["_id"]) & (keyed["_key"] == wanted["_key"])).select(keyed["_id"], keyed["_key"], "text", "want").dropDuplicates(["_id", "_key"])
+    asked = _may_have(keyed, found.select("_key"), found.count())
+    some = asked.join(wanted.withColumnsRenamed({"_id": "_i", "_key": "_k"}), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k"))).select("_id", "_key", "text", "want").dropDuplicates(["_id", "_key"])
     by = F.map_from_entries(F.transform(line_chunks(F.col("text")), lambda c: F.struct(c["first"], c["text"])))
     # within one expression, so that a text is cut once for all its repeated chunks
     with_text = F.get(F.transform(F.array(by), lambda m: F.transform("want", lambda w: F.named_struct(F.lit("w"), w, F.lit("chunk"), F.element_at(m, w["first"])))), F.lit(0))
