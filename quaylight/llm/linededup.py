@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from quaylight.llm.common import save
 
+# Joins of texts with what grows with the corpus are merge joins by hint: one plan at every size, and no broadcast without a bound.
+
 WINDOW = 2
 DIVISOR = 3
 BASE = 1_000_003
@@ -91,7 +93,7 @@ def repeated_chunks(docs: DataFrame, least_lines: int = LEAST_LINES, least_words
     # the texts of repeated chunks only: one visit to each document that has some
     wanted = found.groupBy("_id", "_key").agg(F.collect_set(F.struct("first", "_h", "_g", "leads", "salt", "salts")).alias("want"))
     asked = _may_have(keyed, found.select("_key"), found.count())
-    some = asked.join(wanted.withColumnsRenamed({"_id": "_i", "_key": "_k"}), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k"))).select("_id", "_key", "text", "want").dropDuplicates(["_id", "_key"])
+    some = asked.join(wanted.withColumnsRenamed({"_id": "_i", "_key": "_k"}).hint("merge"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k"))).select("_id", "_key", "text", "want").dropDuplicates(["_id", "_key"])
     by = F.map_from_entries(F.transform(line_chunks(F.col("text")), lambda c: F.struct(c["first"], c["text"])))
     # within one expression, so that a text is cut once for all its repeated chunks
     with_text = F.get(F.transform(F.array(by), lambda m: F.transform("want", lambda w: F.named_struct(F.lit("w"), w, F.lit("chunk"), F.element_at(m, w["first"])))), F.lit(0))
@@ -109,7 +111,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     gone = repeated_chunks(docs.select("doc_id", "text"))
     held = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_i"), F.xxhash64("text").alias("_k"))
-    joined = held.join(gone, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left")
+    joined = held.join(gone.hint("merge"), F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left")
     cut = joined.withColumn("_c", F.when(F.col("gone").isNotNull(), line_chunks(F.col("_row.text"))))
     kept = F.filter("_c", lambda c: ~F.array_contains("gone", c["first"]))
     lost = F.filter("_c", lambda c: F.array_contains("gone", c["first"]))
@@ -182,7 +184,7 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
     """
     gone = repeated_runs(docs.select("doc_id", "text"))
     held = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_i"), F.xxhash64("text").alias("_k"))
-    joined = held.join(gone, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left")
+    joined = held.join(gone.hint("merge"), F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left")
     lost = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["first"] + r["n"] - 1))))
     cut = joined.withColumn("_x", F.when(F.col("runs").isNotNull(), lost)).withColumn("_n", F.coalesce(F.length("_row.text") - F.length(F.replace("_row.text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)))
     # set operations on ints are hashed, so that long texts cost no more a line
