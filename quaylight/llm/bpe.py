@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quaylight.llm.common import LOWER_ASCII, SPACE, WORKER_TABLES, chunks, flat, runs_of, span_hashes
+from quaylight.llm.common import LOWER_ASCII, SPACE, WORKER_TABLES, chunks, flat, release_memory, runs_of, span_hashes
 
 #: Pieces held by a worker; then it starts anew.
 CACHE_PIECES = 700_000
@@ -272,6 +272,7 @@ def table_of(path: str, library: bool) -> PieceTable:
     """This worker's table for a tokenizer file, filled by the tokenizers library or by the merge rounds here."""
     if (path, library) not in _TABLES:
         _TABLES[path, library] = PieceTable(library_encoder(path) if library else word_bpe(path).encode_pieces)
+        release_memory()  # of reading the file
     return _TABLES[path, library]
 
 
@@ -281,6 +282,7 @@ def row_ids(column: pa.Array, path: str, library: bool) -> Iterator[tuple[int, n
     table = table_of(path, library)
     for a, b in chunks(offsets):
         yield a, *table.ids(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        release_memory()
 
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:

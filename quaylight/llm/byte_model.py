@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaylight.llm.common import chunks, discard, flat, save, save_bucketed
+from quaylight.llm.common import chunks, discard, flat, release_memory, save, save_bucketed
 
 ORDER = 5
 #: Text of a block, at least while a partition has more.
@@ -104,7 +104,7 @@ def asked(made: DataFrame, trusted: DataFrame) -> DataFrame:
                     held = [merged(held)]
         if held:
             yield give()
-        pa.default_memory_pool().release_unused()
+        release_memory()
 
     return made.select("block", "rows").join(good, "block", "left").select("block", "rows", "good").sortWithinPartitions("block").mapInArrow(run, "block long, g long, n long")
 
@@ -165,7 +165,7 @@ def rated(docs: DataFrame, trusted: DataFrame, other, keep: list[str] | None = N
                     value = np.where(n > 0, np.exp(-(total[offsets[1:]] - total[offsets[:-1]] + PRIOR_BYTES * mean) / (n + PRIOR_BYTES)), np.nan)
                 forms = other(raw, offsets)
                 out.append(pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), *(pa.array(x, pa.float64(), mask=np.isnan(x)) for x in (forms, value))], [*keep, other_name, name]))
-        pa.default_memory_pool().release_unused()
+        release_memory()
         return pa.Table.from_batches(out)
 
     return save(made.select("block", "rows").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, kind), made, answers)

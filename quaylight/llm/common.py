@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
 import uuid
@@ -85,6 +86,14 @@ def free_tables() -> None:
     """Called by tasks of operators without such tables: Spark reuses workers, which else hold those of the stage before."""
     for clear in WORKER_TABLES:
         clear()
+    release_memory()
+
+
+def release_memory() -> None:
+    """Gives back to the system what this worker has freed. Arrow's pool and the C heap keep it otherwise, beside the other worker's and the JVM's."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
 
 
 def numbers(column: pa.Array, dtype=np.int64) -> np.ndarray:

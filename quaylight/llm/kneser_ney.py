@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quaylight.llm import byte_model
-from quaylight.llm.common import LOWER_ASCII, SPACE, chunks, discard, flat, free_tables, runs_of, save, span_hashes
+from quaylight.llm.common import LOWER_ASCII, SPACE, chunks, discard, flat, free_tables, release_memory, runs_of, save, span_hashes
 
 SYMBOLS = 64
 #: The symbol before a text: a capital word with a sentence end, which no space precedes.
@@ -83,6 +83,7 @@ def encode(docs: DataFrame) -> DataFrame:
                 whole = code.tobytes()
                 made = pa.array([whole[i:j] for i, j in zip(at.tolist(), at[1:].tolist())], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("lang").slice(a, b - a), made], ["doc_id", "lang", "codes"])
+        release_memory()
 
     kind = T.StructType([docs.schema["doc_id"], docs.schema["lang"], T.StructField("codes", T.BinaryType())])
     return docs.select("doc_id", "text", "lang").select("doc_id", "lang", "text").mapInArrow(run, kind)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaylight.llm.common import LOWER_ASCII, chunks, flat, free_tables, mix, runs_of, save, span_hashes
+from quaylight.llm.common import LOWER_ASCII, chunks, flat, free_tables, mix, release_memory, runs_of, save, span_hashes
 
 #: Features fall into 2^BITS places, which bounds the weights that are broadcast (at most 12 bytes each).
 BITS = 20
@@ -139,6 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Weights
         if held:
             w = fitted(held, np.array(y, float))
             yield pa.RecordBatch.from_pydict({"place": pa.array([*w.places, -1], pa.int64()), "value": pa.array([*w.values, w.bias], pa.float64())})
+        del held
+        release_memory()
 
     ordered = rows.dropDuplicates(["doc_id", "places"]).repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "places")
     got = ordered.mapInArrow(learn, "place long, value double").toPandas()  # at most 2^BITS rows
@@ -157,5 +159,6 @@ def score(docs: DataFrame, weights: Weights, name: str = "score") -> DataFrame:
         for batch in batches:
             raw, offsets = flat(batch.column(names.index("text")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.scores(raw, offsets))], [*names, name])
+        release_memory()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
