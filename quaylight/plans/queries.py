@@ -181,24 +181,18 @@ def q_mask_tokens(spark, d):
     return hosts.planted_lines(spark, d).select("doc_id", T.mask_text("line").alias("masked"))
 
 
-@query(
-    PLANTED + """ SELECT doc_id, CASE WHEN line LIKE 'password%' THEN 'password = "<REDACTED>"' WHEN line LIKE 'aws_s%' THEN 'aws_secret_access_key="<REDACTED>"' WHEN line LIKE 'api_key%' THEN 'api_key = <REDACTED>'
-    WHEN line LIKE 'token =%' THEN 'token = <REDACTED>' ELSE line END AS masked FROM planted WHERE line NOT LIKE 'auth%' AND line NOT LIKE 'id %' AND line NOT LIKE 'g %' AND line NOT LIKE 'db:%'"""
-)
-def q_mask_lines(spark, d):
-    lines = hosts.planted_lines(spark, d).where("line not like 'auth%' and line not like 'id %' and line not like 'g %' and line not like 'db:%'")
-    return lines.select("doc_id", T.mask_line("line").alias("masked"))
-
-
 @query(
     PLANTED + """ SELECT doc_id, CASE WHEN line LIKE 'password%' THEN 'password = "<REDACTED>"' WHEN line LIKE 'aws_s%' THEN 'aws_secret_access_key="<REDACTED>"' WHEN line LIKE 'api_key%' THEN 'api_key = <REDACTED>'
     WHEN line LIKE 'token =%' THEN 'token = <REDACTED>' ELSE regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '(ghp_)[A-Za-z0-9]{32}([A-Za-z0-9]{4})', '\\1...\\2'), '(AKIA)[A-Z0-9]{12}([A-Z0-9]{4})', '\\1...\\2'),
     '(AIza)[A-Za-z0-9_-]{31}([A-Za-z0-9_-]{4})', '\\1...\\2'), '(db://user:)[^@]+@', '\\1***@') END AS masked FROM planted"""
 )
-def q_mask_lines_all(spark, d):
+def q_mask_lines(spark, d):
     return hosts.planted_lines(spark, d).select("doc_id", T.mask_line("line").alias("masked"))
 
 
+QUERIES["q_mask_lines_all"], SQL["q_mask_lines_all"] = q_mask_lines, SQL["q_mask_lines"]
+
+
 _VALUES = ["changeme", "Foobar", "hunter2", "<token>", "s3cr3t", "XXX"]
 
 
@@ -754,26 +748,18 @@ def q_report(spark, d):
     return doc.select("repo_id", F.size(F.from_json("document", "findings array<struct<rule_id:string>>")["findings"]).cast("long").alias("findings"))
 
 
-@query("SELECT event_id AS task_id, CASE WHEN event_id % 2 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' ELSE TIMESTAMP '2025-01-01 00:00:00' END AS created_at FROM events WHERE event_id < 500")
+@query("SELECT event_id AS task_id, CASE WHEN event_id % 2 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' ELSE TIMESTAMP '2025-01-01 00:00:00' END AS created_at FROM events")
 def q_upsert(spark, d):
     from quaylight.operators import tasks as t
 
-    e = hosts.read(spark, d, "events").where("event_id < 500").select(F.col("event_id").alias("task_id"))
+    e = hosts.read(spark, d, "events").select(F.col("event_id").alias("task_id"))
     stamp = lambda y: F.lit(f"{y}-01-01 00:00:00").cast("timestamp_ntz")
     old = e.where("task_id % 2 = 0").select("task_id", stamp(2024).alias("created_at"), stamp(2024).alias("updated_at"))
     new = e.select("task_id", F.lit(None).cast("timestamp_ntz").alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("updated_at"))
     return t.upsert(old, new, stamp(2025)).select("task_id", "created_at")
 
 
-@query("SELECT event_id AS task_id, CASE WHEN event_id % 2 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' ELSE TIMESTAMP '2025-01-01 00:00:00' END AS created_at FROM events")
-def q_upsert_all(spark, d):
-    from quaylight.operators import tasks as t
-
-    e = hosts.read(spark, d, "events").select(F.col("event_id").alias("task_id"))
-    stamp = lambda y: F.lit(f"{y}-01-01 00:00:00").cast("timestamp_ntz")
-    old = e.where("task_id % 2 = 0").select("task_id", stamp(2024).alias("created_at"), stamp(2024).alias("updated_at"))
-    new = e.select("task_id", F.lit(None).cast("timestamp_ntz").alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("updated_at"))
-    return t.upsert(old, new, stamp(2025)).select("task_id", "created_at")
+QUERIES["q_upsert_all"], SQL["q_upsert_all"] = q_upsert, SQL["q_upsert"]
 
 
 @query(
@@ -789,14 +775,15 @@ def q_plan_summary(spark, d):
 
 
 @query(
-    EVENTS + _GROUPS + """, nu2 AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY blocking DESC, priority, s, c, action_code, coalesce(kt, ''), coalesce(kr, ''), coalesce(ks, ''), coalesce(first_file, '')) AS n,
-      15 + length(action_code) FROM gr) SELECT repo_id, 'RG' || lpad(CAST(n AS VARCHAR), 3, '0') AS group_id, '- [' || action_code || '] (' || CAST(finding_count AS VARCHAR) || ' findings)' AS line FROM nu2 WHERE n <= 3"""
+    EVENTS + _GROUPS + """, nu2 AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY blocking DESC, priority, s, c, action_code, coalesce(kt, ''), coalesce(kr, ''), coalesce(ks, ''), coalesce(first_file, '')) AS n FROM gr),
+    li AS (SELECT repo_id, 'RG' || lpad(CAST(n AS VARCHAR), 3, '0') AS group_id, '- [' || action_code || '] (' || CAST(finding_count AS VARCHAR) || ' findings)' AS line, n FROM nu2),
+    room AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY repo_id ORDER BY n) AS used FROM li) SELECT repo_id, group_id, line FROM room WHERE used <= 65536"""
 )
 def q_prompt_lines(spark, d):
     from quaylight.operators import publish
 
     g = repair.ordered_groups(repair.groups(hosts.event_findings(spark, d))).withColumn("related_rule_ids", F.array().cast("array<string>"))
-    return publish.prompt_lines(g).where("group_id <= 'RG003'")
+    return publish.prompt_lines(g)
 
 
 @query(
