@@ -187,11 +187,12 @@ class PieceTable:
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = CACHE_PIECES):
         self.encode, self.most = encode, most
-        self.slots = 1 << int(np.ceil(np.log2(1.4 * most)))
         self.seed = secrets.randbits(64)
         self.clear()
 
-    def clear(self) -> None:
+    def clear(self, least: int = 0) -> None:
+        """An empty table; with room for `least` pieces where one text has more than the table's bound."""
+        self.slots = 1 << int(np.ceil(np.log2(1.4 * max(self.most, least))))
         self.keys = np.zeros(self.slots, np.uint64)
         self.values = np.zeros(self.slots, np.int32)
         self.held = np.zeros(self.slots, np.uint64)  # second hash
@@ -245,8 +246,8 @@ class PieceTable:
         lost = np.flatnonzero(entry < 0)
         while len(lost):  # once more only for different pieces with one first hash
             new, at = np.unique(h[lost], return_index=True)
-            if len(self.start) - 1 + len(new) > self.most and len(self.start) > 1:
-                self.clear()
+            if len(self.start) - 1 + len(new) > self.most and (len(self.start) > 1 or self.slots < 1.4 * len(new)):
+                self.clear(len(new))
                 lost = np.arange(len(h))
                 continue
             at = lost[at]
