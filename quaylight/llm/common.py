@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 #: Records in an Arrow batch, so that a batch of ordinary texts stays at a few MB.
 ARROW_RECORDS = 1000
+#: Bytes in an Arrow batch that goes to a worker, for rows that aren't ordinary; one longer row is a batch alone.
+ARROW_BYTES = 4 << 20
 U64 = np.uint64
 
 
@@ -76,6 +78,7 @@ def discard(*tables: DataFrame) -> None:
 
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_RECORDS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 #: What clears the tables that operators keep in a Python worker from task to task.
