@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaylight.llm import bpe, kneser_ney, linededup, mih, packing, partenum, pivot, tokenstore, toxicity, warc
+from quaylight.llm import bpe, divergence, kneser_ney, linededup, mih, packing, partenum, phrases, pivot, rules, tokenstore, toxicity, warc
 from quaylight.llm.common import small_batches
 
 #: The tokenizer file; QUAYLIGHT_TOKENIZER names another.
@@ -76,7 +76,19 @@ def op10_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return tokenstore.store_round_trip(spark, table(spark, folder, "documents").select("doc_id", "text"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_bpe, op3_packing, op4_passages, op4_line_dedup, op5_toxicity, op6_mih, op7_pivot, op8_quality, op9_partenum, op10_tokens)}
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+def op12_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergences(table(spark, folder, "documents"))
+
+
+def op13_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.judge(table(spark, folder, "documents").select("doc_id", "text")).drop("failed_rule")
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_bpe, op3_packing, op4_passages, op4_line_dedup, op5_toxicity, op6_mih, op7_pivot, op8_quality, op9_partenum, op10_tokens, op11_phrases, op12_divergence, op13_rules)}
 
 ORACLE_SQL = {
     "op1_warc": """
@@ -133,4 +145,87 @@ ORACLE_SQL = {
         ), least AS (SELECT x, min(y) AS m FROM reach GROUP BY x)
         SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(l.m, s.doc_id)) AS component_id
         FROM sets s LEFT JOIN least l ON l.x = s.doc_id""",
+    "op11_phrases": r"""
+        WITH pieces AS (
+          SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+          FROM documents
+        ), words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+        ), totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang
+        ), runs AS (
+          SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i+m-1], ' '))) AS phrase
+          FROM words, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m
+        ), counts AS (SELECT lang, m, phrase, count(*) AS f FROM runs GROUP BY lang, m, phrase HAVING count(*) >= 30
+        ), cuts AS (
+          SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM counts WHERE m >= 2
+        ), scored AS (
+          SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * c.a // (x.f + y.f) AS BIGINT) AS score
+          FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ')
+          JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k+1:c.m], ' ')
+        ), weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        ), inside AS (
+          SELECT lang, f, unnest(list_transform(range(1, m - s + 2), lambda i: array_to_string(string_split(phrase, ' ')[i:i+s-1], ' '))) AS phrase
+          FROM counts, (SELECT unnest([2, 3]) AS s) WHERE m > s
+        ), longer AS (SELECT lang, phrase, max(f) AS f FROM inside GROUP BY lang, phrase
+        ), ranked AS (
+          SELECT w.*, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, w.phrase) AS rank
+          FROM weakest w LEFT JOIN longer g ON g.lang = w.lang AND g.phrase = w.phrase WHERE g.f IS NULL OR 100 * g.f < 80 * a
+        )
+        SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
+    "op12_divergence": r"""
+        WITH docs AS (
+          SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+          FROM documents
+        ), occ AS (SELECT d, lang, source, unnest(w) AS term FROM docs
+        ), kept AS (SELECT lang, term FROM occ GROUP BY lang, term HAVING count(DISTINCT d) >= 10
+        ), v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang
+        ), counts AS (SELECT lang, source, term, count(*) AS c FROM occ JOIN kept USING (lang, term) GROUP BY lang, source, term
+        ), groups AS (
+          SELECT g.lang, g.source, coalesce(s.n, 0)::HUGEINT AS n
+          FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN (SELECT lang, source, sum(c) AS n FROM counts GROUP BY lang, source) s USING (lang, source)
+        ), shares AS (
+          SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 2)) // (g.n + 2 * v.v) AS p
+          FROM groups g JOIN v USING (lang) JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+        ), whole AS (SELECT lang, term, sum(c) AS c FROM counts GROUP BY lang, term
+        ), overall AS (
+          SELECT w.lang, w.term, 1 + (1000000000::HUGEINT * (w.c + 2)) // (t.n + 2 * v.v) AS q
+          FROM whole w JOIN v USING (lang) JOIN (SELECT lang, sum(c)::HUGEINT AS n FROM whole GROUP BY lang) t USING (lang)
+        ), pairs AS (
+          SELECT a.lang, a.source, b.source AS item, coalesce(x.value, 0) AS value
+          FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+            FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+          ) x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+        ), terms AS (
+          SELECT s.lang, s.source, s.term AS item, (p - q) * (p - q) // (p + q) AS value FROM shares s JOIN overall o ON o.lang = s.lang AND o.term = s.term WHERE s.c > 0 AND p > q
+        ), ranked AS (
+          SELECT *, row_number() OVER (PARTITION BY part, lang, source ORDER BY value DESC, item) AS rank
+          FROM (SELECT 'pair' AS part, * FROM pairs UNION ALL SELECT 'term', * FROM terms)
+        )
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10""",
+    "op13_rules": r"""
+        WITH docs AS (
+          SELECT row_number() OVER () AS d, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), lines AS (
+          SELECT d, unnest(string_split(text, chr(10))) AS line FROM docs
+        ), line_counts AS (
+          SELECT d, count(*) AS lines, count(*) - count(DISTINCT line) AS dup, count(*) FILTER (WHERE line LIKE '%...') AS broken
+          FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY d
+        ), windows AS (
+          SELECT d, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) AS x FROM docs WHERE len(w) >= 3
+        ), often AS (SELECT d, i FROM windows QUALIFY count(*) OVER (PARTITION BY d, x) > 1
+        ), repeats AS (SELECT d, count(*) AS n FROM (SELECT DISTINCT d, i + k AS at FROM often, (SELECT unnest([0, 1, 2]) AS k)) GROUP BY d
+        ), most AS (SELECT d, max(n) AS n FROM (SELECT d, x, count(*) AS n FROM (SELECT d, unnest(w) AS x FROM docs) GROUP BY d, x) GROUP BY d
+        ), figures AS (
+          SELECT doc_id, text, w, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+                 coalesce(dup, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(lines, 0) AS lines, coalesce(broken, 0) AS broken, coalesce(m.n, 0) AS most,
+                 len(list_filter(w, lambda x: regexp_matches(x, '[^\x00-\x40\x5B-\x60\x7B-\x7F]'))) AS lettered,
+                 len(regexp_extract_all(text, '[A-Z]')) AS upper, len(regexp_extract_all(text, '[a-z]')) AS lower, len(regexp_extract_all(text, '!')) AS calls
+          FROM docs LEFT JOIN line_counts USING (d) LEFT JOIN repeats r USING (d) LEFT JOIN most m USING (d)
+        ), judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM figures)
+        SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+               CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+               NOT (base_failed OR 100 * n_symbols > 15 * n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 100 * n_dup_lines > 50 * lines OR 100 * lettered < 70 * n_words
+                    OR upper > lower OR 100 * calls > 30 * n_words OR 100 * broken > 40 * lines OR 100 * most > 30 * n_words) AS kept
+        FROM judged""",
 }
