@@ -16,7 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaylight.llm.common import LOWER_ASCII, chunks, flat, free_tables, release_memory, runs_of, save
+from quaylight.llm.common import LOWER_ASCII, U64, chunks, flat, free_tables, mix, release_memory, runs_of, save, span_hashes
+from quaylight.llm.sketch import CHUNK, Sketch, text_numbers
 
 #: Documents of a language that a term needs to be kept.
 LEAST_DOCS = 10
@@ -34,33 +35,60 @@ _IN_TERM = np.zeros(256, bool)
 _IN_TERM[65:91] = _IN_TERM[97:123] = _IN_TERM[128:] = True
 
 
-def _term_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, term, n, docs): occurrences, and the documents that have one, of some texts."""
+class _Terms:
+    """The terms of some texts: their rows, and a number for each that is the same for equal terms only."""
+
+    def __init__(self, texts: pa.Array):
+        raw, offsets = flat(texts)
+        raw = LOWER_ASCII[raw]
+        starts, ends, first = runs_of(_IN_TERM[raw], offsets)
+        first[-1] = len(starts)
+        self.row = np.repeat(np.arange(len(texts)), np.diff(first))
+        size = ends - starts
+        places = np.concatenate(([0], np.cumsum(size)))
+        data = raw[np.repeat(starts - places[:-1], size) + np.arange(places[-1])]
+        held = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(places.astype("<i8").tobytes()), pa.py_buffer(data.tobytes())]).dictionary_encode()
+        self.different, self.ids = held.dictionary, np.asarray(held.indices).astype(np.int64)
+
+    def once(self) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and terms, each pair once."""
+        many = max(1, len(self.different))
+        pairs = np.unique(self.row * many + self.ids)
+        return pairs // many, pairs % many
+
+    def cells(self, langs: np.ndarray, row: np.ndarray, term: np.ndarray, bits: int) -> np.ndarray:
+        raw, offsets = flat(self.different)
+        return mix(span_hashes(raw, offsets[:-1], offsets[1:])[0][term] ^ langs[row]) >> U64(64 - bits)
+
+
+def _document_cells(rows: pa.RecordBatch, bits: int) -> np.ndarray:
+    """The terms of each document, once."""
+    terms = _Terms(rows.column("text"))
+    return terms.cells(text_numbers(rows.column("lang")), *terms.once(), bits)
+
+
+def _counted(rows: pa.RecordBatch, sketch: Sketch) -> pa.RecordBatch:
+    """(lang, source, term, n, docs): occurrences, and the documents that have one, of terms that the sketch lets pass."""
+    terms = _Terms(rows.column("text"))
+    langs, sources = (rows.column(k).dictionary_encode() for k in ("lang", "source"))
+    group = np.asarray(langs.indices).astype(np.int64) * len(sources.dictionary) + np.asarray(sources.indices)
+    many = max(1, len(terms.different))
+    row, term = terms.once()
+    good = sketch.passes(terms.cells(text_numbers(rows.column("lang")), row, term, sketch.bits))
+    keys, docs = np.unique(group[row[good]] * many + term[good], return_counts=True)
+    every, n = np.unique(group[terms.row] * many + terms.ids, return_counts=True)
+    n = n[np.searchsorted(every, keys)]
+    shown = terms.different.take(pa.array(keys % many)).cast(pa.binary()).cast(options=pc.CastOptions(target_type=pa.string(), allow_invalid_utf8=True))
+    of = [langs.dictionary.take(pa.array(keys // many // len(sources.dictionary))), sources.dictionary.take(pa.array(keys // many % len(sources.dictionary)))]
+    return pa.record_batch([*of, shown, pa.array(n), pa.array(docs)], ["lang", "source", "term", "n", "docs"])
+
+
+def _term_rows(batches: Iterable[pa.RecordBatch], sketch: Sketch) -> Iterator[pa.RecordBatch]:
     free_tables()
     for batch in batches:
-        raw, offsets = flat(batch.column("text"))
-        langs, sources = (batch.column(k).dictionary_encode() for k in ("lang", "source"))
-        group = np.asarray(langs.indices).astype(np.int64) * len(sources.dictionary) + np.asarray(sources.indices)
-        for a, b in chunks(offsets):
-            text = LOWER_ASCII[raw[offsets[a] : offsets[b]]]
-            starts, ends, first = runs_of(_IN_TERM[text], offsets[a : b + 1] - offsets[a])
-            first[-1] = len(starts)
-            if not len(starts):
-                continue
-            row = np.repeat(np.arange(b - a), np.diff(first))
-            size = ends - starts
-            places = np.concatenate(([0], np.cumsum(size)))
-            data = text[np.repeat(starts - places[:-1], size) + np.arange(places[-1])]
-            terms = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(places.astype("<i8").tobytes()), pa.py_buffer(data.tobytes())]).dictionary_encode()
-            ids, many = np.asarray(terms.indices).astype(np.int64), len(terms.dictionary)
-            keys, n = np.unique(group[a + row] * many + ids, return_counts=True)
-            once = np.unique(row * many + ids)  # a term counts once a document
-            docs = np.bincount(np.searchsorted(keys, group[a + once // many] * many + once % many), minlength=len(keys))
-            groups = keys // many
-            shown = terms.dictionary.take(pa.array(keys % many)).cast(pa.binary()).cast(options=pc.CastOptions(target_type=pa.string(), allow_invalid_utf8=True))
-            of = [langs.dictionary.take(pa.array(groups // len(sources.dictionary))), sources.dictionary.take(pa.array(groups % len(sources.dictionary)))]
-            yield pa.record_batch([*of, shown, pa.array(n), pa.array(docs)], ["lang", "source", "term", "n", "docs"])
-        release_memory()
+        for a, b in chunks(flat(batch.column("text"))[1], CHUNK):
+            yield _counted(batch.slice(a, b - a), sketch)
+            release_memory()
 
 
 def _share(n: str, total: str, terms: str) -> str:
@@ -159,7 +187,8 @@ def divergences(docs: DataFrame, least_docs: int = LEAST_DOCS, first: int = FIRS
     `pair`, which are all 0 if the language keeps no term; an empty table gives no rows. Further columns are ignored.
     """
     docs = docs.select(*[F.coalesce(k, F.lit("")).alias(k) for k in ("text", "lang", "source")])
-    counts = docs.mapInArrow(_term_rows, "lang string, source string, term string, n bigint, docs bigint").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    sketch = Sketch(docs.select("text", "lang"), _document_cells, least_docs)  # of documents with a term: spares the shuffle the rare ones
+    counts = docs.mapInArrow(lambda bs: _term_rows(bs, sketch), "lang string, source string, term string, n bigint, docs bigint").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     vectors = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.array_sort(F.collect_list(F.struct("source", "n"))).alias("vector"))
     kept = save(vectors.where(F.col("docs") >= least_docs).drop("docs"))
     classes = save(kept.groupBy("lang", "vector").agg(F.count("*").alias("m")).withColumn("id", F.monotonically_increasing_id()))

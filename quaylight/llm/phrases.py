@@ -1,11 +1,9 @@
 """Phrases of two to four words that stand together more often than their parts would.
 
-Two passes over the texts. The first fills a count-min sketch of one row over all runs of one to four words: each batch
-gives the counts of its cells, pages of the sketch meet by their number and are added up, and what is left of a page is
-a bit for each cell of `least` or more. As a cell counts all runs that fall on it, no run of `least` occurrences is missed. The
-second pass takes, from a block of whole pieces, the different runs whose words, pairs and own cell all pass: its candidates. They are
-compiled, between delimiters, into an automaton, which counts their overlapping matches in that same block. So an
-automaton is no larger than its block allows, whatever the number of candidates of the corpus. Counts are summed over
+Two passes over the texts. The first fills a count-min sketch over all runs of one to four words (sketch.py). The
+second takes, from a block of whole pieces, the different runs whose words, pairs and own cell all pass: its candidates.
+They are compiled, between delimiters, into an automaton, which counts their overlapping matches in that same block. So
+an automaton is no larger than its block allows, whatever the number of candidates of the corpus. Counts are summed over
 blocks; a run of `least` occurrences was a candidate wherever it stands, so its sum is exact, and the rest is dropped.
 """
 
@@ -21,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaylight.llm.common import LOWER_ASCII, U64, chunks, flat, free_tables, mix, release_memory, runs_of, save, span_hashes
+from quaylight.llm.sketch import Sketch, text_numbers
 
 #: Words of a phrase, at most.
 LONGEST = 4
@@ -28,12 +27,6 @@ LONGEST = 4
 LEAST = 30
 #: Rows of the result, a language.
 FIRST = 2000
-#: Characters of text for each cell of the sketch; so its load stays the same at every size.
-CHARS_A_CELL = 4
-#: Bits of the map of cells that pass, at most: beyond as many cells, several share a bit, which lets more candidates through.
-MOST_BITS = 1 << 27
-#: Pages of the sketch are of so many cells, or there are as many pages as this divides the cells by.
-PAGE_CELLS, LEAST_PAGES = 1 << 22, 256
 #: Bytes of text whose candidates share an automaton; one longer piece is a block alone.
 BLOCK_BYTES = 2 << 20
 
@@ -67,62 +60,8 @@ class _Words:
             yield k, at, mix(h[at] ^ langs[self.rows[at]]) >> U64(64 - bits)
 
 
-def _language_numbers(langs: pa.Array) -> np.ndarray:
-    raw, offsets = flat(langs)
-    return span_hashes(raw, offsets[:-1], offsets[1:], 1)[0]
-
-
-def _sketch_rows(batches: Iterable[pa.RecordBatch], bits: int, pages: int) -> Iterator[pa.RecordBatch]:
-    """(page, cells): the cells of a chunk of texts that aren't 0, 24 bits of place in the page and 8 of count, which stops at 255."""
-    free_tables()
-    for batch in batches:
-        numbers = _language_numbers(batch.column("lang"))
-        for a, b in chunks(flat(batch.column("text"))[1], 2 * BLOCK_BYTES):
-            words = _Words(batch.column("text").slice(a, b - a))
-            cells, counts = np.unique(np.concatenate([c for _, _, c in words.cells(numbers[a:b], bits)]), return_counts=True)
-            page = cells & U64(pages - 1)
-            order = np.argsort(page, kind="stable")
-            entries = ((cells // U64(pages)) | (np.minimum(counts, 255).astype(U64) << U64(24))).astype("<u4")[order]
-            where = np.concatenate(([0], np.cumsum(np.bincount(page.astype(np.int64), minlength=pages))))
-            full = np.flatnonzero(np.diff(where))
-            yield pa.record_batch([pa.array(full, pa.int64()), pa.array([entries[where[p] : where[p + 1]].tobytes() for p in full], pa.binary())], ["page", "cells"])
-        release_memory()
-
-
-def _page_marks(key: tuple, rows: pa.Table, size: int, bits: int, least: int) -> pa.Table:
-    """A page's cells added up: (page, marks), a bit for each of its cells, folded to `bits` of them."""
-    counts = np.zeros(size, np.uint8)
-    for cells in rows.column("cells"):
-        x = np.frombuffer(cells.as_buffer(), "<u4")
-        at, n = x & 0xFFFFFF, x >> 24
-        counts[at] = np.minimum(counts[at] + n, 255)  # a row has a cell once
-    marks = np.packbits((counts >= least).reshape(-1, bits).any(0), bitorder="little").tobytes()
-    return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([marks], pa.binary())], ["page", "marks"])
-
-
-class Sketch:
-    """The cells that pass. A page holds the cells with equal lowest bits, so its marks are those of a range of the map."""
-
-    def __init__(self, docs: DataFrame, least: int = LEAST):
-        chars = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        self.bits = max(16, (chars // CHARS_A_CELL).bit_length())
-        self.pages = max(LEAST_PAGES, (1 << self.bits) // PAGE_CELLS)
-        size = (1 << self.bits) // self.pages
-        kept = min(size, max(8, MOST_BITS // self.pages))
-        if least > 255:
-            raise ValueError("cells count to 255")
-        bits, pages = self.bits, self.pages
-        rows = docs.select("text", "lang").mapInArrow(lambda bs: _sketch_rows(bs, bits, pages), "page bigint, cells binary")
-        pages_done = rows.groupBy("page").applyInArrow(lambda key, held: _page_marks(key, held, size, kept, least), "page bigint, marks binary")
-        marks = np.zeros((self.pages, kept // 8), np.uint8)
-        for page, held in pages_done.collect():  # MOST_BITS at most
-            marks[page] = np.frombuffer(held, np.uint8)
-        self.marks = docs.sparkSession.sparkContext.broadcast(marks)
-
-    def passes(self, cells: np.ndarray) -> np.ndarray:
-        marks = self.marks.value
-        page, place = cells & U64(self.pages - 1), (cells // U64(self.pages)) % U64(8 * marks.shape[1])
-        return (marks[page, place >> U64(3)] >> (place & U64(7)).astype(np.uint8)) & 1 == 1
+def _run_cells(rows: pa.RecordBatch, bits: int) -> np.ndarray:
+    return np.concatenate([c for _, _, c in _Words(rows.column("text")).cells(text_numbers(rows.column("lang")), bits)])
 
 
 def _blocks(words: _Words, langs: np.ndarray) -> Iterator[np.ndarray]:
@@ -205,7 +144,7 @@ def _counts(batches: Iterable[pa.RecordBatch], sketch: Sketch) -> Iterator[pa.Re
         return pa.record_batch([pa.array([lang] * len(phrases), pa.string()), pa.array(lengths, pa.int32()), texts, pa.array(counts, pa.int64())], ["lang", "words", "phrase", "f"])
 
     for batch in batches:
-        numbers, codes = _language_numbers(batch.column("lang")), batch.column("lang").dictionary_encode()
+        numbers, codes = text_numbers(batch.column("lang")), batch.column("lang").dictionary_encode()
         for a, b in chunks(flat(batch.column("text"))[1], 2 * BLOCK_BYTES):
             words = _Words(batch.column("text").slice(a, b - a))
             passing = {}
@@ -226,7 +165,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     count each; very long texts are cut into blocks at the ends of pieces only, and counted whole.
     """
     docs = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
-    sketch = Sketch(docs, least)
+    sketch = Sketch(docs.select("text", "lang"), _run_cells, least)
     counted = docs.mapInArrow(lambda bs: _counts(bs, sketch), "lang string, words int, phrase string, f bigint")
     return counted.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where((F.col("words") == 0) | (F.col("f") >= least))
 
