@@ -51,16 +51,29 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def has_any(lowered: Column, words: list[str]) -> Column:
+    """Whether a text holds any of some words as they are: a search of bytes, far cheaper than a pattern, to put before one."""
+    out = lowered.contains(words[0])
+    for w in words[1:]:
+        out = out | lowered.contains(w)
+    return out
+
+
 def _all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
 def matches(line: Column | str, pattern: str) -> Column:
     """array<struct<start, end, text>>: all matches without overlap, in 0-based code points. The pattern has no groups."""
-    tokens = _all(_col(line), f"(?s)(.*?)({pattern})", 2)
-    spans = _all(_col(line), f"(?s)(.*?)({pattern})", 0)
-    ends = lambda i: F.aggregate(F.slice(spans, 1, i + 1), F.lit(0).cast("long"), lambda n, s: n + F.length(s))
-    return F.transform(tokens, lambda t, i: F.named_struct(F.lit("start"), ends(i) - F.length(t), F.lit("end"), ends(i), F.lit("text"), t))
+    both = F.arrays_zip(_all(_col(line), f"(?s)(.*?)({pattern})", 2).alias("t"), _all(_col(line), f"(?s)(.*?)({pattern})", 0).alias("s"))
+    nothing = F.named_struct(F.lit("end"), F.lit(0).cast("long"), F.lit("out"), F.array().cast("array<struct<start:bigint,end:bigint,text:string>>"))
+
+    def step(done: Column, x: Column) -> Column:
+        end = done["end"] + F.length(x["s"])
+        hit = F.named_struct(F.lit("start"), end - F.length(x["t"]), F.lit("end"), end, F.lit("text"), x["t"])
+        return F.named_struct(F.lit("end"), end, F.lit("out"), F.concat(done["out"], F.array(hit)))
+
+    return F.aggregate(both, nothing, step, lambda done: done["out"])
 
 
 def matches_of_connection(line: Column | str) -> Column:
@@ -218,7 +231,7 @@ def may_assign(line: Column | str) -> Column:
     """False only for lines without any sensitive key or without a sign that assigns (a colon does after a quote): a cheap test before assignments()."""
     line = _col(line)
     signs = line.contains("=") | line.contains(":") & line.rlike("[\"']")
-    return signs & F.replace(line, F.lit("\\"), F.lit("")).rlike("(?i)passw|pwd|secret|token|key")
+    return signs & has_any(F.lower(F.replace(line, F.lit("\\"), F.lit(""))), ["passw", "pwd", "secret", "token", "key"])
 
 
 def mask_line(line: Column | str) -> Column:

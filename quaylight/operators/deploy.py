@@ -12,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaylight.functions.text import has_any
 from quaylight.operators.lexer import EXCLUDED_FOLDERS
-from quaylight.operators.secrets import finding
+from quaylight.operators.secrets import findings_of
 from quaylight.sources.files import ENV_EXAMPLES, base_name, explode_lines, in_folders, suffix
 
 # Names of files and patterns of texts.
@@ -209,59 +210,100 @@ def unlocked(facts: DataFrame, wrappers: DataFrame) -> DataFrame:
     return bare.union(eco.where(F.col("wanted") & ~locked).select("repo_id", "file_path"))
 
 
-def scan(files: DataFrame, lexed: DataFrame) -> DataFrame:
-    """All D findings of the repositories in files (repo_id, file_path, content as text); lexed has their source lines."""
-    repos = files.select("repo_id").distinct()
+def is_named(path: str = "file_path") -> Column:
+    """Files whose text says something by their name: READMEs, manifests, container files, examples of settings."""
+    name = F.lower(base_name(path))
+    return name.isin("procfile", *READMES, *ENV_EXAMPLES) | is_dockerfile(name) | name.rlike(COMPOSE_NAME) | name.rlike(MANIFEST_NAME) | in_template(path)
+
+
+def in_template(path: str = "file_path") -> Column:
+    return F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, TEMPLATE_FOLDERS)))
+
+
+def _main() -> Column:
+    bare, ext = F.col("bare"), suffix()
+    return ((ext == ".go") & bare.rlike(r"\bfunc\s+main\s*\(")) | ((ext == ".java") & bare.rlike(r"\bstatic\s+void\s+main\s*\(")) | (ext.isin(".kt", ".kts") & bare.rlike(r"\bfun\s+main\s*\("))
+
+
+# Words without one of which a line of source shows nothing, in lower case.
+WORDS = ["env", "$_", "main"]
+
+
+def may_have(lowered: Column) -> Column:
+    """False only for sources, in lower case, that show nothing to the rules."""
+    return has_any(lowered, WORDS)
+
+
+def relevant() -> Column:
+    """Lexed lines that the rules need."""
+    return may_have(F.lower("bare")) & (F.col("bare").rlike(ENV_USAGE) | _main())
+
+
+#: What is known of a repository: whether something is there, and the first path of some kinds. Merged by or and by least.
+FLAGS = "doc command needs env_doc start main script docker docker_start compose_start compose_root compose_other rust_main mvn_script mvn_config gradle_script gradle_config".split()
+FIRST_PATHS = ["readme", "env_path", "compose_path"]
+
+
+def state(files: DataFrame, lexed: DataFrame, facts: DataFrame, docker: DataFrame) -> DataFrame:
+    """A row for each repository of files: FLAGS and FIRST_PATHS, from one fold over partial rows of files, lines, manifests and container files."""
     own = files.where(~in_folders("file_path", EXCLUDED_FOLDERS, lower=True))
-    name, low, text = F.lower(base_name()), F.lower("file_path"), F.col("content").cast("string")
+    name, low, text, path = F.lower(base_name()), F.lower("file_path"), F.col("content").cast("string"), F.col("file_path")
     readme = name.isin(READMES)
-    in_template = F.arrays_overlap(F.split("file_path", "/"), F.array(*map(F.lit, TEMPLATE_FOLDERS)))
-    env_doc = (readme & text.rlike(ENV_DOC)) | (name.isin(ENV_EXAMPLES) & text.rlike(r"(?m)^\s*[A-Za-z_][A-Za-z0-9_]*\s*=")) | (in_template & text.rlike(r"\S"))
+    env_doc = (readme & text.rlike(ENV_DOC)) | (name.isin(ENV_EXAMPLES) & text.rlike(r"(?m)^\s*[A-Za-z_][A-Za-z0-9_]*\s*=")) | (in_template() & text.rlike(r"\S"))
     starts = (
         (readme & text.rlike(SERVER)) | ((name == "procfile") & text.rlike(r"(?im)^\s*web\s*:\s*\S")) | low.rlike(r"(^|/)src/main\.rs$") | (name == "config.ru") | low.rlike(r"/bin/rails$")
         | (name == "artisan") | low.rlike(r"(^|/)public/index\.php$") | low.rlike(r"(^|/)bin/console$") | (name == "program.cs")
     )
-    shown = own.groupBy("repo_id").agg(
-        F.min(F.when(readme, F.col("file_path"))).alias("readme"), F.bool_or(readme & text.rlike(DEPLOY_DOC)).alias("doc"), F.bool_or(readme & text.rlike(DEPLOY_COMMAND)).alias("command"),
-        F.bool_or(readme & text.rlike(PREREQUISITES)).alias("needs"), F.bool_or(env_doc).alias("env_doc"), F.bool_or(starts).alias("start"),
-        F.bool_or(low.rlike(r"(^|/)src/main\.rs$")).alias("rust_main"), F.bool_or(name.isin("mvnw", "mvnw.cmd")).alias("mvn_script"), F.bool_or(low.rlike(r"(^|/)\.mvn/wrapper/maven-wrapper\.properties$")).alias("mvn_config"),
-        F.bool_or(name.isin("gradlew", "gradlew.bat")).alias("gradle_script"), F.bool_or(low.rlike(r"(^|/)gradle/wrapper/gradle-wrapper\.properties$")).alias("gradle_config"),
+    shown = own.select(
+        "repo_id", F.when(readme, path).alias("readme"), (readme & text.rlike(DEPLOY_DOC)).alias("doc"), (readme & text.rlike(DEPLOY_COMMAND)).alias("command"),
+        (readme & text.rlike(PREREQUISITES)).alias("needs"), env_doc.alias("env_doc"), starts.alias("start"),
+        low.rlike(r"(^|/)src/main\.rs$").alias("rust_main"), name.isin("mvnw", "mvnw.cmd").alias("mvn_script"), low.rlike(r"(^|/)\.mvn/wrapper/maven-wrapper\.properties$").alias("mvn_config"),
+        name.isin("gradlew", "gradlew.bat").alias("gradle_script"), low.rlike(r"(^|/)gradle/wrapper/gradle-wrapper\.properties$").alias("gradle_config"),
     )
-    main = ((suffix() == ".go") & F.col("bare").rlike(r"\bfunc\s+main\s*\(")) | ((suffix() == ".java") & F.col("bare").rlike(r"\bstatic\s+void\s+main\s*\(")) | (suffix().isin(".kt", ".kts") & F.col("bare").rlike(r"\bfun\s+main\s*\("))
-    code = lexed.groupBy("repo_id").agg(F.min(F.when(F.col("bare").rlike(ENV_USAGE), F.col("file_path"))).alias("env_path"), F.bool_or(main).alias("main"))
+    code = lexed.select("repo_id", F.when(F.col("bare").rlike(ENV_USAGE), path).alias("env_path"), _main().alias("main"))
+    parts = [files.select("repo_id").distinct(), shown, code, docker.select("repo_id", F.lit(True).alias("docker"), F.col("has_start").alias("docker_start")), facts.select("repo_id", F.col("start").alias("script")), compose(own)]
+    rows = parts[0]
+    for x in parts[1:]:
+        rows = rows.unionByName(x, allowMissingColumns=True)
+    return rows.groupBy("repo_id").agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in FLAGS], *[F.min(c).alias(c) for c in FIRST_PATHS])
+
+
+def scan(files: DataFrame, lexed: DataFrame) -> DataFrame:
+    """All D findings of the repositories in files (repo_id, file_path, content as text); lexed has the relevant() lines at least.
+
+    Only is_named() files need their content.
+    """
+    own = files.where(~in_folders("file_path", EXCLUDED_FOLDERS, lower=True))
     facts, docker = manifests(own), dockerfiles(own)
-    d = docker.groupBy("repo_id").agg(F.bool_or("has_start").alias("docker_start"), F.lit(True).alias("docker"))
-    m = facts.groupBy("repo_id").agg(F.bool_or("start").alias("script"))
-    r = repos
-    for t in (shown, code, d, m, compose(own)):
-        r = r.join(t, "repo_id", "left")
-    r = r.fillna(False, ["doc", "command", "needs", "env_doc", "start", "main", "docker_start", "docker", "script", "compose_start", "compose_root", "compose_other"])
-    documented = F.col("readme").isNotNull() & F.col("doc") & F.col("command") & F.col("needs")
-    has_compose = F.col("compose_path").isNotNull()
-    none = F.lit(None).cast("long")
-
-    def at(rows: DataFrame, path: Column, rule: str) -> DataFrame:
-        return finding(rows.select("repo_id", path.alias("file_path"), none.alias("line_no"), none.alias("start"), none.alias("end"), F.lit(SNIPPET).alias("line")), rule)
-
-    each = docker.join(r.select("repo_id", "compose_start", "compose_root", "compose_other"), "repo_id")
-    user_bad = is_root(F.col("user")) | F.col("compose_root") | ~(is_other_user(F.col("user")) | F.col("compose_other"))
-    only = r.where(has_compose & ~F.col("docker"))
-    path = F.col("file_path")
-    found = [
-        at(r.where(~(F.col("start") | F.col("main") | F.col("script") | F.col("docker_start") | F.col("compose_start") | documented)), F.lit(ROOT), "D001"),
-        at(r.where(F.col("env_path").isNotNull() & ~F.col("env_doc")), F.col("env_path"), "D002"),
-        at(unlocked(facts, shown), path, "D003"),
-        at(r.where(~documented), F.coalesce("readme", F.lit(ROOT)), "D004"),
-        at(r.where(~F.col("docker") & ~has_compose), F.lit(ROOT), "D005"),
-        at(each.where("not has_from"), path, "D006"),
-        at(each.where(F.col("has_from") & is_mutable_base(F.col("base"))), path, "D007"),
-        at(each.where(F.col("has_from") & user_bad), path, "D008"),
-        at(each.where(F.col("has_from") & ~F.col("has_start") & ~F.col("compose_start")), path, "D009"),
-        at(only.where(F.col("compose_root") | ~F.col("compose_other")), F.col("compose_path"), "D008"),
-        at(only.where("not compose_start"), F.col("compose_path"), "D009"),
-        at(facts.where("not valid"), path, "D010"),
+    r = state(files, lexed, facts, docker)
+    yes = {c: F.col(c) for c in [*FLAGS, *FIRST_PATHS]}
+    documented = yes["readme"].isNotNull() & yes["doc"] & yes["command"] & yes["needs"]
+    has_compose = yes["compose_path"].isNotNull()
+    only = has_compose & ~yes["docker"]
+    user_bad = is_root(F.col("user")) | yes["compose_root"] | ~(is_other_user(F.col("user")) | yes["compose_other"])
+    none, path, root = F.lit(None).cast("long"), F.col("file_path"), F.lit(ROOT)
+
+    def broken(rows: DataFrame, rules: list[tuple[str, Column, Column]]) -> DataFrame:
+        """(repo_id, rule, file_path): a row for each rule that a row breaks."""
+        each = F.array_compact(F.array(*[F.when(bad, F.struct(F.lit(rule).alias("rule"), at.alias("at"))) for rule, bad, at in rules]))
+        return rows.select("repo_id", F.explode(each).alias("x")).select("repo_id", "x.rule", F.col("x.at").alias("file_path"))
+
+    of_repository = [
+        ("D001", ~(yes["start"] | yes["main"] | yes["script"] | yes["docker_start"] | yes["compose_start"] | documented), root),
+        ("D002", yes["env_path"].isNotNull() & ~yes["env_doc"], yes["env_path"]),
+        ("D004", ~documented, F.coalesce("readme", root)),
+        ("D005", ~yes["docker"] & ~has_compose, root),
+        ("D008", only & (yes["compose_root"] | ~yes["compose_other"]), yes["compose_path"]),
+        ("D009", only & ~yes["compose_start"], yes["compose_path"]),
     ]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    of_dockerfile = [
+        ("D006", ~F.col("has_from"), path),
+        ("D007", F.col("has_from") & is_mutable_base(F.col("base")), path),
+        ("D008", F.col("has_from") & user_bad, path),
+        ("D009", F.col("has_from") & ~F.col("has_start") & ~yes["compose_start"], path),
+    ]
+    found = broken(r, of_repository)
+    found = found.unionByName(broken(docker.join(r.select("repo_id", "compose_start", "compose_root", "compose_other"), "repo_id"), of_dockerfile))
+    found = found.unionByName(broken(facts, [("D010", ~F.col("valid"), path)])).unionByName(unlocked(facts, r).withColumn("rule", F.lit("D003")))
+    at = found.select("repo_id", "file_path", none.alias("line_no"), none.alias("start"), none.alias("end"), F.lit(SNIPPET).alias("line"), "rule")
+    return findings_of(at, [f"D{k:03d}" for k in range(1, 11)])

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaylight.functions.text import matches
-from quaylight.operators.secrets import finding
+from quaylight.functions.text import has_any, matches
+from quaylight.operators.secrets import finding, limited
 
 # What marks unfinished code. RE2 and Java agree on these but for word ends beside letters beyond ASCII.
+# Quoted texts are two alternatives, one a quote, as RE2, which the SQL runs on, has no back-references.
 MARKER = r"(?iU)\b(?:TODO|FIXME|HACK|XXX)\b"
 PLACEHOLDER = r"(?iU)\b(?:TODO|FIXME|HACK|XXX|placeholder|not\s+implemented)\b"
 EMPTY_RETURN = r"(?iU)^\s*return\s+(?:\[\]|\{\}|None|null|nil|undefined)\s*;?\s*$"
@@ -51,7 +52,8 @@ def placeholder_returns(lexed: DataFrame) -> DataFrame:
     said: Column = F.exists("comments", lambda c: c["text"].rlike(PLACEHOLDER))
     w = Window.partitionBy("repo_id", "file_path").orderBy("line_no")
     alone = (F.trim("code") == "") & said
-    near = lexed.withColumn("_before", F.coalesce(F.lag(alone).over(w), F.lit(False)))
+    just_before = F.lag("line_no").over(w) == F.col("line_no") - 1  # lexed may hold relevant() lines only
+    near = lexed.withColumn("_before", F.coalesce(F.lag(alone).over(w) & just_before, F.lit(False)))
     start = F.length("line") - F.length(F.regexp_replace("line", "(?U)^\\s+", ""))
     hits = near.where(F.col("code").rlike(EMPTY_RETURN) & (said | F.col("_before"))).withColumn("start", start.cast("long")).withColumn("end", F.length(F.regexp_replace("line", "(?U)\\s+$", "")).cast("long"))
     return finding(hits, "I003")
@@ -71,8 +73,29 @@ def debug_output(lexed: DataFrame) -> DataFrame:
     return finding(per.withColumn("start", zero).withColumn("end", zero).withColumn("line", F.lit("")), "I005", None, snippet_masked=count)
 
 
-def scan(lexed: DataFrame) -> DataFrame:
+# Words without one of which no rule matches, in lower case.
+WORDS = "todo fixme hack xxx placeholder implemented debugger breakpoint set_trace console.log print".split()
+
+
+def may_have(lowered: Column) -> Column:
+    """False only for texts, in lower case, in which no rule finds anything."""
+    return has_any(lowered, WORDS)
+
+
+def relevant() -> Column:
+    """Lexed lines that the rules need: all that can break one, and those that can be the comment before."""
+    said = F.exists("comments", lambda c: c["text"].rlike(MARKER) | c["text"].rlike(PLACEHOLDER))
+    return said | F.col("code").rlike("|".join(f"(?:{p})" for p in [*UNIMPLEMENTED, EMPTY_RETURN])) | F.col("bare").rlike("|".join(f"(?:{p})" for p in [*BREAKPOINTS, *OUTPUTS]))
+
+
+def found(lexed: DataFrame) -> DataFrame:
+    """What all rules find, unlimited, the source line as it is in snippet_masked."""
     out = todo_comments(lexed)
     for rule in (unimplemented, placeholder_returns, breakpoints, debug_output):
         out = out.unionByName(rule(lexed))
     return out
+
+
+def scan(lexed: DataFrame) -> DataFrame:
+    """All I findings, at most 100 of a rule in a file, with masked snippets."""
+    return limited(found(lexed))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quaylight import vocabulary as V
 from quaylight.functions import text as T
-from quaylight.sources.files import ENV_EXAMPLES, base_name
+from quaylight.sources.files import ENV_EXAMPLES, base_name, explode_lines
 
 # What findings say.
 SAYS = {
@@ -48,6 +48,36 @@ def finding(hits: DataFrame, rule: str, low: Column | None = None, **other: Colu
     return hits.select(*[made[c].alias(c) for c in V.FINDING_COLUMNS])
 
 
+def findings_of(hits: DataFrame, rules: list[str]) -> DataFrame:
+    """As finding(), for rows of several rules of one dimension; rule names each row's."""
+    fields = [("rule_id", 0), ("rule_name", 1), ("severity", 2), ("confidence", 3), ("is_blocking", 4), ("finding_type", 5), ("repair_template_key", 7)]
+    cases = {}
+    for name, at in fields:
+        for k in rules:
+            value = F.lit(_RULES[k][at])
+            cases[name] = F.when(F.col("rule") == k, value) if name not in cases else cases[name].when(F.col("rule") == k, value)
+    says = {k: SAYS.get(k, (_RULES[k][1], V.DIMENSIONS["RIDBC".index(k[0])], "")) for k in rules}
+    for i, name in enumerate(("description", "category", "secret_type")):
+        for k in rules:
+            cases[name] = F.when(F.col("rule") == k, says[k][i]) if name not in cases else cases[name].when(F.col("rule") == k, says[k][i])
+    cases["message"] = cases["description"]
+    return finding(hits, rules[0], None, **cases)
+
+
+KEY_MARK = "-----(?:BEGIN|END) [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
+
+
+def worth_a_look(text: Column) -> Column:
+    """False only for lines, or whole texts, in which no rule can find anything."""
+    return T.may_assign(text) | T.has_any(text, ["://", "ghp_", "AKIA", "AIza", "PRIVATE KEY"])
+
+
+def suspects(files: DataFrame) -> DataFrame:
+    """(repo_id, file_path, line_no, line): the lines that are worth a look. Other files aren't cut into lines at all."""
+    text = F.col("content").cast("string")
+    return explode_lines(files.where(worth_a_look(text))).where(worth_a_look(F.col("line")))
+
+
 def token_rule(lines: DataFrame, rule: str, pattern: str) -> DataFrame:
     """R001, R002, R004: tokens of a known format; a repetitive body counts as low."""
     hits = lines.where(F.col("line").rlike(pattern)).select("*", F.explode(T.matches("line", pattern)).alias("m")).select("repo_id", "file_path", "line_no", "line", "m.*")
@@ -121,7 +151,7 @@ def private_key_rule(lines: DataFrame) -> DataFrame:
 
     Only lines with a header or footer are gathered, in order, and folded with one state: the open kind, its line, its column.
     """
-    marks = lines.where(F.col("line").rlike("-----(BEGIN|END) [A-Z ]*PRIVATE KEY( BLOCK)?-----")).groupBy("repo_id", "file_path").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("marks"))
+    marks = lines.where(F.col("line").rlike(KEY_MARK)).groupBy("repo_id", "file_path").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("marks"))
     kinds = F.array(*map(F.lit, KEY_KINDS))
     block = "array<struct<line_no:bigint,line_b:bigint,start:bigint,kind:string,whole:boolean>>"
     edge = lambda word, kind: F.concat(F.lit(f"-----{word} "), kind, F.lit("-----"))
@@ -223,9 +253,14 @@ def one_pass(files: DataFrame, lines: DataFrame) -> DataFrame:
 
 def scan(files: DataFrame, lines: DataFrame) -> DataFrame:
     """All sensitive-data findings, at most 100 of a rule in a file, with masked snippets."""
+    return limited(one_pass(files, lines))
+
+
+def limited(findings: DataFrame) -> DataFrame:
+    """What any rule that reads lines gives: at most 100 of a rule in a file, then their lines masked and cut."""
     from quaylight.operators.resolve import top_per_rule_and_file
 
-    return with_snippets(top_per_rule_and_file(one_pass(files, lines)))
+    return with_snippets(top_per_rule_and_file(findings))
 
 
 def with_snippets(findings: DataFrame) -> DataFrame:

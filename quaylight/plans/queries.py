@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaylight import vocabulary as V
 from quaylight.functions import text as T
-from quaylight.operators import incomplete, lexer, repair, resolve, scoring, secrets, tasks, views
+from quaylight.operators import incomplete, lexer, repair, resolve, scoring, secrets, tasks, views, whole
 from quaylight.plans import hosts
 from quaylight.sources import files as S
 
@@ -190,7 +189,6 @@ def q_mask_lines(spark, d):
     return hosts.planted_lines(spark, d).select("doc_id", T.mask_line("line").alias("masked"))
 
 
-QUERIES["q_mask_lines_all"], SQL["q_mask_lines_all"] = q_mask_lines, SQL["q_mask_lines"]
 
 
 _VALUES = ["changeme", "Foobar", "hunter2", "<token>", "s3cr3t", "XXX"]
@@ -548,33 +546,10 @@ def q_corpus_incomplete(spark, d):
     return incomplete.scan(lexer.lex(hosts.corpus_files(spark, d)))
 
 
-def all_findings(files: DataFrame) -> DataFrame:
-    """Findings of all five dimensions over eligible files (repo_id, file_path, content, length), cached.
-
-    Lexed lines are kept, in memory or on disk, only until the findings are there, so that files are lexed once for all
-    rules. Lost blocks of either are computed anew.
-    """
-    from quaylight.operators import deploy, docs, security
-
-    good = files.where(S.reason_skipped().isNull())
-    lexed = lexer.lex(good).persist(StorageLevel.MEMORY_AND_DISK)
-    out = secrets.scan(good, S.explode_lines(good))
-    for found in (incomplete.scan(lexed), deploy.scan(good, lexed), security.scan(lexed, good), docs.scan(good)):
-        out = out.unionByName(found)
-    out = resolve.drop_overlaps(out).persist(StorageLevel.MEMORY_AND_DISK)
-    out.count()
-    lexed.unpersist()
-    return out
-
-
 def card_of(files: DataFrame) -> DataFrame:
     """Scanned in all dimensions, summed up and scored by the sensitive one, as the score is defined; a row for each repository."""
-    zero = F.lit(0).cast("long")
-    skipped = F.count_if(S.reason_skipped().isNotNull())
-    counts = files.groupBy("repo_id").agg(skipped.alias("total_skipped_files"), F.count_if(S.reason_skipped().isNull()).alias("total_files_scanned"))
-    other = counts.select("repo_id", zero.alias("total_notices"), "total_skipped_files", zero.alias("total_scan_errors"), "total_files_scanned", zero.alias("total_lines_scanned"))
-    found = all_findings(files)
-    return scoring.assess(found, resolve.sensitive_summary(resolve.summarize(found, other)))
+    found, walked = whole.scan(files)
+    return scoring.assess(found, resolve.sensitive_summary(resolve.summarize(found, whole.totals(walked))))
 
 
 def scorecard(spark: SparkSession, folder: str) -> DataFrame:
@@ -759,7 +734,6 @@ def q_upsert(spark, d):
     return t.upsert(old, new, stamp(2025)).select("task_id", "created_at")
 
 
-QUERIES["q_upsert_all"], SQL["q_upsert_all"] = q_upsert, SQL["q_upsert"]
 
 
 @query(
@@ -786,18 +760,6 @@ def q_prompt_lines(spark, d):
     return publish.prompt_lines(g)
 
 
-@query(
-    EVENTS + _GROUPS + """, nu2 AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY blocking DESC, priority, s, c, action_code, coalesce(kt, ''), coalesce(kr, ''), coalesce(ks, ''), coalesce(first_file, '')) AS n FROM gr),
-      li AS (SELECT repo_id, n, '- [' || action_code || '] (' || CAST(finding_count AS VARCHAR) || ' findings)' AS line FROM nu2),
-      su AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY repo_id ORDER BY n) AS chars FROM li) SELECT repo_id, 'RG' || lpad(CAST(n AS VARCHAR), 3, '0') AS group_id, line FROM su WHERE chars <= 65536"""
-)
-def q_prompt_lines_all(spark, d):
-    from quaylight.operators import publish
-
-    g = repair.ordered_groups(repair.groups(hosts.event_findings(spark, d))).withColumn("related_rule_ids", F.array().cast("array<string>"))
-    return publish.prompt_lines(g)
-
-
 @query()
 def q_plan_violations(spark, d):
     from quaylight.operators import publish

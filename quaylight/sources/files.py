@@ -149,10 +149,31 @@ def reason_skipped() -> Column:
     )
 
 
+#: One-character line ends but the line feed itself.
+_OTHER_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+
+
+def _plain_ends(text: Column) -> Column:
+    """A text without its byte order mark, whose lines all end with a line feed."""
+    other = text.contains(_OTHER_ENDS[0])
+    for end in _OTHER_ENDS[1:]:
+        other = other | text.contains(end)
+    same = F.translate(F.replace(text, F.lit("\r\n"), F.lit("\n")), _OTHER_ENDS, "\n" * len(_OTHER_ENDS))
+    plain = F.when(other, same).otherwise(text)
+    return F.when(plain.startswith("\ufeff"), F.substring(plain, 2, 2**31 - 1)).otherwise(plain)
+
+
 def lines_of(text: Column) -> Column:
     """Lines of a text without its byte order mark; no empty line after the last end."""
-    parts = F.split(F.regexp_replace(text, "^\\x{feff}", ""), LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    parts = F.split(_plain_ends(text), "\n", -1)
+    # inside an array of one, so that the text is split once
+    return F.get(F.transform(F.array(parts), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p)), F.lit(0))
+
+
+def line_count(text: Column) -> Column:
+    """How many lines lines_of() gives, by lengths alone."""
+    plain = _plain_ends(text)
+    return (F.length(plain) - F.length(F.replace(plain, F.lit("\n"), F.lit(""))) + F.when((plain == "") | plain.endswith("\n"), 0).otherwise(1)).cast("long")
 
 
 def explode_lines(files: DataFrame, text: str = "content") -> DataFrame:

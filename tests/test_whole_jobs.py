@@ -13,7 +13,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
 def test_upsert_covers_every_event(spark):
     events = spark.read.parquet(f"{FOLDER}/events.parquet")
     assert events.where("event_id >= 500").count() > 0
-    got = sorted(r["task_id"] for r in entry.queries()["q_upsert_all"](spark, FOLDER).collect())
+    got = sorted(r["task_id"] for r in entry.queries()["q_upsert"](spark, FOLDER).collect())
     assert got == sorted(r["event_id"] for r in events.select("event_id").collect())
 
 
@@ -31,11 +31,11 @@ def test_prompt_lines_go_on_to_the_character_limit(spark):
         want.append((number, line))
     assert 3 < len(want) < 699
     assert sorted((r["group_id"], r["line"]) for r in got if r["repo_id"] == "r") == want
-    assert any(r["group_id"] > "RG003" for r in entry.queries()["q_prompt_lines_all"](spark, FOLDER).collect())
+    assert any(r["group_id"] > "RG003" for r in entry.queries()["q_prompt_lines"](spark, FOLDER).collect())
 
 
 def test_masked_lines_cover_every_kind(spark):
-    got = [r["masked"] for r in entry.queries()["q_mask_lines_all"](spark, FOLDER).collect()]
+    got = [r["masked"] for r in entry.queries()["q_mask_lines"](spark, FOLDER).collect()]
     assert len(got) == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
     assert all(any(x.startswith(p) for x in got) for p in ("auth", "id ", "g ", "db:", "password", "token ="))
 
