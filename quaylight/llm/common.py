@@ -49,7 +49,7 @@ def save(df: DataFrame, *done: DataFrame) -> DataFrame:
     done: tables saved before that nothing but this write still needed; their files go.
     """
     folder = shared_dir(df.sparkSession)
-    df.write.parquet(f"{folder}/table")
+    df.write.option("compression", "zstd").parquet(f"{folder}/table")
     discard(*done)
     out = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/table")
     out._saved_in = folder
@@ -59,7 +59,7 @@ def save(df: DataFrame, *done: DataFrame) -> DataFrame:
 def save_bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
     """As save(), but in buckets of a column: what is grouped or joined by it then needs no shuffle of this table."""
     folder, name = shared_dir(df.sparkSession), f"quaylight_{uuid.uuid4().hex}"
-    df.write.format("parquet").bucketBy(buckets, column).option("path", f"{folder}/table").saveAsTable(name)
+    df.write.format("parquet").option("compression", "zstd").bucketBy(buckets, column).option("path", f"{folder}/table").saveAsTable(name)
     out = df.sparkSession.table(name)
     out._saved_in, out._saved_as = folder, name
     return out
