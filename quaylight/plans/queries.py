@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaylight import vocabulary as V
 from quaylight.functions import text as T
 from quaylight.operators import incomplete, lexer, repair, resolve, scoring, secrets, tasks, views, whole
-from quaylight.plans import hosts
+from quaylight.plans import hosts, planted
 from quaylight.sources import files as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -518,22 +519,14 @@ def q_history_top10(spark, d):
 # lexed sources
 
 
-_CODE = [
-    ("a", "src/x.py", "# TODO: later\ndef f():\n    raise NotImplementedError\n\nclass B(ABC):\n    def g(self):\n        raise NotImplementedError\ns = '# FIXME not a comment'\nbreakpoint()\n"),
-    ("a", "src/y.js", "/* a HACK\n still */ let x = `debugger ${1}`\ndebugger;\nreturn null // placeholder\n" + "console.log(1)\n" * 6),
-    ("b", "tests/z.py", "# TODO in tests\nprint(1)\n"),
-    ("b", "src/w.go", "// not implemented\nreturn nil\npanic(\"not implemented yet\")\n"),
-]
-
-
-@query()
+@query(planted.COMMENTS_SQL)
 def q_lexer_comments(spark, d):
-    return lexer.lex(hosts.inline(spark, _CODE)).select("repo_id", "file_path", "line_no", "code", "bare", F.col("comments.text").alias("comments"))
+    return lexer.lex(planted.repositories(spark, d)).where(F.size("comments") > 0).select("repo_id", "file_path", "line_no", "code", F.col("comments")[0]["text"].alias("comment"))
 
 
-@query("SELECT * FROM (VALUES ('a', 'src/x.py', 'I001_TODO_COMMENT', CAST(1 AS BIGINT)), ('a', 'src/x.py', 'I002_UNIMPLEMENTED_CODE', 3), ('a', 'src/x.py', 'I004_DEBUG_BREAKPOINT', 9), ('a', 'src/y.js', 'I001_TODO_COMMENT', 1), ('a', 'src/y.js', 'I004_DEBUG_BREAKPOINT', 3), ('a', 'src/y.js', 'I003_PLACEHOLDER_RETURN', 4), ('a', 'src/y.js', 'I005_EXCESSIVE_DEBUG_OUTPUT', 5), ('b', 'src/w.go', 'I003_PLACEHOLDER_RETURN', 2), ('b', 'src/w.go', 'I002_UNIMPLEMENTED_CODE', 3)) t(repo_id, file_path, rule_id, line_start)")
+@query(planted.INCOMPLETE_SQL)
 def q_incomplete_rules(spark, d):
-    return incomplete.scan(lexer.lex(hosts.inline(spark, _CODE))).select("repo_id", "file_path", "rule_id", "line_start")
+    return incomplete.scan(lexer.lex(planted.repositories(spark, d))).select("repo_id", "rule_id", "file_path", "line_start", "snippet_masked")
 
 
 @query()
@@ -541,9 +534,20 @@ def q_corpus_lexed(spark, d):
     return lexer.lex(hosts.corpus_files(spark, d)).groupBy("file_path").agg(F.count("*").alias("lines"), F.sum(F.size("strings")).alias("strings"))
 
 
-@query()
+_SOURCE_SUFFIXES = [".py", ".ts", ".go"]
+
+
+@query(
+    f"""WITH corpus AS ({hosts.CORPUS_SQL}) SELECT repo_id, file_path, 'I001_TODO_COMMENT' AS rule_id,
+    CAST(len(regexp_split_to_array(content, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]')) + 1 AS BIGINT) AS line_start,
+    CASE doc_id % 10 WHEN 0 THEN '# ' ELSE '// ' END || 'TODO ' || CAST(doc_id AS VARCHAR) || ' token = "<REDACTED>"' AS snippet_masked FROM corpus WHERE doc_id % 10 IN (0, 1, 9)"""
+)
 def q_corpus_incomplete(spark, d):
-    return incomplete.scan(lexer.lex(hosts.corpus_files(spark, d)))
+    """Every document that is a source file, with a line at its end that has a marker and a secret."""
+    f = hosts.corpus_files(spark, d).where(S.suffix().isin(_SOURCE_SUFFIXES))
+    mark = F.concat(F.when(S.suffix() == ".py", "# ").otherwise("// "), F.lit("TODO "), F.col("doc_id").cast("string"), F.lit(' token = "'), F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 20), F.lit('"'))
+    planted_file = f.withColumn("content", F.concat("content", F.lit("\n"), mark))
+    return incomplete.scan(lexer.lex(planted_file)).where("rule_id = 'I001_TODO_COMMENT'").select("repo_id", "file_path", "rule_id", "line_start", "snippet_masked")
 
 
 def card_of(files: DataFrame) -> DataFrame:
@@ -565,126 +569,78 @@ def q_scorecard(spark, d):
 # whole repositories
 
 
-_REPOS = [
-    ("r1", "package.json", '{"name": "x", "dependencies": {"a": "1"}, "scripts": {"start": "node s.js"}}'),
-    ("r1", "sub/package.json", '{"dependencies": {"b": "1"}}'),
-    ("r1", "sub/yarn.lock", "#"),
-    ("r1", "Dockerfile", "FROM --platform=x node AS build\nUSER app\nFROM node:latest\nCMD run\n"),
-    ("r1", "src/server.js", "import rl from 'express-rate-limit'\napp.get('/users', (req, res) => {})\nconst q = req.body\napp.use(cors())\ndb.query('SELECT a FROM t WHERE x=' + req.query.x)\nconst k = process.env.KEY\n"),
-    ("r2", "README.md", "# Two\nRequirements: python\nDeploy to production with gunicorn app\n"),
-    ("r2", "requirements.txt", "a==1.0\nb==2\n"),
-    ("r2", "docker-compose.yml", "services:\n  web:\n    command:\n      - run\n    user: app\n"),
-    ("r2", "app.py", "from x import HTTPBearer\n@app.get('/items')\ndef f(): pass\n@app.get('/health')\ndef h(): pass\n"),
-    ("r3", "go.mod", "module x\nrequire y v1\n"),
-    ("r3", "pom.xml", "<project><dependencies><dependency/></project>"),
-    ("r3", "Containerfile", "RUN x\n"),
-    ("r3", "main.go", "package main\nfunc main() {\n os.Getenv(\"A\")\n}\n"),
-    ("r3", "conf/app.yml", "allowed-origins: *\n"),
-    ("r4", "Dockerfile", "FROM node:20.1\nUSER app\n"),
-    ("r5", "a.py", "x = 1\n"),
-]
-
-
-def _rows(rows: list[tuple]) -> str:
-    return ", ".join("(" + ", ".join("NULL" if v is None else f"CAST({v} AS BIGINT)" if isinstance(v, int) else f"'{v}'" for v in r) + ")" for r in rows)
-
-
-_DEPLOY = [
-    ("r1", "D002_ENVIRONMENT_DOCUMENTATION", "src/server.js"), ("r1", "D003_DEPENDENCY_LOCK", "package.json"), ("r1", "D004_DEPLOYMENT_DOCUMENTATION", "<repository>"),
-    ("r1", "D007_DOCKER_MUTABLE_BASE", "Dockerfile"), ("r1", "D008_DOCKER_ROOT_USER", "Dockerfile"),
-    ("r3", "D002_ENVIRONMENT_DOCUMENTATION", "main.go"), ("r3", "D003_DEPENDENCY_LOCK", "go.mod"), ("r3", "D004_DEPLOYMENT_DOCUMENTATION", "<repository>"),
-    ("r3", "D006_DOCKER_MISSING_FROM", "Containerfile"), ("r3", "D010_INVALID_DEPLOYMENT_CONFIG", "pom.xml"),
-    ("r4", "D001_PRODUCTION_START", "<repository>"), ("r4", "D004_DEPLOYMENT_DOCUMENTATION", "<repository>"), ("r4", "D009_DOCKER_MISSING_START", "Dockerfile"),
-    ("r5", "D001_PRODUCTION_START", "<repository>"), ("r5", "D004_DEPLOYMENT_DOCUMENTATION", "<repository>"), ("r5", "D005_DOCKER_MISSING", "<repository>"),
-]
-
-
-@query(f"SELECT * FROM (VALUES {_rows(_DEPLOY)}) t(repo_id, rule_id, file_path)")
+@query(planted.CARD_SQL)
+def q_planted_scorecard(spark, d):
+    return card_of(planted.repositories(spark, d)).drop("coverage_reasons")
+
+
+@query(planted.ALL_SQL + "SELECT * FROM every")
+def q_planted_findings(spark, d):
+    return whole.scan(planted.repositories(spark, d))[0].select("repo_id", "rule_id", "file_path", "line_start")
+
+
+@query(
+    planted.ALL_SQL
+    + """SELECT repo_id, CAST(CASE WHEN n % 16 = 5 THEN 1 ELSE 0 END AS BIGINT) AS total_notices, CAST(CASE WHEN n % 61 < 9 THEN 1 ELSE 0 END AS BIGINT) AS total_skipped_files,
+    (SELECT count(*) FROM every e WHERE e.repo_id = f.repo_id AND e.rule_id LIKE 'D%') AS deploy_findings, (SELECT count(*) FROM every e WHERE e.repo_id = f.repo_id) AS total_findings FROM f"""
+)
+def q_planted_summary(spark, d):
+    found, walked = whole.scan(planted.repositories(spark, d))
+    out = resolve.summarize(found, whole.totals(walked))
+    return out.select("repo_id", "total_notices", "total_skipped_files", F.element_at("dimension_counts", F.lit(V.DIMENSIONS[2])).alias("deploy_findings"), "total_findings")
+
+
+@query(planted.DEPLOY_SQL)
 def q_d00x_repo_flags(spark, d):
     from quaylight.operators import deploy
 
-    f = hosts.inline(spark, _REPOS)
+    f = planted.repositories(spark, d)
     return deploy.scan(f, lexer.lex(f)).select("repo_id", "rule_id", "file_path")
 
 
-_SECURITY = [
-    ("r1", "B001_API_AUTHENTICATION", "src/server.js", None), ("r1", "B002_INPUT_VALIDATION", "src/server.js", None), ("r1", "B003_RATE_LIMITING", "src/server.js", None),
-    ("r1", "B005_SQL_INJECTION", "src/server.js", 5), ("r2", "B003_RATE_LIMITING", "app.py", None), ("r3", "B004_PERMISSIVE_CORS", "conf/app.yml", 1),
-]
-
-
-@query(f"SELECT * FROM (VALUES {_rows(_SECURITY)}) t(repo_id, rule_id, file_path, line_start)")
+@query(planted.SECURITY_SQL)
 def q_b00x_security(spark, d):
     from quaylight.operators import security
 
-    f = hosts.inline(spark, _REPOS)
-    return security.scan(lexer.lex(f), f).select("repo_id", "rule_id", "file_path", "line_start")
+    f = planted.repositories(spark, d)
+    return security.scan(lexer.lex(f), security.config_lines(f)).select("repo_id", "rule_id", "file_path", "line_start")
 
 
-@query(
-    f"""WITH f AS (SELECT * FROM (VALUES {_rows([r for r in _REPOS if chr(39) not in r[2] and chr(10) not in r[2]])}) t(repo_id, file_path, content)),
-    m AS (SELECT repo_id, file_path, CASE WHEN contains(file_path, '/') THEN regexp_replace(file_path, '/[^/]*$', '') ELSE '.' END AS folder FROM f WHERE file_path LIKE '%package.json'),
-    l AS (SELECT repo_id, CASE WHEN contains(file_path, '/') THEN regexp_replace(file_path, '/[^/]*$', '') ELSE '.' END AS folder FROM f WHERE file_path LIKE '%yarn.lock')
-    SELECT repo_id, file_path FROM m ANTI JOIN l USING (repo_id, folder)"""
-)
+@query(planted.LOCKS_SQL)
 def q_node_lock_antijoin(spark, d):
     from quaylight.operators import deploy
 
-    f = hosts.inline(spark, [r for r in _REPOS if "package.json" in r[1] or "yarn" in r[1]])
+    f = planted.repositories(spark, d)
     nothing = f.select("repo_id").distinct().select("repo_id", *[F.lit(False).alias(c) for c in ("rust_main", "mvn_script", "mvn_config", "gradle_script", "gradle_config")])
     return deploy.unlocked(deploy.manifests(f), nothing)
 
 
-_STAGES = "FROM --platform=x node AS build\nUSER app\nFROM node:latest\nCMD run\n"
-
-
-@query("SELECT 'r1' AS repo_id, 'Dockerfile' AS file_path, 'node:latest' AS base, true AS has_start UNION ALL SELECT 'r3', 'Containerfile', NULL, false UNION ALL SELECT 'r4', 'Dockerfile', 'node:20.1', false")
+@query(planted.STAGES_SQL)
 def q_docker_last_stage(spark, d):
     from quaylight.operators import deploy
 
-    return deploy.dockerfiles(hosts.inline(spark, _REPOS)).select("repo_id", "file_path", F.nullif("base", F.lit("")).alias("base"), "has_start")
-
+    return deploy.dockerfiles(planted.repositories(spark, d)).select("repo_id", "file_path", F.nullif("base", F.lit("")).alias("base"), "has_start")
 
-_TREE = "```\n├── src/\n│   └── a.py\n├── gone.txt\n└── dist\n```\n"
-_DOCS = [
-    ("d1", "README.md", "# One\n" + "words of prose here " * 8 + "\n## Tech Stack\n- React and FastAPI\n- Django\n## Usage\n```sh\nnpm run build\nnpm run nope\nmake all\n$ cd src\npython a.py\npython b.py\n```\n- `cargo run`\n## Project Structure\n" + _TREE),
-    ("d1", "package.json", '{"dependencies": {"react": "1"}, "scripts": {"build": "x"}}'),
-    ("d1", "requirements.txt", "-r req/base.txt\nflask==1\n"),
-    ("d1", "req/base.txt", "fastapi\n-r more.txt\n"),
-    ("d1", "req/more.txt", "x_y\n"),
-    ("d1", "Makefile", "all: x\n\techo\n"),
-    ("d1", "src/a.py", "x=1"),
-    ("d2", "readme.rst", "Two\n===\nshort\n"),
-    ("d2", "README.txt", "longer"),
-    ("d3", "x/README.md", "not the root's"),
-    ("d4", "x-main/README.md", "# Four\n" + "prose " * 40 + "\n## Run\n```\npython app.py\npython no.py\n```\n"),
-    ("d4", "x-main/app.py", "1"),
-]
-_DOC_FINDINGS = [("d1", "C002_TECH_STACK_MISMATCH", 5), ("d1", "C003_START_COMMAND_MISMATCH", 9), ("d1", "C003_START_COMMAND_MISMATCH", 13), ("d1", "C003_START_COMMAND_MISMATCH", 15), ("d1", "C004_PROJECT_STRUCTURE_MISMATCH", 20), ("d2", "C001_README_COMPLETENESS", None), ("d3", "C001_README_COMPLETENESS", None), ("d4", "C003_START_COMMAND_MISMATCH", 6)]
 
-
-@query(f"SELECT * FROM (VALUES {_rows(_DOC_FINDINGS)}) t(repo_id, rule_id, line_start)")
+@query(planted.DOCS_SQL)
 def q_c00x_documentation(spark, d):
     from quaylight.operators import docs
 
-    return docs.scan(hosts.inline(spark, _DOCS)).select("repo_id", "rule_id", "line_start")
+    return docs.scan(planted.repositories(spark, d)).select("repo_id", "rule_id", "file_path", "line_start")
 
 
-@query("SELECT * FROM (VALUES ('d1', 'README.md'), ('d2', 'readme.rst'), ('d4', 'x-main/README.md')) t(repo_id, file_path)")
+@query(planted.README_SQL)
 def q_primary_readme(spark, d):
     from quaylight.operators import docs
 
-    return docs.primary_readmes(hosts.inline(spark, _DOCS)).select("repo_id", "file_path")
+    return docs.primary_readmes(planted.repositories(spark, d)).select("repo_id", "file_path")
 
 
-@query(
-    """WITH RECURSIVE inc AS (SELECT * FROM (VALUES ('requirements.txt', 'req/base.txt'), ('req/base.txt', 'req/more.txt')) t(a, b)), r AS (SELECT 'requirements.txt' AS file_path UNION SELECT b FROM r JOIN inc ON a = file_path) SELECT 'd1' AS repo_id, file_path FROM r"""
-)
+@query(planted.REQUIREMENTS_SQL)
 def q_requirements_closure(spark, d):
     from quaylight.operators import docs
 
-    roots = spark.createDataFrame([("d1", "requirements.txt")], "repo_id string, file_path string")
-    return docs.included(roots, spark.createDataFrame([("d1", "requirements.txt", "req/base.txt"), ("d1", "req/base.txt", "req/more.txt")], "repo_id string, _from string, _to string"))
+    return docs.facts(planted.repositories(spark, d)).where("fact like 'package:python:%'")
 
 
 @query("WITH f AS (SELECT DISTINCT source AS repo_id, 'pkgs/' || source || (CASE WHEN doc_id % 2 = 0 THEN '' ELSE '/in' END) AS folder FROM documents) SELECT * FROM f WHERE regexp_matches(folder, '^pkgs/[^/]*$') AND folder <> 'pkgs/src3'")
@@ -710,10 +666,22 @@ def _archive(names: list[str]) -> bytes:
     return out.getvalue()
 
 
-@query("SELECT * FROM (VALUES ('a', 0, 'x/y.py', NULL), ('a', 1, 'z', NULL), ('b', 0, '../up', 'name_parent'), ('c', 0, NULL, 'broken')) t(repo_id, member_no, name, breach)")
+@query(
+    """WITH s AS (SELECT s_suppkey AS n FROM supplier),
+    m AS (SELECT n, 0 AS member_no, 'x/y' || CAST(n AS VARCHAR) || '.py' AS name, NULL AS breach FROM s WHERE n % 4 <> 3
+    UNION ALL SELECT n, 1, CASE n % 4 WHEN 0 THEN 'z' WHEN 1 THEN '../up' ELSE '/etc/x' END, CASE n % 4 WHEN 1 THEN 'name_parent' WHEN 2 THEN 'name_absolute' END FROM s WHERE n % 4 <> 3
+    UNION ALL SELECT n, 0, NULL, 'broken' FROM s WHERE n % 4 = 3)
+    SELECT CAST(n AS VARCHAR) AS repo_id, member_no, name, breach FROM m"""
+)
 def q_archive_members(spark, d):
-    rows = [("a", bytearray(_archive(["x/y.py", "z"]))), ("b", bytearray(_archive(["../up"]))), ("c", bytearray(b"neither"))]
-    return S.admitted(S.archive_members(spark.createDataFrame(rows, "repo_id string, content binary"))).select("repo_id", F.col("member_no").cast("int").alias("member_no"), "name", "breach")
+    """An archive for each supplier; one of four has a name that leaves the folder, one an absolute one, one is no archive."""
+    @F.pandas_udf("binary")
+    def archive(keys: pd.Series) -> pd.Series:
+        second = ["z", "../up", "/etc/x"]
+        return keys.map(lambda n: b"neither" if n % 4 == 3 else _archive([f"x/y{n}.py", second[n % 4]]))
+
+    made = hosts.read(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("repo_id"), archive(F.col("s_suppkey").cast("long")).alias("content"))
+    return S.admitted(S.archive_members(made)).select("repo_id", F.col("member_no").cast("int").alias("member_no"), "name", "breach")
 
 
 @query(EVENTS + " SELECT repo_id, count(*) AS findings FROM ev GROUP BY repo_id")
