@@ -93,20 +93,6 @@ def plan_summary(groups: DataFrame) -> DataFrame:
     return out.withColumn("plan_status", F.when(F.col("_partial"), "partial").otherwise("complete")).withColumn("verification", steps).drop("_partial")
 
 
-def plan_violations(summaries: DataFrame, groups: DataFrame) -> DataFrame:
-    """(repo_id, violation) of stored plans (repo_id, plan_status, coverage_warning, groups_truncated) that can't be right."""
-    g = groups.groupBy("repo_id").agg(F.bool_or(F.col("action_code").isin(PARTIAL_ACTIONS)).alias("_trigger"), F.bool_or(F.col("action_code") == "RERUN_SECURITY_SCAN").alias("_rerun"), F.bool_or(F.col("action_code") == "MANUAL_REVIEW_REQUIRED").alias("_manual"))
-    s = summaries.join(g, "repo_id", "left").fillna(False, ["_trigger", "_rerun", "_manual"])
-    partial = F.col("plan_status") == "partial"
-    checks = {
-        "warning": F.col("coverage_warning") != partial,
-        "trigger_in_complete": F.col("_trigger") & ~partial,
-        "truncated_without_review": F.col("groups_truncated") & ~(partial & F.col("_manual") & F.col("_rerun")),
-        "partial_without_reason": partial & ~F.col("_trigger") & ~F.col("groups_truncated"),
-    }
-    return s.select("repo_id", F.explode(F.array_compact(F.array(*[F.when(c, k) for k, c in checks.items()]))).alias("violation"))
-
-
 def prompt_lines(groups: DataFrame, room: int = MAX_PROMPT_CHARS) -> DataFrame:
     """(repo_id, group_id, line): a line for each group in order, up to the first that no longer fits; later ones aren't tried."""
     rules = F.array_join(F.slice("related_rule_ids", 1, 10), ", ")

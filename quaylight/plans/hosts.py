@@ -111,6 +111,58 @@ def event_summaries(spark: SparkSession, folder: str) -> DataFrame:
     return f.select("repo_id", *[F.lit(0).cast("long").alias(c) for c in ("total_notices", "total_skipped_files")], F.when(n % 10 == 0, 1).otherwise(0).cast("long").alias("total_scan_errors"), F.when(n % 17 == 0, 0).otherwise(9).cast("long").alias("total_files_scanned"), F.lit(100).cast("long").alias("total_lines_scanned"))
 
 
+#: Bodies of assessments, by an event's id modulo 16: three of several versions that can be read, the others not.
+_ENTRY = '{"rule_id": "%s", "rule_name": "%s", "finding_count": %s, "occurrence_deductions": [#C], %s}'
+_GOOD = '{"schema_version": 1, "score": #S, "score_before_caps": #S, "verdict": "pass", "score_breakdown": [%s], "coverage": {"status": "complete", "reasons": []}}'
+BODIES = [
+    _GOOD % (_ENTRY % ("R001_GITHUB_TOKEN", "", "#C", '"rule_cap": 50, "applied_deduction": #C')),
+    _GOOD % (_ENTRY % ("R001_GITHUB_TOKEN", "Given", "#C", '"max_deduction": 50, "deduction": #C')),
+    _GOOD % (_ENTRY % ("X9", "", "#C", '"rule_cap": 50, "applied_deduction": 99, "deduction": #C')),
+    '{"score": ',
+    "[1]",
+    '{"score": "7", "verdict": "pass"}',
+    '{"score": true, "verdict": "pass"}',
+    '{"score": 101, "verdict": "pass"}',
+    '{"score_before_caps": 7.5, "verdict": "pass"}',
+    '{"score": 7}',
+    '{"score": 7, "verdict": "maybe"}',
+    _GOOD % (_ENTRY % ("R001_GITHUB_TOKEN", "", '"2"', '"deduction": #C')),
+    '{"verdict": "pass", "coverage": []}',
+    '{"verdict": "pass", "score_caps": [{"reason_code": "X", "applied": 1}]}',
+    '{"verdict": "pass", "blocking_reasons": {}}',
+    '{"verdict": "pass", "schema_version": 2}',
+]
+
+
+def stored_assessments(spark: SparkSession, folder: str) -> DataFrame:
+    """(task_id, body): a stored assessment for each event."""
+    e = read(spark, folder, "events")
+    body = F.get(F.array(*map(F.lit, BODIES)), (F.col("event_id") % 16).cast("int"))
+    body = F.replace(F.replace(body, F.lit("#C"), (F.col("event_id") % 7).cast("string")), F.lit("#S"), (F.col("event_id") % 101).cast("string"))
+    return e.select(F.col("event_id").alias("task_id"), body.alias("body"))
+
+
+def stored_plans(groups: DataFrame, summary: DataFrame) -> DataFrame:
+    """Plans as stored, with deviations by the repository's number: groups lost, doubled and miscounted, states and columns that disagree, texts that no plan may have."""
+    from quaylight.operators import stored
+
+    r = F.col("repo_id").cast("long")
+    lost = (r % 10 == 1) & (F.col("action_code") == "REVOKE_OR_ROTATE_SECRET")
+    twice = (r % 10 == 2) & (F.col("action_code") == "REVIEW_SECRET_USAGE")
+    more = F.when((r % 10 == 3) & (F.col("action_code") == "RERUN_SECURITY_SCAN"), 1).otherwise(0)
+    g = groups.where(~lost)
+    g = g.unionByName(g.where(twice)).withColumn("finding_count", F.col("finding_count") + more)
+    other = F.when(F.col("plan_status") == "partial", "complete").otherwise("partial")
+    odd = F.when(r % 17 == 7, "a\u200bb").when(r % 19 == 8, "see /home/x/y").otherwise("- [ROTATE]")
+    prompt = F.concat(F.lit("Read https://example.org first.\n" + stored.PROMPT_HEAD + "\n"), odd)
+    s = summary.withColumn("_status", F.col("plan_status")).withColumns({"plan_status": F.when(r % 5 == 1, other).otherwise(F.col("plan_status")), "cut": r % 9 == 4, "agent_prompt": prompt, "source_scan_updated_at": F.lit("2025-01-01T00:00:00+00:00")})
+    body = F.when(r % 13 == 6, F.replace("body", F.lit('"schema_version":1'), F.lit('"schema_version":2'))).otherwise(F.col("body"))
+    body = F.when(r % 23 == 9, F.replace(body, F.lit('"groups_truncated":false'), F.lit('"groups_truncated":"no"'))).otherwise(body)
+    body = F.when(r % 31 == 11, F.replace(body, F.lit('"coverage_warning":true'), F.lit('"coverage_warning":false'))).otherwise(body)
+    columns = summary.select("repo_id", "plan_status", (F.col("total_groups") + F.when(r % 29 == 3, 1).otherwise(0)).alias("total_repair_groups"), F.col("blocking_groups").alias("blocking_repair_groups"), F.lit("2025-01-01T00:00:00+00:00").alias("source_scan_updated_at"))
+    return stored.bodies(g, s).withColumn("body", body).join(columns, "repo_id").withColumnRenamed("repo_id", "task_id")
+
+
 def inline(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
     """A few small repositories as files."""
     return spark.createDataFrame(rows, "repo_id string, file_path string, content string").withColumn("length", F.octet_length("content").cast("long"))

@@ -13,6 +13,7 @@ from quaylight.functions import text as T
 from quaylight.operators import incomplete, lexer, repair, resolve, scoring, secrets, tasks, views, whole
 from quaylight.plans import hosts, planted
 from quaylight.sources import files as S
+from quaylight.storage import save
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -728,13 +729,88 @@ def q_prompt_lines(spark, d):
     return publish.prompt_lines(g)
 
 
-@query()
-def q_plan_violations(spark, d):
+_PLANNED = EVENTS + _SUMMARY + _GROUPS + _CONDITIONS + """, lk AS (SELECT DISTINCT repo_id, action_code FROM co EXCEPT SELECT repo_id, action_code FROM gr),
+    al AS (SELECT repo_id, CAST(repo_id AS BIGINT) AS r, action_code, finding_count, blocking FROM gr UNION ALL SELECT repo_id, CAST(repo_id AS BIGINT), action_code, 0, false FROM lk),
+    lost AS (SELECT *, r % 10 = 1 AND action_code = 'REVOKE_OR_ROTATE_SECRET' AS lost, r % 10 = 2 AND action_code = 'REVIEW_SECRET_USAGE' AS twice, r % 10 = 3 AND action_code = 'RERUN_SECURITY_SCAN' AS miscounted,
+             r % 23 = 9 AND r % 9 <> 4 AS untyped FROM al)"""
+_VIOLATIONS = {
+    "schema_version": "r % 13 = 6",
+    "status_column": "r % 5 = 1",
+    "coverage_warning": "r % 31 = 11 AND partial",
+    "trigger_in_complete": "trigger AND NOT partial",
+    "cut_in_complete": "cut AND NOT partial",
+    "cut_without_review": "cut AND NOT manual",
+    "cut_without_scan": "cut AND NOT rerun",
+    "partial_without_reason": "partial AND NOT trigger AND NOT cut",
+    "total": "losses <> doubles",
+    "blocking": "blocking_losses <> blocking_doubles",
+    "total_column": "r % 29 = 3",
+    "group_ids": "losses + doubles > 0",
+    "prompt_characters": "r % 17 = 7",
+    "prompt_content": "r % 19 = 8 AND r % 17 <> 7",
+}
+
+
+def _planned(spark, d):
     from quaylight.operators import publish
 
-    g = publish.plan(hosts.event_findings(spark, d), _summary(spark, d))
-    s = publish.plan_summary(g).select("repo_id", "plan_status", (F.col("plan_status") == "partial").alias("coverage_warning"), F.lit(False).alias("groups_truncated"))
-    return publish.plan_violations(s, g)
+    g = save(publish.plan(hosts.event_findings(spark, d), _summary(spark, d)))
+    return g, hosts.stored_plans(g, publish.plan_summary(g))
+
+
+@query(
+    _PLANNED
+    + """, s AS (
+      SELECT repo_id, r, untyped, bool_or(action_code IN ('MANUAL_REVIEW_REQUIRED', 'REVIEW_SCAN_COVERAGE', 'RESOLVE_SCAN_ERROR')) AS trigger, bool_or(action_code = 'MANUAL_REVIEW_REQUIRED') AS manual,
+             bool_or(action_code = 'RERUN_SECURITY_SCAN') AS rerun, r % 9 = 4 AS cut, count(*) FILTER (WHERE lost) AS losses, count(*) FILTER (WHERE twice) AS doubles,
+             count(*) FILTER (WHERE lost AND blocking) AS blocking_losses, count(*) FILTER (WHERE twice AND blocking) AS blocking_doubles FROM lost GROUP BY repo_id, r, untyped
+    ), t AS (SELECT *, trigger <> (r % 5 = 1) AS partial FROM s)
+    SELECT repo_id AS task_id, 'typed' AS violation FROM t WHERE untyped """
+    + " ".join(f"UNION ALL SELECT repo_id, '{k}' FROM t WHERE NOT untyped AND ({v})" for k, v in _VIOLATIONS.items())
+)
+def q_plan_violations(spark, d):
+    from quaylight.operators import stored
+
+    return stored.violations(stored.plan_facts(_planned(spark, d)[1]))
+
+
+@query(
+    _PLANNED
+    + """ SELECT repo_id AS task_id, action_code, CAST(finding_count AS BIGINT) AS finding_count, blocking, 'made' AS side FROM lost WHERE NOT untyped AND (lost OR miscounted)
+    UNION ALL SELECT repo_id, action_code, CAST(finding_count + CASE WHEN miscounted THEN 1 ELSE 0 END AS BIGINT), blocking, 'stored' FROM lost WHERE NOT untyped AND (twice OR miscounted)"""
+)
+def q_plan_differences(spark, d):
+    """Stored plans against plans made anew, as multisets, both ways."""
+    from quaylight.operators import stored
+
+    g, plans = _planned(spark, d)
+    facts = stored.plan_facts(plans)
+    made = g.withColumnRenamed("repo_id", "task_id").join(facts.where("typed").select("task_id"), "task_id", "left_semi")
+    columns = ["task_id", "action_code", "finding_count", "blocking"]
+    return stored.differences(stored.stored_groups(facts).select(columns), made.select(columns))
+
+
+@query(
+    """SELECT event_id AS task_id, (['not_json', 'not_an_object', 'score', 'score', 'score', 'score_before_caps', 'verdict', 'verdict', 'score_breakdown', 'coverage', 'score_caps', 'lists', 'schema_version'])[event_id % 16 - 2] AS reason
+    FROM events WHERE event_id % 16 >= 3"""
+)
+def q_rejected_assessments(spark, d):
+    from quaylight.operators import stored
+
+    return stored.rejected(stored.checked_assessments(hosts.stored_assessments(spark, d))).drop("body")
+
+
+@query(
+    """SELECT event_id AS task_id, event_id % 101 AS score, 'pass' AS verdict, (['GitHub Token', 'Given', 'X9'])[event_id % 16 + 1] AS rule_name, CAST(50 AS BIGINT) AS max_deduction, event_id % 7 AS deduction,
+    'complete' AS status, CAST(0 AS BIGINT) AS total_findings FROM events WHERE event_id % 16 < 3"""
+)
+def q_accepted_assessments(spark, d):
+    """Three versions of stored assessments under today's names."""
+    from quaylight.operators import stored
+
+    read = stored.accepted(stored.checked_assessments(hosts.stored_assessments(spark, d)))
+    first = F.col("score_breakdown")[0]
+    return read.select("task_id", "score", "verdict", first["rule_name"].alias("rule_name"), first["max_deduction"].alias("max_deduction"), first["deduction"].alias("deduction"), "coverage.status", "coverage.total_findings")
 
 
 _PATHS = ["a/b", "./a//b", "a\\b", "../x", "/etc/x", "~/x", "./~/x", "C:/x", "a`b", "a/./b/"]
