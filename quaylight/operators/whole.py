@@ -34,7 +34,8 @@ def walk(files: DataFrame) -> DataFrame:
     open_to_all = has_any(F.lower(text), security.ORIGIN_WORDS)
     hidden = _some_lines(S.lines_of(text), secrets.worth_a_look)
     open_lines = _some_lines(S.lines_of(text), lambda line: ~line.rlike(r"^\s*(#|//|$)") & security.any_of(line, security.CORS))
-    return files.withColumn("reason", S.reason_skipped()).select(
+    reason = F.coalesce("reason", S.reason_skipped()) if "reason" in files.columns else S.reason_skipped()  # a source may have told
+    return files.withColumn("reason", reason).select(
         "repo_id", "file_path", "length", "reason", F.when(good, S.line_count(text)).otherwise(0).alias("n_lines"),
         F.when(good & (deploy.is_named() | docs.is_named()), text).alias("content"),
         F.when(good & secrets.worth_a_look(text), hidden).alias("suspects"),
