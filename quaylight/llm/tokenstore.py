@@ -23,47 +23,42 @@ from quaylight.llm.common import save, shared_dir
 from quaylight.llm.warc import file_system
 
 MAGIC = b"QLRP0001"
-#: Tokens of a shard file, at least while there are more; and what decides on a pair.
+#: Tokens of a shard file, at least while there are more.
 SHARD_TOKENS = 2_000_000
-ROUNDS, PAIRS_A_ROUND, LEAST_COUNT = 6, 512, 24
+#: Occurrences that a pair needs for a rule. A rule takes 16 bytes and a use saves two, and where pairs overlap not all get used; fewer than this make files larger.
+LEAST_COUNT = 24
 FIRST_NONTERMINAL = 1 << 16
 #: Ranges of ids that are told apart, a task each; with more text a range fills more files.
 MOST_RANGES = 100_000
 
 
-def compress(ids: np.ndarray, owner: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, their documents and rules. A round replaces the most frequent pairs, counted anew, by nonterminals; pairs never cross documents.
+def compress(ids: np.ndarray, owner: np.ndarray, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, their documents and rules. Each round replaces all pairs of `least` occurrences or more by nonterminals, until there are none; pairs never cross documents.
 
     Where pairs overlap, the one further left among neighbours that are to be replaced goes first.
     """
     symbols, owner = ids.astype(np.int64), owner.astype(np.int32)
     rules: list[np.ndarray] = []
     made = 0
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
+    while len(symbols) > 1:
         pair = symbols[:-1] << 32 | symbols[1:]
         inside = owner[:-1] == owner[1:]
         every = np.sort(pair[inside])
-        if not len(every):
-            break
-        start = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
-        count = np.diff(np.append(start, len(every)))
-        often = np.flatnonzero(count >= LEAST_COUNT)
-        if not len(often):
+        start = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else every
+        chosen = every[start[np.diff(np.append(start, len(every))) >= least]]  # in order
+        if not len(chosen):
             break
-        often = often[np.lexsort((start[often], -count[often]))][:PAIRS_A_ROUND]
-        chosen = np.sort(every[start[often]])
         at = np.minimum(np.searchsorted(chosen, pair), len(chosen) - 1)
         place = np.flatnonzero((chosen[at] == pair) & inside)
         fresh = np.append(True, np.diff(place) != 1)
         place = place[(place - place[fresh][np.cumsum(fresh) - 1]) % 2 == 0]
-        symbols[place] = FIRST_NONTERMINAL + made + at[place]
+        used, number = np.unique(at[place], return_inverse=True)  # a pair that others overlap everywhere gets no rule
+        symbols[place] = FIRST_NONTERMINAL + made + number
         keep = np.ones(len(symbols), bool)
         keep[place + 1] = False
         symbols, owner = symbols[keep], owner[keep]
-        rules.append(np.stack((chosen >> 32, chosen & 0xFFFFFFFF), 1))
-        made += len(chosen)
+        rules.append(np.stack((chosen[used] >> 32, chosen[used] & 0xFFFFFFFF), 1))
+        made += len(used)
     return symbols, owner, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
 
 
