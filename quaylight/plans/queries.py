@@ -233,7 +233,7 @@ def q_assignments(spark, d):
 @query()
 def q_secret_scan(spark, d):
     f = hosts.corpus_files(spark, d).where(S.reason_skipped().isNull())
-    return resolve.number_findings(resolve.drop_overlaps(secrets.scan(f, S.explode_lines(f))))
+    return resolve.number_findings(resolve.drop_overlaps(secrets.scan(f, secrets.suspects(f))))
 
 
 @query()
