@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quaylight import vocabulary as V
 from quaylight.functions.text import has_any
 from quaylight.operators import deploy, docs, incomplete, lexer, resolve, secrets, security
 from quaylight.sources import files as S
@@ -23,11 +24,26 @@ def _some_lines(lines: Column, keep) -> Column:
     return F.array_compact(numbered)
 
 
-def walk(files: DataFrame) -> DataFrame:
+def chosen(rules: list[str] | None) -> set[str]:
+    """The ids of rules given by their beginnings ("R", "I001", a whole id); all for None. An unknown one is an error."""
+    every = [r[0] for r in V.RULES]
+    out = {r for r in every if rules is None or r.startswith(tuple(rules))}
+    if unknown := [x for x in rules or [] if not any(r.startswith(x) for r in every)]:
+        raise ValueError(f"no such rules: {unknown}")
+    return out
+
+
+def _some(rules: set[str], letters: str) -> bool:
+    return any(r[0] in letters for r in rules)
+
+
+def walk(files: DataFrame, rules: list[str] | None = None) -> DataFrame:
     """(repo_id, file_path, length, reason, n_lines, content, suspects, configs), a row a file; content only of files that are read whole.
 
     suspects and configs are the lines that secrets.worth_a_look() and security.config_lines() take; a file without any isn't cut into lines.
+    What none of the rules reads is null and costs nothing.
     """
+    use = chosen(rules)
     text = F.col("content").cast("string")
     good = F.col("reason").isNull()
     config = S.suffix().isin(security.CONFIG_SUFFIXES) & ~S.in_folders("file_path", lexer.EXCLUDED_FOLDERS, lower=True)
@@ -37,9 +53,9 @@ def walk(files: DataFrame) -> DataFrame:
     reason = F.coalesce("reason", S.reason_skipped()) if "reason" in files.columns else S.reason_skipped()  # a source may have told
     return files.withColumn("reason", reason).select(
         "repo_id", "file_path", "length", "reason", F.when(good, S.line_count(text)).otherwise(0).alias("n_lines"),
-        F.when(good & (deploy.is_named() | docs.is_named()), text).alias("content"),
-        F.when(good & secrets.worth_a_look(text), hidden).alias("suspects"),
-        F.when(good & config & open_to_all, open_lines).alias("configs"),
+        (F.when(good & (deploy.is_named() | docs.is_named()), text) if _some(use, "DC") else F.lit(None).cast("string")).alias("content"),
+        (F.when(good & secrets.worth_a_look(text), hidden) if _some(use, "R") else F.lit(None).cast(_LINE)).alias("suspects"),
+        (F.when(good & config & open_to_all, open_lines) if _some(use, "B") else F.lit(None).cast(_LINE)).alias("configs"),
     )
 
 
@@ -55,19 +71,36 @@ def _lines(walked: DataFrame, column: str) -> DataFrame:
     return walked.select("repo_id", "file_path", F.explode(column).alias("x")).select("repo_id", "file_path", "x.line_no", "x.line")
 
 
-def scan(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The findings of all dimensions over files (repo_id, file_path, content, length), and the walked files.
+def scan(files: DataFrame, rules: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The findings of rules over files (repo_id, file_path, content, length), and the walked files. rules as in chosen(): all dimensions for None.
 
-    Both are saved tables. Findings of lines are limited and masked; only those of R and I push out one another where they overlap.
+    Both are saved tables. Findings of lines are limited and masked; only those of R and I push out one another where
+    they overlap, and rules that aren't chosen push out none. Sources are lexed only for I, D and B.
     """
-    walked, code = save(walk(files)), save(relevant_lines(files))
+    use = chosen(rules)
+    walked = save(walk(files, rules))
+    code = save(relevant_lines(files)) if _some(use, "IDB") else None
     read = walked.where("reason is null")
-    lines = secrets.limited(secrets.one_pass(read, _lines(walked, "suspects")).unionByName(incomplete.found(code)))
-    found = resolve.drop_overlaps(lines)
-    for more in (deploy.scan(read, code), security.scan(code, _lines(walked, "configs")), docs.scan(read, walked)):
+    parts = []
+    if _some(use, "R"):
+        parts.append(secrets.one_pass(read, _lines(walked, "suspects")))
+    if _some(use, "I"):
+        parts.append(incomplete.found(code))
+    if parts:
+        lines = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        parts = [resolve.drop_overlaps(secrets.limited(lines.where(F.col("rule_id").isin(*use))))]
+    if _some(use, "D"):
+        parts.append(deploy.scan(read, code))
+    if _some(use, "B"):
+        parts.append(security.scan(code, _lines(walked, "configs")))
+    if _some(use, "C"):
+        parts.append(docs.scan(read, walked))
+    found = parts[0]
+    for more in parts[1:]:
         found = found.unionByName(more)
-    out = save(found)
-    discard(code)
+    out = save(found.where(F.col("rule_id").isin(*use)))
+    if code is not None:
+        discard(code)
     return out, walked
 
 

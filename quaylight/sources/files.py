@@ -56,6 +56,14 @@ def archive_kind(content: Column) -> Column:
     return F.when(F.startswith(content, F.lit(b"PK\x03\x04")), "zip").when(F.startswith(content, F.lit(b"\x1f\x8b")), "gzip")
 
 
+def upload_refused(name: str | Column, content: Column) -> Column:
+    """Why an uploaded archive isn't opened, or null: no name, a suffix of no known kind, bytes of another kind than the suffix says, or too many of them."""
+    low = F.lower(F.trim(F.col(name) if isinstance(name, str) else name))
+    said = F.when(low.endswith(".zip"), "zip").when(low.endswith(".tar.gz") | low.endswith(".tgz"), "gzip")
+    fits = F.coalesce(archive_kind(content) == said, F.lit(False))
+    return F.when(F.coalesce(low, F.lit("")) == "", "name").when(said.isNull(), "suffix").when(~fits, "magic").when(F.octet_length(content) > V.MAX_ARCHIVE_BYTES, "archive_size")
+
+
 def unsafe_member(name: str | Column) -> Column:
     """Why a member's name is refused, or null."""
     n = F.col(name) if isinstance(name, str) else name
@@ -73,7 +81,8 @@ def archive_members(archives: DataFrame) -> DataFrame:
     """(repo_id, member_no, name, kind, size, content) of tar.gz and zip archives given as (repo_id, content).
 
     kind is file, folder, link or other. A member's content is read only if it is a file within the size limit. A
-    broken archive gives one row of kind broken, after the members before the break.
+    broken archive gives one row of kind broken, after the members before the break. Reading ends with the member that
+    brings an archive over the limit of files or bytes, since admitted() refuses it whole: what follows isn't unpacked.
     """
 
     def members(raw: bytes) -> Iterator[tuple[str, str, int, bytes | None]]:
@@ -98,11 +107,13 @@ def archive_members(archives: DataFrame) -> DataFrame:
         schema = pa.schema([("repo_id", pa.string()), ("member_no", pa.int64()), ("name", pa.string()), ("kind", pa.string()), ("size", pa.int64()), ("content", pa.binary())])
         for batch in batches:
             for repo, raw in zip(batch.column("repo_id").to_pylist(), batch.column("content").to_pylist()):
-                no = 0
+                no = files = total = 0
                 try:
                     for name, kind, size, data in members(raw or b""):
                         yield pa.RecordBatch.from_pylist([{"repo_id": repo, "member_no": no, "name": name, "kind": kind, "size": size, "content": data}], schema)
-                        no += 1
+                        no, files, total = no + 1, files + (kind == "file"), total + (size if kind == "file" else 0)
+                        if files > V.MAX_FILES or total > V.MAX_TOTAL_BYTES or size > V.MAX_FILE_BYTES:
+                            break
                 except (ValueError, OSError, EOFError, tarfile.TarError, zipfile.BadZipFile, NotImplementedError):
                     yield pa.RecordBatch.from_pylist([{"repo_id": repo, "member_no": no, "name": None, "kind": "broken", "size": 0, "content": None}], schema)
 

@@ -63,7 +63,7 @@ def test_findings_of_lines_are_masked_and_limited(spark, files):
         todo = [r for r in rows if r["rule_id"].startswith("I001") and r["file_path"] == "many.py"]
         assert sorted(r["line_start"] for r in todo) == list(range(1, 101))
         assert [r["snippet_masked"] for r in rows if r["rule_id"].startswith("I001") and r["repo_id"] == "b"] == ['# TODO password = "<REDACTED>"']
-    line = f"db.query('SELECT a FROM t WHERE password=\"{SECRET}\" and x=' + req.query.x); password = \"{SECRET}\""
+    line = f"db.query('SELECT a FROM t WHERE x=' + req.query.x); password = \"{SECRET}\""
     one = spark.createDataFrame([("r", "s.js", line + "\n")], "repo_id string, file_path string, content string")
     snippets = [r["snippet_masked"] for r in security.scan(lexer.lex(one), security.config_lines(one)).where("rule_id like 'B005%'").collect()]
     assert len(snippets) == 1 and SECRET not in snippets[0]
@@ -115,3 +115,17 @@ def test_lines_end_where_python_ends_them(spark):
         want = re.split("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", t.removeprefix("\ufeff"))
         want = want[:-1] if want[-1] == "" else want
         assert got[i] == (want, len(want)), t
+
+
+def test_chosen_rules_are_planned_and_found_alone(spark, files, monkeypatch):
+    every = whole.scan(files)[0].collect()
+    lexed = []
+    monkeypatch.setattr(whole, "relevant_lines", lambda f, real=whole.relevant_lines: lexed.append(1) or real(f))
+    for rules, lexes in ((["R"], 0), (["C", "R009"], 0), (["I001"], 1), (["D"], 1), (["B004_PERMISSIVE_CORS"], 1)):
+        lexed.clear()
+        got = whole.scan(files, rules)[0].collect()
+        assert key(got) == key([r for r in every if r["rule_id"].startswith(tuple(rules))]) and len(lexed) == lexes, rules
+    plan = whole.walk(files, ["I"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "ghp_" not in plan and "ghp_" in whole.walk(files)._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(ValueError):
+        whole.scan(files, ["Z001"])
