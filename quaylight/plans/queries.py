@@ -218,14 +218,25 @@ def q_key_class(spark, d):
     return hosts.read(spark, d, "documents").select("doc_id", T.key_class(key).alias("class"))
 
 
-@query()
+@query(
+    """WITH b AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN repeat(substr(sha256(CAST(doc_id AS VARCHAR)), 1, 4), 9) ELSE substr(sha256(CAST(doc_id AS VARCHAR)), 1, 36) END AS body FROM documents)
+    SELECT doc_id, len(list_filter([1, 2, 3, 4], lambda k: repeat(substr(body, 1, k), 36 // k) = body)) > 0 AS low FROM b"""
+)
 def q_low_entropy(spark, d):
     h = F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 4)
     body = F.when(F.col("doc_id") % 2 == 0, F.repeat(h, 9)).otherwise(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 36))
     return hosts.read(spark, d, "documents").select("doc_id", T.is_low_entropy(F.concat(F.lit("ghp_"), body), 4).alias("low"))
 
 
-@query()
+@query(
+    f"""WITH corpus AS ({hosts.CORPUS_SQL}), p AS (SELECT doc_id, (doc_id // 10) % 10 AS kind, sha256(CAST(doc_id AS VARCHAR)) AS h FROM corpus),
+    a AS (SELECT doc_id, 'password' AS key, substr(h, 1, 12) AS value, true AS quoted, 12 AS start FROM p WHERE kind = 3
+    UNION ALL SELECT doc_id, 'api_key', substr(h, 1, 20) || '-x', false, 10 FROM p WHERE kind = 4
+    UNION ALL SELECT doc_id, 'aws_secret_access_key', substr(h, 1, 40), true, 23 FROM p WHERE kind = 6
+    UNION ALL SELECT doc_id, 'token', 'changeme', false, 8 FROM p WHERE kind = 7
+    UNION ALL SELECT doc_id, 'TOKEN_LIMIT', substr(h, 1, 9), false, 12 FROM p WHERE kind = 8)
+    SELECT doc_id, key, value, quoted, CAST(start AS BIGINT) AS start, CAST(start + length(value) AS BIGINT) AS "end", '=' AS op FROM a"""
+)
 def q_assignments(spark, d):
     return hosts.planted_lines(spark, d).select("doc_id", F.explode(T.assignments("line")).alias("a")).select("doc_id", "a.*")
 
