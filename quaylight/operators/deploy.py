@@ -16,6 +16,7 @@ from quaylight.functions.text import has_any
 from quaylight.operators.lexer import EXCLUDED_FOLDERS
 from quaylight.operators.secrets import findings_of
 from quaylight.sources.files import ENV_EXAMPLES, base_name, explode_lines, in_folders, suffix
+from quaylight.storage import save
 
 # Names of files and patterns of texts.
 READMES = ["readme", "readme.md", "readme.rst", "readme.txt"]
@@ -77,7 +78,7 @@ def dockerfiles(files: DataFrame) -> DataFrame:
         F.max_by(F.regexp_extract("s", r"(?i)^USER\s+(.+)$", 1), F.when(F.col("s").rlike(r"(?i)^USER\s+\S"), F.col("line_no"))).alias("user"),
     )
     every = files.where(is_dockerfile(F.lower(base_name()))).select("repo_id", "file_path")
-    return every.join(made, ["repo_id", "file_path"], "left").withColumn("has_from", F.coalesce(F.col("base") != "", F.lit(False))).withColumn("has_start", F.coalesce("has_start", F.lit(False)))
+    return every.join(made.hint("merge"), ["repo_id", "file_path"], "left").withColumn("has_from", F.coalesce(F.col("base") != "", F.lit(False))).withColumn("has_start", F.coalesce("has_start", F.lit(False)))
 
 
 def compose(files: DataFrame) -> DataFrame:
@@ -192,12 +193,12 @@ def _folder(path: Column) -> Column:
 def unlocked(facts: DataFrame, wrappers: DataFrame) -> DataFrame:
     """(repo_id, file_path) of D003: Node manifests without a lock in their own folder, and for others the first manifest of an unlocked ecosystem."""
     node = facts.where("ecosystem = 'node'").withColumn("folder", _folder(F.col("file_path")))
-    bare = node.where("is_manifest and has_dependencies").join(node.where("locked").select("repo_id", "folder").distinct(), ["repo_id", "folder"], "left_anti").select("repo_id", "file_path")
+    bare = node.where("is_manifest and has_dependencies").join(node.where("locked").select("repo_id", "folder").distinct().hint("merge"), ["repo_id", "folder"], "left_anti").select("repo_id", "file_path")
     is_m, req = F.col("is_manifest"), F.lower(base_name()).rlike(r"^requirements.*\.txt$")
     eco = facts.where(F.col("ecosystem").isin(ECOSYSTEMS)).groupBy("repo_id", "ecosystem").agg(
         F.min(F.when(is_m, F.col("file_path"))).alias("file_path"), F.bool_or("has_dependencies").alias("wanted"), F.bool_or(F.col("locked") & ~is_m).alias("lock"),
         F.coalesce(F.bool_and(F.when(req & F.col("has_dependencies"), F.col("exact"))), F.lit(False)).alias("pinned"), F.bool_and("exact").alias("exact"), F.bool_or("application").alias("app"),
-    ).join(wrappers, "repo_id", "left")
+    ).join(wrappers.hint("merge"), "repo_id", "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     locked = (
         F.when(F.col("ecosystem") == "python", F.col("lock") | F.col("pinned"))
@@ -269,13 +270,13 @@ def state(files: DataFrame, lexed: DataFrame, facts: DataFrame, docker: DataFram
 
 
 def scan(files: DataFrame, lexed: DataFrame) -> DataFrame:
-    """All D findings of the repositories in files (repo_id, file_path, content as text); lexed has the relevant() lines at least.
+    """All D findings of the repositories in files (repo_id, file_path, content as text); lexed has the relevant() lines at least. Both are read several times, so they should be saved tables.
 
     Only is_named() files need their content.
     """
     own = files.where(~in_folders("file_path", EXCLUDED_FOLDERS, lower=True))
-    facts, docker = manifests(own), dockerfiles(own)
-    r = state(files, lexed, facts, docker)
+    facts, docker = save(manifests(own)), save(dockerfiles(own))
+    r = save(state(files, lexed, facts, docker))
     yes = {c: F.col(c) for c in [*FLAGS, *FIRST_PATHS]}
     documented = yes["readme"].isNotNull() & yes["doc"] & yes["command"] & yes["needs"]
     has_compose = yes["compose_path"].isNotNull()
@@ -303,7 +304,7 @@ def scan(files: DataFrame, lexed: DataFrame) -> DataFrame:
         ("D009", F.col("has_from") & ~F.col("has_start") & ~yes["compose_start"], path),
     ]
     found = broken(r, of_repository)
-    found = found.unionByName(broken(docker.join(r.select("repo_id", "compose_start", "compose_root", "compose_other"), "repo_id"), of_dockerfile))
+    found = found.unionByName(broken(docker.join(r.select("repo_id", "compose_start", "compose_root", "compose_other").hint("merge"), "repo_id"), of_dockerfile))
     found = found.unionByName(broken(facts, [("D010", ~F.col("valid"), path)])).unionByName(unlocked(facts, r).withColumn("rule", F.lit("D003")))
     at = found.select("repo_id", "file_path", none.alias("line_no"), none.alias("start"), none.alias("end"), F.lit(SNIPPET).alias("line"), "rule")
     return findings_of(at, [f"D{k:03d}" for k in range(1, 11)])

@@ -538,7 +538,8 @@ def q_lexer_comments(spark, d):
 
 @query(planted.INCOMPLETE_SQL)
 def q_incomplete_rules(spark, d):
-    return incomplete.scan(lexer.lex(planted.repositories(spark, d))).select("repo_id", "rule_id", "file_path", "line_start", "snippet_masked")
+    code = save(lexer.lex(planted.repositories(spark, d)).where(incomplete.relevant()))
+    return incomplete.scan(code).select("repo_id", "rule_id", "file_path", "line_start", "snippet_masked")
 
 
 @query()
@@ -559,7 +560,8 @@ def q_corpus_incomplete(spark, d):
     f = hosts.corpus_files(spark, d).where(S.suffix().isin(_SOURCE_SUFFIXES))
     mark = F.concat(F.when(S.suffix() == ".py", "# ").otherwise("// "), F.lit("TODO "), F.col("doc_id").cast("string"), F.lit(' token = "'), F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 20), F.lit('"'))
     planted_file = f.withColumn("content", F.concat("content", F.lit("\n"), mark))
-    return incomplete.scan(lexer.lex(planted_file)).where("rule_id = 'I001_TODO_COMMENT'").select("repo_id", "file_path", "rule_id", "line_start", "snippet_masked")
+    code = save(lexer.lex(planted_file).where(incomplete.relevant()))
+    return incomplete.scan(code).where("rule_id = 'I001_TODO_COMMENT'").select("repo_id", "file_path", "rule_id", "line_start", "snippet_masked")
 
 
 def card_of(files: DataFrame) -> DataFrame:
@@ -606,8 +608,9 @@ def q_planted_summary(spark, d):
 def q_d00x_repo_flags(spark, d):
     from quaylight.operators import deploy
 
-    f = planted.repositories(spark, d)
-    return deploy.scan(f, lexer.lex(f)).select("repo_id", "rule_id", "file_path")
+    files = planted.repositories(spark, d)
+    walked, code = save(whole.walk(files, ["D"])), save(whole.relevant_lines(files))
+    return deploy.scan(walked.where("reason is null"), code).select("repo_id", "rule_id", "file_path")
 
 
 @query(planted.SECURITY_SQL)
@@ -615,7 +618,7 @@ def q_b00x_security(spark, d):
     from quaylight.operators import security
 
     f = planted.repositories(spark, d)
-    return security.scan(lexer.lex(f), security.config_lines(f)).select("repo_id", "rule_id", "file_path", "line_start")
+    return security.scan(save(whole.relevant_lines(f)), save(security.config_lines(f))).select("repo_id", "rule_id", "file_path", "line_start")
 
 
 @query(planted.LOCKS_SQL)
@@ -638,7 +641,8 @@ def q_docker_last_stage(spark, d):
 def q_c00x_documentation(spark, d):
     from quaylight.operators import docs
 
-    return docs.scan(planted.repositories(spark, d)).select("repo_id", "rule_id", "file_path", "line_start")
+    walked = save(whole.walk(planted.repositories(spark, d), ["C"]))
+    return docs.scan(walked.where("reason is null"), walked).select("repo_id", "rule_id", "file_path", "line_start")
 
 
 @query(planted.README_SQL)

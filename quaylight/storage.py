@@ -33,6 +33,15 @@ def save(df: DataFrame) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df, whose rows can be counted cheaply (a saved or given table), dealt by keys into parts of some `rows` rows.
+
+    Parts that Spark sizes itself are by compressed bytes, so small rows that look alike come millions to a task.
+    """
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.repartition(parts, *keys)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of save() that nothing will read again."""
     for t in tables:

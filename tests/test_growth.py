@@ -1,5 +1,7 @@
 """What must not grow with the tables: rows of a circle of includes, and rows, texts and partitions that one task holds."""
 
+from pyspark.sql import functions as F
+
 from quaylight.operators import docs
 
 
@@ -19,3 +21,22 @@ def test_includes_end_at_their_depth(spark):
     chain = spark.createDataFrame([("r", str(k), str(k + 1)) for k in range(12)], "repo_id string, _from string, _to string")
     got = docs.included(spark.createDataFrame([("r", "0")], "repo_id string, file_path string"), chain).collect()
     assert sorted(int(r["file_path"]) for r in got) == list(range(9))
+
+
+def test_joins_that_grow_are_not_broadcast(spark):
+    """Small tables, which Spark would broadcast by itself: tables of a row a file reach that size compressed and are many times it in the driver."""
+    from quaylight.operators import lexer, security
+
+    files = spark.createDataFrame([("r", "src/a.js", "app.get('/x', f)\n")], "repo_id string, file_path string, content string")
+    plan = security.scan(lexer.lex(files), security.config_lines(files))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_planted_repositories_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    from quaylight.plans import planted
+
+    monkeypatch.setattr(planted, "KEYS_A_TASK", 10, raising=False)
+    spark.range(205).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    made = planted.repositories(spark, str(tmp_path))
+    assert made.select(F.spark_partition_id()).distinct().count() == 21
+    assert made.select("repo_id").distinct().count() == 205
