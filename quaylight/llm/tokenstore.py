@@ -32,33 +32,51 @@ FIRST_NONTERMINAL = 1 << 16
 MOST_RANGES = 100_000
 
 
+def kinds_of(values: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different values, ascending, and the place of each among them, as np.unique gives; all are below end, so nothing is sorted."""
+    there = np.zeros(end, bool)
+    there[values] = True
+    return np.flatnonzero(there), (np.cumsum(there) - 1)[values]
+
+
 def compress(ids: np.ndarray, owner: np.ndarray, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, their documents and rules. Each round replaces all pairs of `least` occurrences or more by nonterminals, until there are none; pairs never cross documents.
 
-    Where pairs overlap, the one further left among neighbours that are to be replaced goes first.
+    Where pairs overlap, the one further left among neighbours that are to be replaced goes first. A pair that was too rare
+    stays so, as its count only falls: after the first round only pairs with a new symbol are counted, and those that were
+    to be replaced and are left.
     """
     symbols, owner = ids.astype(np.int64), owner.astype(np.int32)
     rules: list[np.ndarray] = []
-    made = 0
-    while len(symbols) > 1:
-        pair = symbols[:-1] << 32 | symbols[1:]
-        inside = owner[:-1] == owner[1:]
-        every = np.sort(pair[inside])
+    made, bits = 0, 16
+    live = np.flatnonzero(owner[:-1] == owner[1:])  # where the pairs begin that can have enough occurrences
+    while len(live):
+        pair = symbols[live] << bits | symbols[live + 1]
+        if not made:
+            pair = pair.astype(np.uint32)  # of ids alone: half the bytes to sort and search
+        every = np.sort(pair)
         start = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else every
         chosen = every[start[np.diff(np.append(start, len(every))) >= least]]  # in order
         if not len(chosen):
             break
         at = np.minimum(np.searchsorted(chosen, pair), len(chosen) - 1)
-        place = np.flatnonzero((chosen[at] == pair) & inside)
+        hit = chosen[at] == pair
+        place, at = live[hit], at[hit]
+        hot = np.zeros(len(symbols), bool)
+        hot[place] = True
         fresh = np.append(True, np.diff(place) != 1)
-        place = place[(place - place[fresh][np.cumsum(fresh) - 1]) % 2 == 0]
-        used, number = np.unique(at[place], return_inverse=True)  # a pair that others overlap everywhere gets no rule
+        first = (place - place[fresh][np.cumsum(fresh) - 1]) % 2 == 0
+        place = place[first]
+        used, number = kinds_of(at[first], len(chosen))  # a pair that others overlap everywhere gets no rule
         symbols[place] = FIRST_NONTERMINAL + made + number
         keep = np.ones(len(symbols), bool)
         keep[place + 1] = False
-        symbols, owner = symbols[keep], owner[keep]
-        rules.append(np.stack((chosen[used] >> 32, chosen[used] & 0xFFFFFFFF), 1))
-        made += len(used)
+        symbols, owner, hot = symbols[keep], owner[keep], hot[keep]
+        hot |= symbols >= FIRST_NONTERMINAL + made
+        hot[:-1] |= symbols[1:] >= FIRST_NONTERMINAL + made
+        live = np.flatnonzero(hot[:-1] & (owner[:-1] == owner[1:]))
+        rules.append(np.stack((chosen[used] >> bits, chosen[used] & (1 << bits) - 1), 1).astype(np.int64))
+        made, bits = made + len(used), 32
     return symbols, owner, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
 
 
@@ -75,20 +93,23 @@ def expansion_lengths(rules: np.ndarray) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
-    """The ids that symbols stand for."""
-    symbols = symbols.astype(np.int64)
-    while len(symbols):
-        number = symbols - FIRST_NONTERMINAL
+    """The ids that symbols stand for. Each kind of symbol is expanded once, a level of the grammar at a time, and copied to its places."""
+    kinds, code = kinds_of(symbols.astype(np.int64), FIRST_NONTERMINAL + len(rules))
+    flat, owner = kinds, np.arange(len(kinds))
+    while len(flat):
+        number = flat - FIRST_NONTERMINAL
         wide = number >= 0
         if not wide.any():
             break
         size = 1 + wide
         first = np.cumsum(size) - size
-        out = np.repeat(symbols, size)
+        out = np.repeat(flat, size)
         out[first[wide]] = rules[number[wide], 0]
         out[first[wide] + 1] = rules[number[wide], 1]
-        symbols = out
-    return symbols
+        flat, owner = out, np.repeat(owner, size)
+    sizes = np.bincount(owner, minlength=len(kinds))
+    begin, n = (np.cumsum(sizes) - sizes)[code], sizes[code]
+    return flat[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
 
 def shard_bytes(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
@@ -100,7 +121,7 @@ def shard_bytes(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
     symbols, owner, rules = compress(flat, np.repeat(np.arange(len(ids)), sizes))
     first = np.searchsorted(owner, np.arange(len(ids)))
     # the commonest kinds of symbol get two bytes: ids and nonterminals are numbered together where they fit
-    names, code = np.unique(symbols, return_inverse=True)
+    names, code = kinds_of(symbols, FIRST_NONTERMINAL + len(rules))
     width = 2 if len(names) <= 1 << 16 else 4
     parts = [struct.pack("<6q", len(ids), len(symbols), len(rules), FIRST_NONTERMINAL, width, len(names))]
     parts += [rules.astype("<u4").tobytes(), expansion_lengths(rules).astype("<u4").tobytes()]

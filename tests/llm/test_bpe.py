@@ -168,3 +168,16 @@ def test_grammar_ends_when_no_pair_is_frequent():
         assert np.where(own >= tokenstore.FIRST_NONTERMINAL, lengths[np.maximum(own - tokenstore.FIRST_NONTERMINAL, 0)], 1).sum() == len(texts[k])
     everything = np.concatenate((symbols, rules.ravel()))
     assert set(range(len(rules))) == set((everything[everything >= tokenstore.FIRST_NONTERMINAL] - tokenstore.FIRST_NONTERMINAL).tolist())  # no rule without a use
+
+
+def test_rounds_of_the_grammar_count_only_pairs_that_can_be_frequent(monkeypatch):
+    """Later rounds sort new pairs, not all again; the grammar is that of counting all."""
+    rng = np.random.default_rng(5)
+    flat = np.concatenate([np.tile(rng.integers(0, 50, 40), 30), rng.integers(0, 3000, 30_000)])
+    owner = np.arange(len(flat)) // 900
+    sorted_ = []
+    plain = np.sort
+    monkeypatch.setattr(tokenstore.np, "sort", lambda x, *a, **k: (sorted_.append(len(x)), plain(x, *a, **k))[1])
+    symbols, _, rules = tokenstore.compress(flat, owner)
+    assert len(rules) > 30 and len(sorted_) > 3 and sum(sorted_) < 1.5 * len(flat)
+    assert (tokenstore.expand(symbols, rules) == flat).all()
