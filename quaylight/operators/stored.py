@@ -93,10 +93,15 @@ def reason_rejected(v: Column) -> Column:
     return F.coalesce(*[F.when(~ok, F.lit(name)) if name != "not_json" else F.when(v.isNull(), F.lit(name)) for name, ok in tests.items()])
 
 
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once a row. As a plain column, Spark would put its expression into each of those that use it, a parse for each test."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def checked_assessments(stored: DataFrame) -> DataFrame:
     """stored (task_id, body) with v, the body as VARIANT, and reason: null for those that can be read. One reading serves both sides."""
-    parsed = stored.withColumn("v", F.try_parse_json("body"))
-    return parsed.withColumn("reason", reason_rejected(F.col("v")))
+    parsed = once(stored, "v", F.try_parse_json("body"))
+    return once(parsed, "reason", reason_rejected(F.col("v")))
 
 
 def rejected(checked: DataFrame) -> DataFrame:
@@ -207,7 +212,8 @@ def plan_facts(stored: DataFrame) -> DataFrame:
 
     as_type = lambda ddl: ", ".join(f"{n}: {t}" for n, t in _fields(ddl))
     parsed = F.from_json("body", f"{top}, summary struct<{as_type(_SUMMARY)}>, repair_groups array<struct<{as_type(_GROUP)}>>")
-    rows = stored.withColumn("v", F.try_parse_json("body")).withColumn("typed", typed & F.forall(_items(v, "$.repair_groups"), group)).drop("v").withColumn("p", parsed)
+    rows = once(once(stored, "v", F.try_parse_json("body")), "typed", typed & F.forall(_items(v, "$.repair_groups"), group)).drop("v")
+    rows = once(rows, "p", parsed)
     after = F.when(F.instr("p.agent_prompt", PROMPT_HEAD) > 0, F.substring_index("p.agent_prompt", PROMPT_HEAD, -1)).otherwise("")
     clean = ~after.rlike("|".join(f"(?:{p})" for p in PROMPT_PATTERNS))
     for word in PROMPT_FIELDS:

@@ -40,3 +40,13 @@ def test_planted_repositories_are_dealt_by_their_number(spark, tmp_path, monkeyp
     made = planted.repositories(spark, str(tmp_path))
     assert made.select(F.spark_partition_id()).distinct().count() == 21
     assert made.select("repo_id").distinct().count() == 205
+
+
+def test_a_stored_body_is_parsed_once_a_row(spark):
+    """Between the parse and the tests that read it stands a step that Spark doesn't merge with them."""
+    from quaylight.operators import stored
+
+    rows = spark.createDataFrame([(1, '{"score": '), (2, "[1]"), (3, None)], "task_id long, body string")
+    made = stored.rejected(stored.checked_assessments(rows))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 2
+    assert sorted((r["task_id"], r["reason"]) for r in made.collect()) == [(1, "not_json"), (2, "not_an_object"), (3, "not_json")]
