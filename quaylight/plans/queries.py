@@ -13,7 +13,7 @@ from quaylight.functions import text as T
 from quaylight.operators import incomplete, lexer, repair, resolve, scoring, secrets, tasks, views, whole
 from quaylight.plans import hosts, planted
 from quaylight.sources import files as S
-from quaylight.storage import save
+from quaylight.storage import save, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -770,7 +770,8 @@ def _planned(spark, d):
     from quaylight.operators import publish
 
     g = save(publish.plan(hosts.event_findings(spark, d), _summary(spark, d)))
-    return g, hosts.stored_plans(g, publish.plan_summary(g))
+    # bodies are small when compressed, so Spark would give nearly all of them to one task to parse
+    return g, spread(save(hosts.stored_plans(g, publish.plan_summary(g))), 10_000, "task_id")
 
 
 @query(
@@ -799,7 +800,7 @@ def q_plan_differences(spark, d):
     from quaylight.operators import stored
 
     g, plans = _planned(spark, d)
-    facts = stored.plan_facts(plans)
+    facts = save(stored.plan_facts(plans).select("task_id", "typed", "p"))
     made = g.withColumnRenamed("repo_id", "task_id").join(facts.where("typed").select("task_id"), "task_id", "left_semi")
     columns = ["task_id", "action_code", "finding_count", "blocking"]
     return stored.differences(stored.stored_groups(facts).select(columns), made.select(columns))
