@@ -59,12 +59,18 @@ def walk(files: DataFrame, rules: list[str] | None = None) -> DataFrame:
     )
 
 
-def relevant_lines(files: DataFrame) -> DataFrame:
-    """Lexed lines that some rule needs, and all lines of files that import a rate limiter, whose calls have any name."""
+def relevant_lines(files: DataFrame, rules: list[str] | None = None) -> DataFrame:
+    """Lexed lines that some of the rules needs, and for B all lines of files that import a rate limiter, whose calls have any name. Sources in which none of them finds a word aren't lexed."""
+    use = chosen(rules)
     low = F.lower(F.col("content").cast("string"))
-    some = files.where(lexer.is_source() & S.reason_skipped().isNull() & (incomplete.may_have(low) | deploy.may_have(low) | security.may_have(low)))
-    lexed = lexer.lex(some, low.contains("express-rate-limit"))
-    return lexed.where(F.col("whole") | incomplete.relevant() | deploy.relevant() | security.relevant()).drop("whole")
+    words, need, limiter = F.lit(False), F.col("whole"), F.lit(False)
+    for letter, dimension in (("I", incomplete), ("D", deploy), ("B", security)):
+        if _some(use, letter):
+            words, need = words | dimension.may_have(low), need | dimension.relevant()
+    if _some(use, "B"):
+        limiter = low.contains("express-rate-limit")
+    some = files.where(lexer.is_source() & S.reason_skipped().isNull() & words)
+    return lexer.lex(some, limiter).where(need).drop("whole")
 
 
 def _lines(walked: DataFrame, column: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaylight.storage import spread
+from quaylight.storage import small_parts, spread
 
 _README = """# Tool~~This tool collects numbers from many places and shows them on one page, so that nobody has to look for them by hand.~~Requirements: node. Deploy to production with npm start.~~## Built with~~- React~~## Usage~~```~npm run build~make all~python src/tool.py~```~~## Project structure~~```~src/app.js~src/gone.js~```~"""
 _SECRET = "substr(md5(CAST(n AS STRING)), 1, 12)"
@@ -59,6 +59,7 @@ KEYS_A_TASK = 8192
 
 def repositories(spark: SparkSession, folder: str) -> DataFrame:
     """(repo_id, file_path, content, length)."""
+    small_parts(spark)
     each = ", ".join(f"CASE WHEN {when} THEN named_struct('file_path', '{path}', 'content', replace({text}, '~', chr(10))) END" for path, when, text in FILES)
     keys = spread(spark.read.parquet(f"{folder}/customer.parquet").select(F.col("c_custkey").cast("long").alias("n"), F.col("c_custkey").cast("string").alias("repo_id")), KEYS_A_TASK, "repo_id")
     made = keys.select("repo_id", F.explode(F.expr(f"array_compact(array({each}))")).alias("f"))

@@ -609,7 +609,7 @@ def q_d00x_repo_flags(spark, d):
     from quaylight.operators import deploy
 
     files = planted.repositories(spark, d)
-    walked, code = save(whole.walk(files, ["D"])), save(whole.relevant_lines(files))
+    walked, code = save(whole.walk(files, ["D"])), save(whole.relevant_lines(files, ["D"]))
     return deploy.scan(walked.where("reason is null"), code).select("repo_id", "rule_id", "file_path")
 
 
@@ -618,7 +618,7 @@ def q_b00x_security(spark, d):
     from quaylight.operators import security
 
     f = planted.repositories(spark, d)
-    return security.scan(save(whole.relevant_lines(f)), save(security.config_lines(f))).select("repo_id", "rule_id", "file_path", "line_start")
+    return security.scan(save(whole.relevant_lines(f, ["B"])), save(security.config_lines(f))).select("repo_id", "rule_id", "file_path", "line_start")
 
 
 @query(planted.LOCKS_SQL)

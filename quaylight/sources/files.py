@@ -44,7 +44,7 @@ def in_folders(path: str | Column, names: list[str], lower: bool = False) -> Col
 
 
 def base_name(path: str | Column = "file_path") -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+    return F.substring_index(path, "/", -1)
 
 
 def suffix(path: str | Column = "file_path") -> Column:
@@ -150,7 +150,7 @@ def allowed_redirect(url: str | Column) -> Column:
 
 def reason_skipped() -> Column:
     """Why a file of (file_path, length, content) isn't scanned, in the order of the tests, or null."""
-    known = F.array_contains(F.array(*map(F.lit, BINARY_SUFFIXES)), suffix())
+    known = suffix().isin(BINARY_SUFFIXES)
     return (
         F.when(F.col("length") > V.MAX_SCANNED_BYTES, "too_large")
         .when(known, "binary")
@@ -164,14 +164,21 @@ def reason_skipped() -> Column:
 _OTHER_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
 
-def _plain_ends(text: Column) -> Column:
-    """A text without its byte order mark, whose lines all end with a line feed."""
+def _has_other_ends(text: Column) -> Column:
     other = text.contains(_OTHER_ENDS[0])
     for end in _OTHER_ENDS[1:]:
         other = other | text.contains(end)
-    same = F.translate(F.replace(text, F.lit("\r\n"), F.lit("\n")), _OTHER_ENDS, "\n" * len(_OTHER_ENDS))
-    plain = F.when(other, same).otherwise(text)
-    return F.when(plain.startswith("\ufeff"), F.substring(plain, 2, 2**31 - 1)).otherwise(plain)
+    return other
+
+
+def _same_ends(text: Column) -> Column:
+    return F.translate(F.replace(text, F.lit("\r\n"), F.lit("\n")), _OTHER_ENDS, "\n" * len(_OTHER_ENDS))
+
+
+def _plain_ends(text: Column) -> Column:
+    """A text without its byte order mark, whose lines all end with a line feed. Each step is written once, as Spark works out again what stands twice."""
+    bare = F.when(text.startswith("\ufeff"), F.substring(text, 2, 2**31 - 1)).otherwise(text)
+    return F.when(_has_other_ends(text), _same_ends(bare)).otherwise(bare)
 
 
 def lines_of(text: Column) -> Column:
@@ -183,8 +190,11 @@ def lines_of(text: Column) -> Column:
 
 def line_count(text: Column) -> Column:
     """How many lines lines_of() gives, by lengths alone."""
-    plain = _plain_ends(text)
-    return (F.length(plain) - F.length(F.replace(plain, F.lit("\n"), F.lit(""))) + F.when((plain == "") | plain.endswith("\n"), 0).otherwise(1)).cast("long")
+    feeds = lambda t: F.octet_length(t) - F.octet_length(F.replace(t, F.lit("\n"), F.lit("")))
+    same = _same_ends(text)
+    mixed = feeds(same) + F.when(same.endswith("\n"), 0).otherwise(1)
+    plain = feeds(text) + F.when(text.isin("", "\ufeff") | text.endswith("\n"), 0).otherwise(1)
+    return F.when(_has_other_ends(text), mixed).otherwise(plain).cast("long")
 
 
 def explode_lines(files: DataFrame, text: str = "content") -> DataFrame:

@@ -42,6 +42,21 @@ def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     return df.repartition(parts, *keys)
 
 
+#: Compressed bytes that one task shuffles in and reads, at most, of rows that look alike.
+SHUFFLED_A_TASK, READ_A_TASK = 4 << 20, 32 << 20
+
+
+def small_parts(spark: SparkSession) -> None:
+    """Lets the session's tasks take no more than SHUFFLED_A_TASK and READ_A_TASK, or less where less is set.
+
+    Rows of small repositories shrink some seventyfold when they are shuffled or saved, so Spark's own 64 and 128 MB
+    would be gigabytes to sort in one task, and more of them the larger the input is.
+    """
+    for name, most in (("spark.sql.adaptive.advisoryPartitionSizeInBytes", SHUFFLED_A_TASK), ("spark.sql.files.maxPartitionBytes", READ_A_TASK)):
+        if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > most:
+            spark.conf.set(name, str(most))
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of save() that nothing will read again."""
     for t in tables:

@@ -50,3 +50,39 @@ def test_a_stored_body_is_parsed_once_a_row(spark):
     made = stored.rejected(stored.checked_assessments(rows))
     assert made._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 2
     assert sorted((r["task_id"], r["reason"]) for r in made.collect()) == [(1, "not_json"), (2, "not_an_object"), (3, "not_json")]
+
+
+def test_many_small_repositories_are_shuffled_in_small_parts(spark, tmp_path):
+    """What the session had is put back, as other tests share it."""
+    from quaylight.plans import planted
+
+    names = ["spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"]
+    was = [spark.conf.get(n) for n in names]
+    spark.range(3).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    try:
+        for given, kept in (("64m", [str(4 << 20), str(32 << 20)]), ("2m", ["2m", "2m"])):
+            for n in names:
+                spark.conf.set(n, given)
+            planted.repositories(spark, str(tmp_path))
+            assert [spark.conf.get(n) for n in names] == kept
+    finally:
+        for n, x in zip(names, was):
+            spark.conf.set(n, x)
+
+
+def test_a_search_for_other_line_ends_stands_once(spark):
+    """Written into each other, they were searched for eight times over each text, whatever rules were chosen."""
+    from quaylight.operators import whole
+
+    files = spark.createDataFrame([("r", "a.py", "x = 1\n", 6)], "repo_id string, file_path string, content string, length long")
+    plan = whole.walk(files, ["I"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Contains(content") == 9
+
+
+def test_lines_are_lexed_for_the_chosen_rules(spark):
+    from quaylight.operators import whole
+
+    rows = [("r", "a.py", "import os\nx = os.getenv('A')\nprint(1)\n", 40), ("r", "b.py", "# TODO\n", 7)]
+    files = spark.createDataFrame(rows, "repo_id string, file_path string, content string, length long")
+    got = {tuple(rules): sorted((r["file_path"], r["line_no"]) for r in whole.relevant_lines(files, rules).collect()) for rules in (["D"], ["I"], ["I", "D"])}
+    assert got == {("D",): [("a.py", 2)], ("I",): [("a.py", 3), ("b.py", 1)], ("I", "D"): [("a.py", 2), ("a.py", 3), ("b.py", 1)]}

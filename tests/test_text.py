@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quaylight.functions import text as T
-from quaylight.sources.files import LINE_END, lines_of  # noqa: F401
+from quaylight.sources.files import LINE_END, base_name, line_count, lines_of  # noqa: F401
 
 
 def values(spark, expr, rows):
@@ -18,6 +18,12 @@ def test_lines(spark):
     assert values(spark, lines_of, rows) == [r.removeprefix("\ufeff").splitlines() for r in rows]
 
 
+def test_counts_of_lines(spark):
+    rows = ["", "a", "a\n", "\ufeff", "\ufeff\n", "\ufeffa\r\nb\rc", "a\x0bb\x0cc\x1cd\x85e\u2028f", "\n\n", "a\n\nb", "\r", "\ufeff\r\n", "é\u2029\n", None]
+    assert values(spark, line_count, rows) == [None if r is None else len(r.removeprefix("\ufeff").splitlines()) for r in rows]
+    assert values(spark, base_name, ["", "a", "a/", "/a", "a/b.c", "//", None]) == ["", "a", "", "a", "b.c", "", None]
+
+
 def python_matches(pattern, line):
     return [(m.start(), m.end(), m.group()) for m in re.finditer(pattern, line)]
 
