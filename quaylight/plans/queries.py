@@ -538,7 +538,7 @@ def q_lexer_comments(spark, d):
 
 @query(planted.INCOMPLETE_SQL)
 def q_incomplete_rules(spark, d):
-    code = save(lexer.lex(planted.repositories(spark, d)).where(incomplete.relevant()))
+    code = save(whole.relevant_lines(planted.repositories(spark, d), ["I"]))
     return incomplete.scan(code).select("repo_id", "rule_id", "file_path", "line_start", "snippet_masked")
 
 
