@@ -202,12 +202,13 @@ def explode_lines(files: DataFrame, text: str = "content") -> DataFrame:
     return files.select("repo_id", "file_path", F.posexplode(lines_of(F.col(text).cast("string"))).alias("at", "line")).select("repo_id", "file_path", (F.col("at") + 1).cast("long").alias("line_no"), "line")
 
 
-def paths_and_parents(files: DataFrame) -> DataFrame:
-    """(repo_id, path, is_folder): every file and every folder above one, each once."""
+def paths_and_parents(files: DataFrame, once: bool = True) -> DataFrame:
+    """(repo_id, path, is_folder): every file and every folder above one, each once; else a folder for each file below it."""
     p = F.split("file_path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.array_join(F.slice(p, 1, i), "/"))
     up = files.select("repo_id", F.explode(F.when(F.size(p) > 1, above)).alias("path"), F.lit(True).alias("is_folder"))
-    return files.select("repo_id", F.col("file_path").alias("path"), F.lit(False).alias("is_folder")).union(up).distinct()
+    every = files.select("repo_id", F.col("file_path").alias("path"), F.lit(False).alias("is_folder")).union(up)
+    return every.distinct() if once else every
 
 
 def folder_stats(files: DataFrame) -> DataFrame:
