@@ -59,6 +59,11 @@ def has_any(lowered: Column, words: list[str]) -> Column:
     return out
 
 
+def once(value: Column, test: Callable[[Column], Column]) -> Column:
+    """test(value) with the value worked out once. Behind an or, an and or a condition Spark works it out again at each place that names it."""
+    return F.get(F.transform(F.array(value), test), F.lit(0))
+
+
 def _all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
@@ -230,8 +235,8 @@ def splice(text: Column, spans: Column, by: str) -> Column:
 def may_assign(line: Column | str) -> Column:
     """False only for lines without any sensitive key or without a sign that assigns (a colon does after a quote): a cheap test before assignments()."""
     line = _col(line)
-    signs = line.contains("=") | line.contains(":") & line.rlike("[\"']")
-    return signs & has_any(F.lower(F.replace(line, F.lit("\\"), F.lit(""))), ["passw", "pwd", "secret", "token", "key"])
+    signs = line.contains("=") | line.contains(":") & has_any(line, ['"', "'"])
+    return signs & once(F.lower(F.replace(line, F.lit("\\"), F.lit(""))), lambda low: has_any(low, ["passw", "pwd", "secret", "token", "key"]))
 
 
 def mask_line(line: Column | str) -> Column:

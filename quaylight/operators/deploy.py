@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaylight.functions.text import has_any
-from quaylight.operators.lexer import EXCLUDED_FOLDERS
+from quaylight.functions.text import has_any, once
+from quaylight.operators.lexer import EXCLUDED_FOLDERS, any_word
 from quaylight.operators.secrets import findings_of
 from quaylight.sources.files import ENV_EXAMPLES, base_name, explode_lines, in_folders, suffix
 from quaylight.storage import save
@@ -228,6 +228,8 @@ def _main() -> Column:
 
 # Words without one of which a line of source shows nothing, in lower case.
 WORDS = ["env", "$_", "main"]
+#: A pattern for lexer.lex() that any text has in which some rule finds something.
+MAY_HAVE = any_word(WORDS)
 
 
 def may_have(lowered: Column) -> Column:
@@ -237,7 +239,7 @@ def may_have(lowered: Column) -> Column:
 
 def relevant() -> Column:
     """Lexed lines that the rules need."""
-    return may_have(F.lower("bare")) & (F.col("bare").rlike(ENV_USAGE) | _main())
+    return once(F.lower("bare"), may_have) & (F.col("bare").rlike(ENV_USAGE) | _main())
 
 
 #: What is known of a repository: whether something is there, and the first path of some kinds. Merged by or and by least.

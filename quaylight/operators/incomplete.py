@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaylight.functions.text import has_any, matches
+from quaylight.functions.text import has_any, matches, once
+from quaylight.operators.lexer import any_word
 from quaylight.operators.secrets import finding, limited
 
 # What marks unfinished code. RE2 and Java agree on these but for word ends beside letters beyond ASCII.
@@ -75,6 +76,11 @@ def debug_output(lexed: DataFrame) -> DataFrame:
 
 # Words without one of which no rule matches, in lower case.
 WORDS = "todo fixme hack xxx placeholder implemented debugger breakpoint set_trace console.log print".split()
+#: A pattern for lexer.lex() that any text has in which some rule finds something.
+MAY_HAVE = any_word(WORDS)
+# Those of UNIMPLEMENTED and EMPTY_RETURN, in lower case, and those of BREAKPOINTS and OUTPUTS, as they are.
+CODE_WORDS = ["implemented", "todo!", "return"]
+BARE_WORDS = ["debugger", "breakpoint", "set_trace", "console.log", "print"]
 
 
 def may_have(lowered: Column) -> Column:
@@ -85,7 +91,8 @@ def may_have(lowered: Column) -> Column:
 def relevant() -> Column:
     """Lexed lines that the rules need: all that can break one, and those that can be the comment before."""
     said = F.exists("comments", lambda c: c["text"].rlike(MARKER) | c["text"].rlike(PLACEHOLDER))
-    return said | F.col("code").rlike("|".join(f"(?:{p})" for p in [*UNIMPLEMENTED, EMPTY_RETURN])) | F.col("bare").rlike("|".join(f"(?:{p})" for p in [*BREAKPOINTS, *OUTPUTS]))
+    code = once(F.lower("code"), lambda low: has_any(low, CODE_WORDS)) & F.col("code").rlike("|".join(f"(?:{p})" for p in [*UNIMPLEMENTED, EMPTY_RETURN]))
+    return said | code | has_any(F.col("bare"), BARE_WORDS) & F.col("bare").rlike("|".join(f"(?:{p})" for p in [*BREAKPOINTS, *OUTPUTS]))
 
 
 def found(lexed: DataFrame) -> DataFrame:

@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaylight import vocabulary as V
-from quaylight.functions.text import has_any
+from quaylight.functions.text import has_any, once
 from quaylight.operators import deploy, docs, incomplete, lexer, resolve, secrets, security
 from quaylight.sources import files as S
 from quaylight.storage import discard, save
 
+#: A pattern that no text matches.
+NEVER = r"[^\x00-\x{10ffff}]"
 _LINE = "array<struct<line_no: bigint, line: string>>"
 
 
@@ -47,7 +49,7 @@ def walk(files: DataFrame, rules: list[str] | None = None) -> DataFrame:
     text = F.col("content").cast("string")
     good = F.col("reason").isNull()
     config = S.suffix().isin(security.CONFIG_SUFFIXES) & ~S.in_folders("file_path", lexer.EXCLUDED_FOLDERS, lower=True)
-    open_to_all = has_any(F.lower(text), security.ORIGIN_WORDS)
+    open_to_all = once(F.lower(text), lambda low: has_any(low, security.ORIGIN_WORDS))
     hidden = _some_lines(S.lines_of(text), secrets.worth_a_look)
     open_lines = _some_lines(S.lines_of(text), lambda line: ~line.rlike(r"^\s*(#|//|$)") & security.any_of(line, security.CORS))
     reason = F.coalesce("reason", S.reason_skipped()) if "reason" in files.columns else S.reason_skipped()  # a source may have told
@@ -62,15 +64,13 @@ def walk(files: DataFrame, rules: list[str] | None = None) -> DataFrame:
 def relevant_lines(files: DataFrame, rules: list[str] | None = None) -> DataFrame:
     """Lexed lines that some of the rules needs, and for B all lines of files that import a rate limiter, whose calls have any name. Sources in which none of them finds a word aren't lexed."""
     use = chosen(rules)
-    low = F.lower(F.col("content").cast("string"))
-    words, need, limiter = F.lit(False), F.col("whole"), F.lit(False)
-    for letter, dimension in (("I", incomplete), ("D", deploy), ("B", security)):
-        if _some(use, letter):
-            words, need = words | dimension.may_have(low), need | dimension.relevant()
-    if _some(use, "B"):
-        limiter = low.contains("express-rate-limit")
-    some = files.where(lexer.is_source() & S.reason_skipped().isNull() & words)
-    return lexer.lex(some, limiter).where(need).drop("whole")
+    need = F.col("whole")
+    dimensions = [dimension for letter, dimension in (("I", incomplete), ("D", deploy), ("B", security)) if _some(use, letter)]
+    for dimension in dimensions:
+        need = need | dimension.relevant()
+    some = files.where(F.lit(bool(dimensions)) & lexer.is_source() & S.reason_skipped().isNull())
+    limiter = lexer.any_word(["express-rate-limit"]) if _some(use, "B") else NEVER
+    return lexer.lex(some, "|".join(dimension.MAY_HAVE for dimension in dimensions), limiter).where(need).drop("whole")
 
 
 def _lines(walked: DataFrame, column: str) -> DataFrame:
