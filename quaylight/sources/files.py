@@ -155,7 +155,7 @@ def reason_skipped() -> Column:
         F.when(F.col("length") > V.MAX_SCANNED_BYTES, "too_large")
         .when(known, "binary")
         .when(F.col("content").isNull(), "read_error")
-        .when(F.position(F.lit(b"\x00"), F.col("content")) > 0, "binary")
+        .when(F.col("content").cast("string").contains("\x00"), "binary")
         .when(~F.is_valid_utf8(F.col("content").cast("string")), "binary")
     )
 

@@ -60,3 +60,12 @@ def test_a_whole_file_goes_along_only_if_it_imports_a_limiter(spark):
     got = whole.relevant_lines(files, ["B"]).collect()
     assert sorted((r["file_path"], r["line_no"]) for r in got) == [("src/a.js", 1), ("src/a.js", 2), ("src/a.js", 3), ("src/b.js", 1)]
     assert whole.relevant_lines(files, ["R"]).count() == 0
+
+
+def test_binary_files_are_told_by_bytes(spark):
+    """A NUL is searched by bytes: a position in characters would be counted through the whole text."""
+    texts = {"a.py": b"x\x00y", "b.py": b"\xe4\x00\xb8", "c.py": b"\x00", "d.py": "ä\n".encode(), "e.py": b"\xff", "f.py": b"", "g.py": None}
+    files = spark.createDataFrame([("r", p, t, len(t or b"")) for p, t in texts.items()], "repo_id string, file_path string, content binary, length long")
+    reason = files.select("file_path", whole.S.reason_skipped().alias("reason"))
+    assert {r["file_path"]: r["reason"] for r in reason.collect()} == dict.fromkeys(["a.py", "b.py", "c.py", "e.py"], "binary") | {"d.py": None, "f.py": None, "g.py": "read_error"}
+    assert "locate" not in _plan(reason)
