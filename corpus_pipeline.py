@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaylight.llm import kneser_ney, linededup, packing, partenum, toxicity
-from quaylight.llm.common import save, small_batches
+from quaylight.llm.common import made_within, save, small_batches
 from quaylight.llm.queries import table, tokenizer_path
 
 
@@ -72,8 +72,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after another, each written as Parquet and reread."""
+    """All stages, one after another, each written as Parquet and reread. What a stage has read and what it made on its way goes once it is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir))
+        with made_within() as made:
+            out = stage(spark, docs, sf_dir)
+        docs = save(out, docs, *made)
     return docs

@@ -7,6 +7,8 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -43,16 +45,46 @@ def _hadoop(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+#: Removes a write's shuffle files with its end; else they stay until the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Where save() notes its tables, inside of made_within().
+_MADE: ContextVar[list[DataFrame] | None] = ContextVar("_MADE", default=None)
+
+
+@contextmanager
+def _shuffles_go(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
+@contextmanager
+def made_within() -> Iterator[list[DataFrame]]:
+    """The tables that save() makes inside, for a caller that discards them once it has written its result."""
+    made: list[DataFrame] = []
+    token = _MADE.set(made)
+    try:
+        yield made
+    finally:
+        _MADE.reset(token)
+
+
 def save(df: DataFrame, *done: DataFrame) -> DataFrame:
-    """Write once to shared storage and read again: cuts lineage, and survives lost executors.
+    """Write once to shared storage and read again: cuts lineage, and survives lost executors. The write's shuffle files go.
 
     done: tables saved before that nothing but this write still needed; their files go.
     """
     folder = shared_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(f"{folder}/table")
+    with _shuffles_go(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(f"{folder}/table")
     discard(*done)
     out = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/table")
     out._saved_in = folder
+    if (made := _MADE.get()) is not None:
+        made.append(out)
     return out
 
 

@@ -2,14 +2,15 @@
 
 Sets of similar size differ in at most k elements if they are similar enough. The feature domain is cut into groups of
 three parts; some group then differs in at most one part, so the sets share a signature: the content of two of the
-three parts. Each set takes the signatures of its size band and of the next. Sets that share a signature, and whose sizes
-and parity sketches don't rule a link out, form candidate clusters, in which whole sets are compared exactly.
+three parts. Each set takes the signatures of its size band and of the next, made in two turns. Sets that share a signature,
+and whose sizes and parity sketches don't rule a link out, form candidate clusters, in which whole sets are compared exactly.
 """
 
 from __future__ import annotations
 
 import secrets
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -75,9 +76,15 @@ def nodes_of(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(n > 0, h.astype(np.int64), -1)
 
 
-def signatures(sets: np.ndarray, at: np.ndarray, percent: int, size: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+#: Turns in which all signatures can be made: one for even bands, one for odd ones. A set has a band in each.
+TURNS = 2
+
+
+def signatures(sets: np.ndarray, at: np.ndarray, percent: int, size: np.ndarray | None = None, turn: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of all sets and the row of each. size: the whole sets' sizes where some elements were left out of all sets.
 
+    turn: only those of every TURNS-th band. Equal signatures are of one band, so each is met in one turn alone.
+
     A band's groups are one more than needed for one to agree, plus a spare few: so a set may leave out signatures of
     groups with an empty choice of parts when it has no more such groups than spares, and still meets every partner.
     """
@@ -89,6 +96,8 @@ def signatures(sets: np.ndarray, at: np.ndarray, percent: int, size: np.ndarray
         band = np.searchsorted(last, size) + ahead
         k = most_different(last[np.minimum(band, len(last) - 1)], percent)
         k[size == 0] = 0
+        if turn is not None:
+            k[band % TURNS != turn] = 0
         need = -(-(k + 1) // 2)
         spare = 2 + need // 8  # a choice of two parts holds about five elements: some hundredths of all groups have an empty one
         groups = np.where(k > 0, need + spare, 0)  # with k = 0 only equal sets are linked
@@ -120,14 +129,39 @@ def signatures(sets: np.ndarray, at: np.ndarray, percent: int, size: np.ndarray
     return np.concatenate(found), np.concatenate(owner)
 
 
-#: Bits of a set's parity sketch.
-SKETCH_BITS = 512
+#: Bits of a set's parity sketch: a power of two, no fewer than the set's elements within these bounds. Beyond the latter a sketch tells less.
+SKETCH_BITS, MOST_SKETCH_BITS = 512, 1 << 20
+#: Bytes of sketches, beside the rows of whole buckets, that a task takes up at once.
+SKETCH_BYTES = 32 << 20
 
 
-def sketches(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+def sketches(sets: np.ndarray, at: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     """A row of bytes for each set: the parity of its elements at each bit. Two sets' rows differ in no more bits than the sets in elements."""
-    place = np.repeat(np.arange(len(at) - 1), np.diff(at)) * SKETCH_BITS + (mix(sets ^ U(0x6A09E667F3BCC909)) % U(SKETCH_BITS)).astype(np.int64)
-    return np.packbits((np.bincount(place, minlength=(len(at) - 1) * SKETCH_BITS) & 1).astype(bool).reshape(-1, SKETCH_BITS), axis=1)
+    place = np.repeat(np.arange(len(at) - 1), np.diff(at)) * bits + (mix(sets ^ U(0x6A09E667F3BCC909)) % U(bits)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=(len(at) - 1) * bits) & 1).astype(bool).reshape(-1, bits), axis=1)
+
+
+def sized_sketches(sets: np.ndarray, at: np.ndarray) -> pa.Array:
+    """A sketch for each set, with bits by its size: unrelated sets of any size then differ in more bits than linked ones may."""
+    size = np.diff(at)
+    bits = np.clip(1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), SKETCH_BITS, MOST_SKETCH_BITS)
+    out = np.empty(len(size), object)
+    for k in np.unique(bits).tolist():
+        own = bits == k
+        rows = sketches(sets[np.repeat(own, size)], np.concatenate(([0], np.cumsum(size[own]))), k)
+        for i, row in zip(np.flatnonzero(own).tolist(), rows):
+            out[i] = row.tobytes()
+    return pa.array(out.tolist(), pa.binary())
+
+
+def folded(raw: np.ndarray, offsets: np.ndarray, rows: np.ndarray, bits: int) -> np.ndarray:
+    """The sketches of these rows as so many bits: places that are equal modulo `bits`, a power of two, meet in one, which has their parity."""
+    out, have = np.empty((len(rows), bits // 64), U), 8 * (offsets[rows + 1] - offsets[rows])
+    for k in np.unique(have).tolist():
+        own = np.flatnonzero(have == k)
+        parts = raw[offsets[rows[own], None] + np.arange(k // 8)].reshape(len(own), k // bits, bits // 8)
+        out[own] = np.ascontiguousarray(np.bitwise_xor.reduce(parts, axis=1)).view(U)
+    return out
 
 
 def set_table(docs: DataFrame, words: int, seed: int) -> DataFrame:
@@ -139,8 +173,7 @@ def set_table(docs: DataFrame, words: int, seed: int) -> DataFrame:
             raw, offsets = flat(batch.column("text"))
             for a, b in chunks(offsets):
                 sets, at = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words, seed)
-                sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SKETCH_BITS // 8), b - a, [None, pa.py_buffer(sketches(sets, at).tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("key").slice(a, b - a), pa.array(np.diff(at)), pa.array(nodes_of(sets, at)), sketch], ["doc_id", "key", "n_shingles", "node", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("key").slice(a, b - a), pa.array(np.diff(at)), pa.array(nodes_of(sets, at)), sized_sketches(sets, at)], ["doc_id", "key", "n_shingles", "node", "sketch"])
 
     return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, n_shingles long, node long, sketch binary")
 
@@ -169,8 +202,8 @@ def common_shingles(docs: DataFrame, words: int, n: int, seed: int) -> np.ndarra
     return np.sort(got.to_numpy(np.int64).view(U))
 
 
-def signature_table(docs: DataFrame, words: int, percent: int, common: np.ndarray, seed: int) -> DataFrame:
-    """(sig, node) of each set; a set that a task has just met is not given again."""
+def signature_table(docs: DataFrame, words: int, percent: int, common: np.ndarray, seed: int, turn: int | None = None) -> DataFrame:
+    """(sig, node) of each set, in this turn if given; a set that a task has just met is not given again."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,29 +225,29 @@ def signature_table(docs: DataFrame, words: int, percent: int, common: np.ndarra
                 if len(known):
                     use &= known[np.minimum(np.searchsorted(known, sets), len(known) - 1)] != sets
                 left = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[use], minlength=len(sizes))
-                sig, row = signatures(sets[use], np.concatenate(([0], np.cumsum(left))), percent, np.where(fresh, sizes, 0))
+                sig, row = signatures(sets[use], np.concatenate(([0], np.cumsum(left))), percent, np.where(fresh, sizes, 0), turn)
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(nodes[row])], ["sig", "node"])
 
     return docs.select("text").mapInArrow(run, "sig long, node long")
 
 
-def whole_runs(batches: Iterable[pa.RecordBatch], key: str, rows: int = 1 << 16) -> Iterator[pa.Table]:
-    """Tables of about so many rows, or more if a run is longer, that end where a run of equal keys ends; the input is sorted by it."""
+def whole_runs(batches: Iterable[pa.RecordBatch], key: str, rows: int = 1 << 16, most: int = 1 << 40) -> Iterator[pa.Table]:
+    """Tables of about so many rows or `most` bytes, or more if a run is longer, that end where a run of equal keys ends; the input is sorted by it."""
     held: list[pa.RecordBatch] = []
-    n = 0
+    n = weight = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
-        n += batch.num_rows
+        n, weight = n + batch.num_rows, weight + batch.nbytes
         last = np.asarray(batch.column(batch.schema.get_field_index(key)))
-        if n < rows or (last[0] == last[-1] and len(held) > 1 and held[-2].column(key)[-1].as_py() == last[0]):
+        if n < rows and weight < most or (last[0] == last[-1] and len(held) > 1 and held[-2].column(key)[-1].as_py() == last[0]):
             continue
         cut = int(np.searchsorted(last, last[-1]))  # where the last run begins in this batch
         head = [*held[:-1], batch.slice(0, cut)]
         if cut or len(held) > 1 and held[-2].column(key)[-1].as_py() != last[0]:
             yield pa.Table.from_batches(head).combine_chunks()
-            held, n = [batch.slice(cut)], batch.num_rows - cut
+            held, n, weight = [batch.slice(cut)], batch.num_rows - cut, batch.slice(cut).nbytes
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
@@ -277,16 +310,22 @@ def candidate_edges(buckets: DataFrame, sketched: DataFrame, percent: int, parti
             met |= root == root[i]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_runs(batches, "task", 1 << 14):
+        for table in whole_runs(batches, "task", 1 << 14, SKETCH_BYTES):
             bucket, node, n = (np.asarray(table[c]) for c in ("task", "node", "n_shingles"))
-            sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(n), -1)
+            raw, offsets = flat(table["sketch"].chunk(0))
+            bits = 8 * np.diff(offsets)
             begin = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
             size = np.diff(np.append(begin, len(bucket)))
             pair = begin[size == 2]
-            pair = pair[possible(n[pair], sketch[pair], n[pair + 1], sketch[pair + 1])]
-            a, b = [node[pair]], [node[pair + 1]]
+            least = np.minimum(bits[pair], bits[pair + 1])
+            a, b = [node[:0]], [node[:0]]
+            for k in np.unique(least).tolist():
+                some = pair[least == k]
+                some = some[possible(n[some], folded(raw, offsets, some, k), n[some + 1], folded(raw, offsets, some + 1, k))]
+                a.append(node[some])
+                b.append(node[some + 1])
             for s, m in zip(begin[size > 2].tolist(), size[size > 2].tolist()):
-                root = classes(n[s : s + m], sketch[s : s + m])
+                root = classes(n[s : s + m], folded(raw, offsets, np.arange(s, s + m), int(bits[s : s + m].min())))
                 apart = root != np.arange(m)
                 a.append(node[s : s + m][root[apart]])
                 b.append(node[s : s + m][apart])
@@ -400,7 +439,10 @@ def similar_documents(docs: DataFrame, words: int = 4, percent: int = 85) -> Dat
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     table = save(set_table(docs, words, seed))
-    buckets = save(repeated_buckets(signature_table(docs, words, percent, common_shingles(docs, words, table.count(), seed), seed), 2 * partitions))
+    common = common_shingles(docs, words, table.count(), seed)
+    # a turn's signatures are gone from disk before the next one's are made
+    turns = [save(repeated_buckets(signature_table(docs, words, percent, common, seed, turn), 2 * partitions)) for turn in range(TURNS)]
+    buckets = save(reduce(DataFrame.union, turns).distinct(), *turns)
     sketched = table.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     edges = save(candidate_edges(buckets, sketched, percent, 2 * partitions), buckets)
     clusters = connected_components(edges)

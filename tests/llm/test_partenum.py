@@ -112,3 +112,39 @@ def test_components(spark):
     got = dict(map(tuple, connected_components(spark.createDataFrame(chain, "a long, b long")).collect()))
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100, 200: 200}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_large_sets_that_share_little_are_no_candidates(spark):
+    """A sketch of 512 bits told nothing of sets of some 1,200 elements and more: those with one signature in common became one cluster, which grew with the corpus."""
+    rng = random.Random(7)
+    passage = " ".join(f"s{i}" for i in range(60))
+    rows = [(i, passage + " " + " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))) for i, n in enumerate((1500, 1550, 2000, 2060, 2500, 1500))]
+    rows.append((6, near(rng, rows[2][1], 8)))  # a set on either side of 2,048, where sketches double
+    rows.append((7, near(rng, rows[2][1] + " " + " ".join(f"v{i}" for i in range(60)), 8)))
+    table = P.set_table(cases.documents(spark, rows).selectExpr("doc_id", "doc_id as key", "text"), 5, 1).cache()
+    node = {r["doc_id"]: r["node"] for r in table.collect()}
+    buckets = spark.createDataFrame([(1, node[i]) for i in range(8)] + [(2, node[0]), (2, node[5]), (3, node[2]), (3, node[7])], "bucket long, node long")
+    got = {frozenset((r["a"], r["b"])) for r in P.candidate_edges(buckets, table.select("node", "n_shingles", "sketch"), 80, 4).collect()}
+    assert {len(r) for r in got} == {2} and set().union(*got) == {node[2], node[6], node[7]}
+
+
+def test_sketches_of_two_lengths_meet():
+    rng = np.random.default_rng(2)
+    a = np.unique(rng.integers(0, 1 << 63, 1100, np.uint64))
+    b = np.unique(np.concatenate([a[200:], rng.integers(0, 1 << 63, 30, np.uint64)]))
+    sets, at = np.concatenate([a, b, a[:0]]), np.array([0, len(a), len(a) + len(b), len(a) + len(b)])
+    column = P.sized_sketches(sets, at)
+    assert [8 * len(x) for x in column.to_pylist()] == [2048, 1024, 512]
+    raw, offsets = P.flat(column)
+    for bits in (1024, 512):
+        assert (P.folded(raw, offsets, np.array([0, 1]), bits) == P.sketches(sets, at, bits)[:2].view(np.uint64)).all()
+
+
+def test_turns_make_all_signatures():
+    rng = np.random.default_rng(3)
+    sizes = [0, 1, 2, 5, 9, 40, 300, 1000]
+    sets, at = np.concatenate([np.unique(rng.integers(0, 1 << 63, n, np.uint64)) for n in sizes]), np.cumsum([0, *sizes])
+    pairs = lambda turn: sorted(zip(*(x.tolist() for x in P.signatures(sets, at, 80, turn=turn))))
+    made = [pairs(turn) for turn in range(P.TURNS)]
+    assert sorted(sum(made, [])) == pairs(None) and all(made)
+    assert not {s for s, _ in made[0]} & {s for s, _ in made[1]}

@@ -1,8 +1,13 @@
 import random
 
+import time
+from pathlib import Path
+
 import corpus_pipeline
 from tests.llm import cases
 
+from quaylight.llm import common
+
 
 def write(spark, folder, rows, labels):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t) if t is not None else None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
@@ -45,3 +50,29 @@ def test_stages(spark, tmp_path):
 def test_empty_tables(spark, tmp_path):
     write(spark, tmp_path, [], [])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_what_a_write_shuffled_goes_with_it(spark):
+    """Signatures of the corpus stayed on disk beside all that came after them, until the driver collected its garbage."""
+    ids = lambda: {n for b in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").split(" ") if (n := b).startswith("shuffle_")}
+    before, setting = ids(), spark.conf.get(common._CLEANUP)
+    saved = common.save(spark.range(5000).selectExpr("id % 700 as k", "id").groupBy("k").count().distinct())
+    end = time.time() + 20
+    while ids() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not ids() - before and saved.count() == 700 and spark.conf.get(common._CLEANUP) == setting
+
+
+def test_tables_of_stages_go(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(i, "\n".join(cases.text(rng, 12).capitalize() + "." for _ in range(6))) for i in range(60)]
+    write(spark, tmp_path, rows, [(i, 1, 0) for i in range(40)])
+    made = []
+    seen, folder = common.shared_dir, lambda s: made.append(seen(s)) or made[-1]
+    common.shared_dir = folder
+    try:
+        out = corpus_pipeline.run(spark, str(tmp_path))
+    finally:
+        common.shared_dir = seen
+    left = [p for p in made if Path(p.removeprefix("file://")).exists()]
+    assert len(made) > 20 and len(left) == 1 and left[0] in out.inputFiles()[0] and out.count() >= 0
